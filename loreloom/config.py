@@ -49,8 +49,8 @@ RATE_LIMIT = 60
 RATE_PERIOD_SECONDS = 60
 
 # --- patterns ---------------------------------------------------------------
-# White space as a trimming class: ASCII blanks plus the Unicode separators.
-BLANK = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# What trimming drops: ASCII blanks plus the Unicode separators.
+BLANKS = "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD_PATTERN = r"([a-z0-9]+(?:[-_.][a-z0-9]+)*)"
 HAN_RUN = r"(\p{IsHan}+)"
 IDENTIFIER_PATTERN = r"(?<![A-Za-z0-9_])([a-z][a-z0-9]*(?:[-_.][a-z0-9]+)+)(?![A-Za-z0-9_])"

@@ -20,7 +20,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim Unicode blanks at both ends."""
-    return F.regexp_replace(col, f"^{config.BLANK}+|{config.BLANK}+$", "")
+    return F.btrim(col, F.lit(config.BLANKS))
 
 
 def is_blank(col: Column) -> Column:

@@ -44,7 +44,7 @@ def _spans(text: Column, size: int, overlap: int) -> Column:
             newline = F.instr(backward, "\n")
             sentence = F.instr(F.translate(backward, "！？", "。。"), "。")
             stop = F.instr(backward, " .")
-            n = F.length(sample)
+            n = F.length(backward)
             return F.greatest(
                 F.when(newline > 0, n - newline).otherwise(F.lit(-1)),
                 F.when(sentence > 0, n - sentence + 1).otherwise(F.lit(0)),
@@ -53,8 +53,7 @@ def _spans(text: Column, size: int, overlap: int) -> Column:
 
         return bind(F.reverse(sample), position)
 
-    def fold(blocks: Column) -> Column:
-        n = F.length(text)
+    def fold(n: Column, blocks: Column) -> Column:
         empty = F.struct(
             F.lit(0).alias("start"),
             F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
@@ -86,7 +85,8 @@ def _spans(text: Column, size: int, overlap: int) -> Column:
         return F.transform(spans, lambda p: strip(window(blocks, p["s"], p["e"] - p["s"])))
 
     blocks = F.split(text, rf"(?s)(?<=\G.{{{block}}})")
-    return F.when(F.length(text) > 0, bind(blocks, fold)).otherwise(F.array().cast("array<string>"))
+    folded = bind(F.length(text), lambda n: bind(blocks, lambda b: fold(n, b)))
+    return F.when(F.length(text) > 0, folded).otherwise(F.array().cast("array<string>"))
 
 
 def chunk_documents(
@@ -106,7 +106,7 @@ def chunk_documents(
         F.transform(
             parts,
             lambda part: F.transform(
-                F.filter(_spans(strip(part), size, overlap), lambda c: c != ""),
+                F.filter(bind(strip(part), lambda t: _spans(t, size, overlap)), lambda c: c != ""),
                 lambda c: F.struct(
                     F.regexp_extract(part, config.HEADING_LINE, 1).alias("heading"),
                     c.alias("chunk_text"),

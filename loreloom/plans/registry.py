@@ -20,6 +20,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A text table hashed by its key when it has fewer files than the cluster has cores.
+
+        Per-row text work is CPU bound, so one small file must not mean one task.
+        Larger tables are read as they lie, without a shuffle.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` and, where SQL can say it, its oracle."""

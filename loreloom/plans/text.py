@@ -17,7 +17,7 @@ from loreloom.plans.sqltext import CHUNKS, sql_clean, sql_tokens
 )
 def clean_text(t: Tables):
     c = text.clean_text(F.col("text"))
-    return t.documents.select("doc_id", c.alias("c")).select(
+    return t.spread("documents", "doc_id").select("doc_id", c.alias("c")).select(
         "doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_chars")
     )
 
@@ -45,7 +45,7 @@ def _html_sql() -> str:
 @query("html_to_text", _html_sql())
 def html_to_text(t: Tables):
     page = html.html_to_text(F.col("html"))
-    return t.pages.select("page_id", page.alias("p")).select(
+    return t.spread("pages", "page_id").select("page_id", page.alias("p")).select(
         "page_id", F.length("p").alias("chars"), F.md5("p").alias("text_md5")
     )
 
@@ -56,7 +56,7 @@ def html_to_text(t: Tables):
     "md5(chunk_text) AS chunk_md5 FROM chunks",
 )
 def chunk_fixed(t: Tables):
-    return chunks.chunk_documents(t.documents).select(
+    return chunks.chunk_documents(t.spread("documents", "doc_id")).select(
         "doc_id", "ordinal", "heading",
         F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("chunk_md5"),
     )
@@ -70,7 +70,7 @@ def chunk_fixed(t: Tables):
 )
 def chunk_stats(t: Tables):
     # One row per document first: the language rides along and no join is needed.
-    per_doc = t.documents.withColumn("id", F.struct("doc_id", "lang"))
+    per_doc = t.spread("documents", "doc_id").withColumn("id", F.struct("doc_id", "lang"))
     pieces = chunks.chunk_documents(per_doc, key="id")
     return (
         pieces.groupBy("id")
@@ -93,7 +93,7 @@ def chunk_stats(t: Tables):
 )
 def token_df(t: Tables):
     per_doc = (
-        t.documents.select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
+        t.spread("documents", "doc_id").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
         .groupBy("term", "doc_id")
         .agg(F.count("*").alias("tf"))
     )
@@ -106,7 +106,7 @@ def token_df(t: Tables):
     FROM (SELECT doc_id, unnest(string_split(text, chr(12))) AS p, generate_subscripts(string_split(text, chr(12)), 1) AS i FROM documents)""",
 )
 def page_split(t: Tables):
-    return chunks.split_pages(t.documents, "doc_id", "text").select(
+    return chunks.split_pages(t.spread("documents", "doc_id"), "doc_id", "text").select(
         "doc_id", "page", F.md5("page_text").alias("page_md5")
     )
 
@@ -116,5 +116,5 @@ def page_split(t: Tables):
     """SELECT doc_id, 1 AS page_count, 'text_too_long' AS rules FROM documents WHERE length(text) > 20000""",
 )
 def size_rules(t: Tables):
-    found = chunks.limit_violations(t.documents, max_chars=20_000)
+    found = chunks.limit_violations(t.spread("documents", "doc_id"), max_chars=20_000)
     return found.select("doc_id", "page_count", F.array_join("rules", ",").alias("rules"))
