@@ -51,52 +51,71 @@ def extract_relations(
     """
     norm = normalize_key if unicode_keys else (lambda c: F.regexp_replace(F.lower(strip(c)), r"\s+", " "))
 
-    def value(role: str) -> Column:
-        if role not in roles:
-            return F.lit("")
-        cell = F.col(roles[role]).cast("string")
-        return F.coalesce(F.substring(strip(cell), 1, 500), F.lit(""))
+    # Cell values and their keys become columns first, so that the expressions
+    # below only combine plain columns.
+    provenance = ["base_id", "doc_id", "block_id", "row_no", "fingerprint", "source"]
+    cells = rows.select(
+        *provenance,
+        *[F.coalesce(F.substring(strip(F.col(h).cast("string")), 1, 500), F.lit("")).alias(f"v_{r}") for r, h in roles.items()],
+    )
+    rows = cells.select("*", *[norm(F.col(f"v_{r}")).alias(f"k_{r}") for r in roles])
+    nothing = F.lit("")
+
+    def value(role: str | None) -> Column:
+        return F.col(f"v_{role}") if role in roles else nothing
+
+    def keyed(role: str | None) -> Column:
+        return F.col(f"k_{role}") if role in roles else nothing
 
-    def node(kind: Column | str, code: Column, name: Column | None = None, scope: Column | None = None) -> Column:
+    def node(kind: Column | str, code: str | None, name: str | None = None, scope: Column | None = None) -> Column:
         kind = F.lit(kind) if isinstance(kind, str) else kind
-        shown = code if name is None else F.when(name == "", code).otherwise(name)
-        own = F.when(code != "", F.lit("base-identifier")).otherwise(F.concat(F.lit("source:"), F.col("source")))
+        shown = F.when(value(name) != "", value(name)).otherwise(value(code))
+        own = F.when(value(code) != "", F.lit("base-identifier")).otherwise(F.concat(F.lit("source:"), F.col("source")))
         where = own if scope is None else F.when(scope == "", own).otherwise(scope)
-        key = norm(F.when(code != "", code).otherwise(shown))
-        made = F.struct(kind.alias("type"), where.alias("scope"), key.alias("key"), shown.alias("name"), code.alias("code"))
+        key = F.when(value(code) != "", keyed(code)).otherwise(keyed(name))
+        made = F.struct(kind.alias("type"), where.alias("scope"), key.alias("key"), shown.alias("name"), value(code).alias("code"))
         return F.when(key != "", made)
 
     def node_id(n: Column) -> Column:
         return digest_id("entity_", F.col("base_id"), n["type"], n["scope"], n["key"])
 
-    organization = value("organization")
-    asset = F.when(value("asset") != "", node("asset", value("asset"), value("asset_name")))
-    order = node("work_order", value("work_order"))
-    line_scope = F.when(organization != "", F.concat(F.lit("organization:"), norm(organization))).otherwise("base-line")
-    line = node("line", value("line_id"), value("line"), line_scope)
-    station_scope = F.when(line.isNotNull(), F.concat(F.lit("line:"), node_id(line))).otherwise(
-        F.concat(F.lit("source:"), F.col("source"), F.lit(":organization:"), norm(organization))
+    has = lambda *names: any(n in roles for n in names)
+    asset = F.when(value("asset") != "", node("asset", "asset", "asset_name"))
+    order = node("work_order", "work_order")
+    line_scope = F.when(keyed("organization") != "", F.concat(F.lit("organization:"), keyed("organization"))).otherwise("base-line")
+    line = node("line", "line_id", "line", line_scope)
+    source_scope = F.concat(F.lit("source:"), F.col("source"), F.lit(":organization:"), keyed("organization"))
+    station_scope = (
+        F.when(line.isNotNull(), F.concat(F.lit("line:"), node_id(line))).otherwise(source_scope)
+        if has("line", "line_id") else source_scope
     )
-    event_scope = F.when(order.isNotNull(), F.concat(F.lit("order:"), node_id(order))).otherwise(
-        F.concat_ws(":", F.lit("row"), F.col("doc_id"), F.col("block_id"), F.col("row_no"))
+    row_scope = F.concat_ws(":", F.lit("row"), F.col("doc_id"), F.col("block_id"), F.col("row_no"))
+    event_scope = (
+        F.when(order.isNotNull(), F.concat(F.lit("order:"), node_id(order))).otherwise(row_scope)
+        if has("work_order") else row_scope
     )
-    within = lambda role: F.when(value(role) != "", F.lit("")).otherwise(event_scope)
+    within = lambda role: F.when(value(role) != "", nothing).otherwise(event_scope)
     # Only the roles the register has take part in the row's expression.
-    has = lambda *names: any(n in roles for n in names)
     nodes = {
         "asset": asset if has("asset") else None,
         "order": order if has("work_order") else None,
         "line": line if has("line", "line_id") else None,
-        "station": node("station", value("station_id"), value("station"), station_scope) if has("station", "station_id") else None,
-        "fault": node("fault", value("fault"), value("fault_name"), within("fault")) if has("fault", "fault_name") else None,
-        "issue": node("issue", value("issue"), value("issue_name"), within("issue")) if has("issue", "issue_name") else None,
-        "procedure": node("procedure", value("procedure"), value("procedure_name")) if has("procedure", "procedure_name") else None,
-        "document": node("document", value("document"), value("document_name")) if has("document", "document_name") else None,
+        "station": node("station", "station_id", "station", station_scope) if has("station", "station_id") else None,
+        "fault": node("fault", "fault", "fault_name", within("fault")) if has("fault", "fault_name") else None,
+        "issue": node("issue", "issue", "issue_name", within("issue")) if has("issue", "issue_name") else None,
+        "procedure": node("procedure", "procedure", "procedure_name") if has("procedure", "procedure_name") else None,
+        "document": node("document", "document", "document_name") if has("document", "document_name") else None,
     }
     if has("subject_type") and has("object_type") and has("explicit_relation"):
         stated = (value("subject_type") != "") & (value("object_type") != "") & (value("explicit_relation") != "")
-        nodes["subject"] = F.when(stated, node(value("subject_type"), value("subject_id"), value("subject_name")))
-        nodes["object"] = F.when(stated, node(value("object_type"), value("object_id"), value("object_name")))
+        nodes["subject"] = F.when(stated, node(value("subject_type"), "subject_id", "subject_name"))
+        nodes["object"] = F.when(stated, node(value("object_type"), "object_id", "object_name"))
+    # A second barrier: each node is built once per row.
+    rows = rows.select(
+        *provenance, *([F.col("v_explicit_relation")] if has("explicit_relation") else []),
+        *[n.alias(f"n_{name}") for name, n in nodes.items() if n is not None],
+    )
+    nodes = {name: F.col(f"n_{name}") for name, n in nodes.items() if n is not None}
 
     def edge(subjects: tuple[str, ...], target: str, predicate: Column | str) -> Column | None:
         given = [nodes[n] for n in subjects if nodes.get(n) is not None]
