@@ -171,3 +171,27 @@ HTML_ENTITIES = (
     ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
     ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("copy", "©"), ("reg", "®"),
 )
+
+# A citation named as the source of its sentence, before or after the number.
+SOURCE_BEFORE = (
+    r"(?:根据|依据|按照|依照|按|据)\s*(?:[^，。；;：:!?！？\[\]\n]{0,80}(?:资料|材料|文件|证据|原文|来源|规定|条例|办法|制度|标准|条款|要求|记录|报告|"
+    r"通知|手册|指引|指南|规程|数据|表格|文献|研究)|《[^》\n]{1,80}》)?"
+)
+SOURCE_AFTER = (
+    r"\s*(?:中所|中的|中|内|里|所|的)?\s*(?:明确地?|具体|进一步|曾|还)?\s*(?:规定|要求|指出|说明|表明|显示|记载|载明|列明|提到|披露|建议|强调|提出|"
+    r"载有|记述|明确(?=[，,:：]))"
+)
+
+# Words that state a comparison in a question, by filter operator.
+FILTER_WORDS = {
+    "neq": "不等于|不是|排除|除外|不含|不属于|!=|<>",
+    "gt": "大于|超过|高于|之后|晚于|>",
+    "gte": "不少于|至少|大于等于|不低于|>=|≥",
+    "lt": "小于|低于|之前|早于|<",
+    "lte": "不超过|至多|小于等于|不高于|<=|≤",
+    "between": "之间|范围|从|至|到|(?i:between)",
+}
+COUNT_QUESTION = "(?:多少|几)(?:条|行|项|台|个|笔)|(?:记录|条目|数据)(?:总)?数|行数|条数|计数"
+CONDITION_WORDS = (
+    r"平均|均值|求和|总额|总金额|最大|最小|分组|分别|排序|筛选|仅|只看|只统计|其中|满足|排除|大于|小于|等于|为|属于|日期|期间|\d{4}年"
+)

@@ -57,11 +57,12 @@ def user_principals(users: DataFrame, members: DataFrame) -> DataFrame:
     return own.unionByName(joined)
 
 
-def document_acl(documents: DataFrame, bases: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+def document_acl(documents: DataFrame, bases: DataFrame, members: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     """``(doc_id, principal, can_write)`` grants of every document that is not deleted.
 
     ``documents`` has ``doc_id``, ``base_id``, ``owner_id``, ``status``,
-    ``sensitivity``, ``access_state``, ``fresh_until`` and ``deleted_at``.
+    ``sensitivity``, ``access_state``, ``fresh_until`` and ``deleted_at``;
+    ``members`` is ``(base_id, user_id)`` with owners included.
     Published and available documents open to whoever may enter the base (to
     members only when confidential); owners see every status while they may enter
     the base; editors who own the document or base may write, also when the
@@ -73,7 +74,7 @@ def document_acl(documents: DataFrame, bases: DataFrame, users: DataFrame, as_of
     )
     held = bases.select("base_id", F.col("owner_id").alias("base_owner"), wide.alias("wide"))
     owners = users.select(F.col("user_id").alias("owner_id"), F.col("department").alias("owner_dept"))
-    membership = base_members(bases).select("base_id", F.col("user_id").alias("owner_id"), F.lit(True).alias("owner_member"))
+    membership = members.select("base_id", F.col("user_id").alias("owner_id"), F.lit(True).alias("owner_member"))
     docs = (
         documents.filter("deleted_at IS NULL").join(held, "base_id")
         .join(owners, "owner_id", "left").join(membership, ["base_id", "owner_id"], "left")
