@@ -155,7 +155,7 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     ``cases`` has ``case_id``, ``expected_doc``, ``expected_text``, ``terms``
     (array) and ``must_refuse``; ``results`` is ``(case_id, doc_id, text)``.
     Text tests look at the expected document's passages, or at all without one.
-    Tests run per passage and combine, so passages are never joined into one text.
+    Tests run per passage and combine as flags, so passages are never gathered.
     """
     joined = cases.join(results, "case_id", "left")
     present = F.col("doc_id").isNotNull()
@@ -165,11 +165,11 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
         F.count_if(present).alias("passages"),
         F.bool_or(applicable).alias("source_found"),
         F.bool_or(applicable & F.contains("text", F.coalesce("expected_text", F.lit("")))).alias("text_found"),
-        F.array_distinct(F.flatten(F.collect_set(
-            F.when(applicable, F.filter(wanted, lambda w: F.contains(F.col("text"), w))).otherwise(F.array().cast("array<string>"))
-        ))).alias("found_terms"),
     )
-    missing = F.array_except(wanted, F.col("found_terms"))
+    terms = joined.filter(applicable).select("case_id", "text", F.explode("terms").alias("term"))
+    found = terms.groupBy("case_id", "term").agg(F.bool_or(F.contains("text", F.col("term"))).alias("hit")).filter("hit")
+    hits = hits.join(found.groupBy("case_id").agg(F.collect_set("term").alias("found_terms")), "case_id", "left")
+    missing = F.array_except(wanted, F.coalesce("found_terms", F.array().cast("array<string>")))
     source_hit = F.col("expected_doc").isNull() | F.coalesce("source_found", F.lit(False))
     text_hit = (F.coalesce("expected_text", F.lit("")) == "") | F.coalesce("text_found", F.lit(False))
     refused = F.col("passages") == 0

@@ -160,10 +160,11 @@ def chunk_tables(
 
     ``rows`` holds the table key, ``row_no`` (from 1), ``source_no`` and ``cells``
     (array of strings); ``header`` and ``label`` are expressions of the key.  Every
-    chunk repeats the header and rows never overlap.  Tables are at most 50,000
-    rows by the source limits, which bounds the group that is folded.  A row that
-    passes ``max_row`` makes its chunk ``oversized`` so that it can be rejected.
+    chunk repeats the header and rows never overlap.  Only tables within the row
+    limit of the sources are folded, see :func:`oversized_tables` for the others.  A
+    row that passes ``max_row`` makes its chunk ``oversized`` so that it can be rejected.
     """
+    rows = rows.join(oversized_tables(rows, table_key), table_key, "left_anti")
     cell = lambda c: F.regexp_replace(c, r"[\t\r\n]+", " ")
     line = F.concat(
         F.lit("[数据行"), F.col("row_no").cast("string"), F.lit("，源记录"),
@@ -208,3 +209,10 @@ def chunk_tables(
         F.lit(" / "), F.col("total_rows"), F.lit("\n"), F.col("header"), F.lit("\n"), F.col("body"),
     )
     return chunked.select(*table_key, "chunk", "row_start", "row_end", "total_rows", "oversized", text.alias("chunk_text"))
+
+
+def oversized_tables(rows: DataFrame, table_key: list[str], max_rows: int = config.MAX_TABLE_ROWS, max_columns: int = config.MAX_TABLE_COLUMNS) -> DataFrame:
+    """Tables beyond the row or column limit (a quarantine list; the source must be split)."""
+    return rows.groupBy(*table_key).agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("columns")).filter(
+        (F.col("rows") > max_rows) | (F.col("columns") > max_columns)
+    )

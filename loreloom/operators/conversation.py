@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loreloom import config
 from loreloom.functions.text import clip
+from loreloom.operators.ordered import number_rows
 
 
 def object_ids(col: Column) -> Column:
@@ -16,12 +17,13 @@ def object_ids(col: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), lambda w: w.rlike(r"\d")))
 
 
-def message_order(sequence: str = "sequence", created: str = "created_at", role: str = "role", key: str = "message_id") -> list[Column]:
-    """Stable order: sequence, then time, questions before answers, then id."""
-    return [
-        F.col(sequence).asc_nulls_last(), F.col(created).asc_nulls_last(),
-        F.when(F.col(role) == "user", 0).otherwise(1), F.col(key),
-    ]
+def ordered_messages(messages: DataFrame, conversation: str, sequence: str, bucket: int = 1000) -> DataFrame:
+    """``place`` of every message in its conversation: by sequence, questions before answers.
+
+    Long conversations are numbered in buckets of the sequence, not in one task.
+    """
+    order = [F.col(sequence), F.when(F.col("role") == "user", 0).otherwise(1)]
+    return number_rows(messages, [conversation], order, F.floor(F.col(sequence) / bucket), "place")
 
 
 def answered_turns(messages: DataFrame) -> DataFrame:

@@ -38,43 +38,57 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
 
 
 def replay(
-    events: DataFrame, key: str, order: list[str], action: str, bucket: Column,
+    events: DataFrame, key: str, order: list[str], action: str, fine: Column, coarse: Column,
     rules: dict[tuple[str, str], str], start: str,
 ) -> DataFrame:
     """Replay actions through a transition table; illegal ones are rejected and change nothing.
 
-    ``rules`` maps (state, action) to the next state.  Each bucket is folded from
-    every possible state at once, which gives a small state -> state table; the
-    tables are then chained per key, and every bucket is replayed from its true
-    start state.  Adds ``from_state``, ``to_state`` and ``accepted``.
+    ``rules`` maps (state, action) to the next state.  A bucket of rows acts on the
+    state as a small state -> state table, whatever it holds, and such tables can be
+    chained.  So every fine bucket is folded from all states at once, the tables are
+    chained within coarse buckets and then per key, and with its start state known
+    each fine bucket is replayed on its own.  No step gathers more than one fine
+    bucket's rows or one level's tables.  Adds ``from_state``, ``to_state`` and
+    ``accepted``.
     """
     states = sorted({s for s, _ in rules} | set(rules.values()) | {start})
+    names = F.array(*[F.lit(s) for s in states])
     table = F.create_map(*[F.lit(x) for (s, a), t in sorted(rules.items()) for x in (f"{s}\u001f{a}", t)])
 
     def after(state: Column, act: Column) -> Column:
         return F.try_element_at(table, F.concat(state, F.lit("\u001f"), act))
 
-    marked = events.withColumn("_bucket", bucket)
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("_act"))))
-    grouped = marked.groupBy(key, "_bucket").agg(ordered.alias("_rows"))
+    def through(effect: Column, state: Column) -> Column:
+        return F.element_at(effect, F.array_position(names, state).cast("int"))
+
+    marked = events.withColumn("_fine", fine).withColumn("_coarse", coarse)
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("_act"))))
+    buckets = marked.groupBy(key, "_coarse", "_fine").agg(rows.alias("_rows"))
     fold = lambda s: F.aggregate("_rows", s, lambda acc, r: F.coalesce(after(acc, r["_act"]), acc))
-    effects = grouped.select(key, "_bucket", F.map_from_arrays(
-        F.array(*[F.lit(s) for s in states]), F.array(*[fold(F.lit(s)) for s in states])
-    ).alias("_effect"))
-    chain = effects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "_bucket", F.transform(F.array(*[F.lit(s) for s in states]), lambda s: F.element_at("_effect", s)).alias("to")
-    ))).alias("_chain"))
-    names = F.array(*[F.lit(s) for s in states])
-    empty = F.struct(F.lit(start).alias("state"), F.array().cast(
-        f"array<struct<_bucket:{marked.schema['_bucket'].dataType.simpleString()},state:string>>").alias("out"))
-    entered = chain.select(key, F.explode(F.aggregate(
-        "_chain", empty,
-        lambda acc, b: F.struct(
-            F.element_at(b["to"], F.array_position(names, acc["state"]).cast("int")).alias("state"),
-            F.array_append(acc["out"], F.struct(b["_bucket"].alias("_bucket"), acc["state"].alias("state"))).alias("out"),
-        ),
-    )["out"]).alias("_e")).select(key, F.col("_e._bucket").alias("_bucket"), F.col("_e.state").alias("_start"))
-    fields = ", ".join(f"`{c}`:{events.schema[c].dataType.simpleString()}" for c in order)
+    effects = buckets.select(key, "_coarse", "_fine", F.transform(names, fold).alias("_effect"))
+
+    def chained(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), "_effect"))).alias("_list"))
+        whole = lambda s: F.aggregate("_list", s, lambda acc, e: through(e["_effect"], acc))
+        return listed.select(*keys, "_list", F.transform(names, whole).alias("_effect"))
+
+    def entries(chain: DataFrame, keys: list[str], bucket: str, begin: Column) -> DataFrame:
+        kind = dict(marked.dtypes)[bucket]
+        empty = F.struct(begin.alias("state"), F.array().cast(f"array<struct<b:{kind},state:string>>").alias("out"))
+        walked = F.aggregate("_list", empty, lambda acc, e: F.struct(
+            through(e["_effect"], acc["state"]).alias("state"),
+            F.array_append(acc["out"], F.struct(e["b"].alias("b"), acc["state"].alias("state"))).alias("out"),
+        ))["out"]
+        return chain.select(*keys, F.explode(walked).alias("_e")).select(
+            *keys, F.col("_e.b").alias(bucket), F.col("_e.state").alias("_start")
+        )
+
+    per_coarse = chained(effects, [key, "_coarse"], "_fine")
+    per_key = chained(per_coarse.drop("_list"), [key], "_coarse")
+    coarse_start = entries(per_key, [key], "_coarse", F.lit(start))
+    fine_start = entries(per_coarse.join(coarse_start, [key, "_coarse"]), [key, "_coarse"], "_fine", F.col("_start"))
+
+    fields = ", ".join(f"`{c}`:{dict(events.dtypes)[c]}" for c in order)
     log = f"array<struct<{fields},_act:string,from_state:string,to_state:string,accepted:boolean>>"
     begin = F.struct(F.col("_start").alias("state"), F.array().cast(log).alias("log"))
 
@@ -87,7 +101,10 @@ def replay(
         )
         return F.struct(reached.alias("state"), F.array_append(acc["log"], row).alias("log"))
 
-    replayed = grouped.join(entered, [key, "_bucket"]).select(
+    replayed = buckets.join(fine_start, [key, "_coarse", "_fine"]).select(
         key, F.explode(F.aggregate("_rows", begin, step)["log"]).alias("_l")
     )
-    return replayed.select(key, *[F.col(f"_l.{c}").alias(c) for c in order], F.col("_l._act").alias(action), "_l.from_state", "_l.to_state", "_l.accepted")
+    return replayed.select(
+        key, *[F.col(f"_l.{c}").alias(c) for c in order], F.col("_l._act").alias(action),
+        "_l.from_state", "_l.to_state", "_l.accepted",
+    )

@@ -195,7 +195,7 @@ def latest_version(t: Tables):
 )
 def version_states(t: Tables):
     numbered = ordered.number_rows(
-        t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "version"
+        t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), "version"
     )
     rows = numbered.select(
         F.col("user_id").alias("family_id"), "event_id", "version", F.col("ts").alias("effective_at"),
@@ -210,7 +210,7 @@ def version_states(t: Tables):
 )
 def next_sequence(t: Tables):
     return ordered.number_rows(
-        t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "sequence"
+        t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), "sequence"
     ).select("event_id", "sequence")
 
 
@@ -303,7 +303,7 @@ def version_chain(t: Tables):
     from pyspark.sql import Window as W
 
     recent = t.events.filter(F.col("ts") >= "2024-01-29")
-    numbered = ordered.number_rows(recent, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"))
+    numbered = ordered.number_rows(recent, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"))
     before = numbered.select("user_id", (F.col("number") + 1).alias("number"), F.col("event_id").alias("previous_id"))
     linked = numbered.join(before, ["user_id", "number"], "left").select(F.col("event_id").alias("doc_id"), "previous_id")
     return versions.version_chains(linked).filter("length <= 64").select(F.col("doc_id").alias("event_id"), "root_id", "length")
@@ -332,7 +332,7 @@ def _rules_sql() -> str:
     SELECT user_id, event_id, f AS from_state, t AS to_state, ok AS accepted FROM w""",
 )
 def transition_replay(t: Tables):
-    done = ordered.replay(t.events, "user_id", ["ts", "event_id"], "event_type", F.date_trunc("day", "ts"), RULES, "new")
+    done = ordered.replay(t.events, "user_id", ["ts", "event_id"], "event_type", F.date_trunc("second", "ts"), F.date_trunc("hour", "ts"), RULES, "new")
     return done.select("user_id", "event_id", "from_state", "to_state", "accepted")
 
 

@@ -126,13 +126,11 @@ def follow_up_rewrite(t: Tables):
 
 @query(
     "message_order",
-    """SELECT conv_id, string_agg(role, ',' ORDER BY turn, CASE role WHEN 'user' THEN 0 ELSE 1 END) AS roles FROM conversations GROUP BY conv_id""",
+    """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE role WHEN 'user' THEN 0 ELSE 1 END) AS place FROM conversations""",
 )
 def message_order(t: Tables):
-    item = F.struct("turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("first"), "role")
-    return t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("m")).select(
-        "conv_id", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles")
-    )
+    placed = conversation.ordered_messages(t.conversations, "conv_id", "turn")
+    return placed.select("conv_id", "turn", "role", "place")
 
 
 # --- answers ----------------------------------------------------------------------

@@ -88,7 +88,7 @@ def steps(t: Tables) -> DataFrame:
 
     day = F.date_format("ts", "yyyy-MM-dd")
     keyed = t.events.withColumn("trace_id", F.concat_ws("/", "user_id", day)).withColumnRenamed("event_type", "step")
-    return number_rows(keyed, ["trace_id", "step"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "attempt").select(
+    return number_rows(keyed, ["trace_id", "step"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"), "attempt").select(
         "trace_id", "step", "attempt", F.col("ts").alias("started_at"),
         F.when(F.col("value") < 10, "failed").otherwise("succeeded").alias("status"),
         F.floor(F.col("value") * 100).cast("long").alias("duration_ms"), "event_id",
@@ -133,7 +133,7 @@ def retry_schedule(t: Tables):
         "user_id", "event_id", "ts", (kind == "purchase").alias("ok"),
         F.when(kind == "signup", "MODEL_AUTH_FAILED").otherwise("TIMEOUT").alias("error_code"),
     )
-    done = usage.retry_schedule(attempts, ["user_id"], "ts", "event_id", F.date_trunc("hour", "ts"))
+    done = usage.retry_schedule(attempts, ["user_id"], "ts", "event_id", F.date_trunc("minute", "ts"))
     return done.select("event_id", "failures", "retryable", "exhausted", "next_attempt_at")
 
 
@@ -149,7 +149,7 @@ def delivery_retries(t: Tables):
     attempts = t.events.filter(kind.isin("click", "error")).select(
         "user_id", "event_id", "ts", (kind == "click").alias("ok"), F.lit("HTTP_500").alias("error_code")
     )
-    done = usage.delivery_schedule(attempts, ["user_id"], "ts", "event_id", F.date_trunc("hour", "ts"))
+    done = usage.delivery_schedule(attempts, ["user_id"], "ts", "event_id", F.date_trunc("minute", "ts"))
     return done.select("event_id", "failures", "exhausted", "next_attempt_at")
 
 
