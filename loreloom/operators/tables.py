@@ -368,6 +368,7 @@ def column_letters(index: Column) -> Column:
 
 def serial_date(days: Column, date1904: bool = False, time_only: bool = False) -> Column:
     """Spreadsheet serial number to ISO text; whole days without a time."""
+    days = days.cast("double")
     epoch = (
         F.lit("1904-01-01") if date1904
         else F.when(days < 60, F.lit("1899-12-31")).otherwise(F.lit("1899-12-30"))
