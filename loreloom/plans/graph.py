@@ -32,7 +32,7 @@ def asset_register(t: Tables) -> DataFrame:
 
 def order_register(t: Tables) -> DataFrame:
     """Order lines: the supplier's work order and the part as procedure."""
-    rows = t.lineitem.select(
+    rows = t.spread("lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber",
         F.concat(F.lit("S-"), F.col("l_suppkey")).alias("asset_id"),
         F.concat(F.lit("O-"), F.col("l_orderkey")).alias("work_order_id"),
