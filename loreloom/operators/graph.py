@@ -279,8 +279,10 @@ def _mentions(queries: DataFrame, terms: DataFrame) -> DataFrame:
     )
     # The other way round: a short query that is part of a longer name.
     whole = queries.filter(F.length("text") >= 2).withColumn("gram", F.substring("text", 1, _GRAM))
+    # Only names at least as long as the shortest query can hold one.
+    shortest = queries.select(F.coalesce(F.min(F.length("text")), F.lit(0))).scalar()
     around = (
-        names.select("node_id", "term", F.explode(_grams(F.col("term"))).alias("gram"))
+        names.filter(F.length("term") >= shortest).select("node_id", "term", F.explode(_grams(F.col("term"))).alias("gram"))
         .join(whole, "gram").filter(F.contains("term", "text")).select("query_id", "node_id")
     )
     return by_code.unionByName(inside).unionByName(around).distinct()
@@ -290,6 +292,8 @@ def match_seeds(nodes: DataFrame, queries: DataFrame, unicode_keys: bool = True)
     """Nodes named in each query: by code where any code matches, else by name."""
     norm = normalize_key if unicode_keys else (lambda c: F.regexp_replace(F.lower(strip(c)), r"\s+", " "))
     asked = queries.select("query_id", norm(F.col("query")).alias("text"))
+    # Codes and names are matched in several ways; the nodes are resolved once.
+    nodes = cut_lineage(nodes.select("node_id", "code", "name"))
     codes = nodes.filter(~is_blank(F.col("code"))).select("node_id", norm(F.col("code")).alias("term"))
     names = nodes.select("node_id", norm(F.col("name")).alias("term"))
     explicit = _mentions(asked, codes)
