@@ -7,6 +7,8 @@ handled on its own and only one summary row per bucket is combined per key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,18 +19,24 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key up to and including this one.
 
-    ``bucket`` must be non-decreasing along ``order`` within a key.
+    ``bucket`` must be non-decreasing along ``order`` within a key.  Rows with a
+    null key or bucket are kept: null is a key like any other.
     """
     marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = marked.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    together = [*keys, "_bucket"]
+    offsets = totals.select(
+        *[F.col(k).alias(f"_o{i}") for i, k in enumerate(together)],
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(together)])
     return (
         marked.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, same)
         .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_value", "_inside", "_offset")
+        .drop("_bucket", "_value", "_inside", "_offset", *[f"_o{i}" for i in range(len(together))])
     )
 
 
