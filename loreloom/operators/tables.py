@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,8 +104,15 @@ def _compare(df: DataFrame, name: str, op: str, bound: object, lenient: bool) ->
     text = str(bound)
     is_date = bool(re.match(DATE, text))
     kind = df.schema[name].dataType
+    # On typed columns the bare column meets a literal of its type, which the
+    # scan can use; cells of text are parsed first.
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        left, right = F.col(name).cast("timestamp"), F.to_timestamp(F.lit(text))
+        left, right = F.col(name), F.lit(text).cast(kind)
+    elif isinstance(kind, T.NumericType) and not is_date:
+        left = F.col(name)
+        right = F.lit(Decimal(text)) if isinstance(kind, T.DecimalType) else F.lit(text).cast(
+            kind if re.match(r"^[+-]?\d+$", text) else "double"
+        )
     elif is_date:
         cell = F.col(name).cast("string")
         left = F.when(cell.rlike(DATE), F.try_to_timestamp(cell))
@@ -125,14 +133,16 @@ def predicate(df: DataFrame, f: Filter, lenient: bool = False) -> Column:
     if f.op == "eq":
         return same(f.value)
     if f.op == "neq":
-        return F.coalesce(~same(f.value), F.lit(str(f.value) != ""))
+        missing_differs = cell.isNull() if str(f.value) != "" else F.lit(False)
+        return missing_differs | ~same(f.value)
     if f.op == "contains":
         return F.contains(cell.cast("string"), F.lit(str(f.value)))
     if f.op == "in":
         if numeric and all(isinstance(v, (int, float)) for v in f.value):
             return cell.isin(list(f.value))
         return cell.cast("string").isin([str(v) for v in f.value])
-    present = ~is_blank(cell.cast("string"))
+    text = isinstance(df.schema[f.column].dataType, T.StringType)
+    present = ~is_blank(cell) if text else cell.isNotNull()
     if f.op == "between":
         low, high = f.value
         return present & _compare(df, f.column, "gte", low, lenient) & _compare(df, f.column, "lte", high, lenient)
