@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,29 +28,26 @@ def build_session(app: str = "loreloom", master: str | None = None, **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting (tests) gets a folder of its own.
+    Where that is unset, as in a bare test session, a folder below the
+    warehouse is used: Spark's own shared place for tables.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="loreloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
-
-    For results that several branches of a plan use: the work is done once and
-    survives the loss of executors.
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+
+
+def new_path(spark: SparkSession, label: str = "table") -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read on from there.
+
+    For results that several branches of a plan use: the work is done once,
+    survives the loss of executors, and later scans prune columns and rows.
     """
-    folder = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
