@@ -57,3 +57,32 @@ def running_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column]
         {k: F.col(f"_before_{k}") + F.coalesce(F.sum(f"_in_{k}").over(inside), F.lit(0)) for k in sums}
     )
     return placed.select(*df.columns, *sums)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b): the smallest node that its edges reach.
+
+    Alternating large-star and small-star steps; every step is a minimum per
+    node and a join, and its result is written, so no key gathers its
+    neighbours in one place.  Loops and repeated edges do no harm.
+    """
+    now = cut_lineage(edges.where("a <> b").select(
+        F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")
+    ).distinct(), "edges")
+    state = None
+    while True:
+        both = now.union(now.select("m", "v")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select("v", "m").distinct()
+        parent = large.groupBy("v").agg(F.min("m").alias("p"))
+        small = large.join(parent, "v").select(
+            F.explode(F.array(F.struct("v", F.col("p").alias("m")), F.struct(F.col("m").alias("v"), F.col("p").alias("m")))).alias("e")
+        ).select("e.v", "e.m").where("v <> m").distinct()
+        now = cut_lineage(small, "edges")
+        # Sums of hashes modulo 2^64 tell whether anything moved.
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)"))).first()
+        if seen == state or not seen[0]:
+            break
+        state = seen
+    roots = now.select(F.col("m").alias("v"), "m").distinct()
+    return now.union(roots).toDF("node", "component")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import chat_format, language_id, mixing, secret_scan, sharding, url_filter
+from loreloom.llm import chat_format, html_extract, language_id, mixing, ngram_join, secret_scan, sharding, url_filter
 from loreloom.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, folder, "documents"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -38,6 +42,10 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan_documents(table(spark, folder, "documents"))
 
@@ -53,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_id, op3_mixing, op4_url_filter, op6_chat_format, op8_sharding, op10_secret_scan,
+    op1_ngram_join, op2_language_id, op3_mixing, op4_url_filter, op6_chat_format, op8_sharding, op9_html_extract,
+    op10_secret_scan,
 )}
 ORACLES: dict[str, str] = {}
