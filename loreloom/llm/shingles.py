@@ -16,10 +16,6 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: One odd factor for each place in a shingle, and one per length of a short text.
-_FACTORS = np.array([(0xD1342543DE82EF95 * (2 * k + 1)) % (1 << 64) | 1 for k in range(64)], dtype=np.uint64)
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     values = values ^ (values >> np.uint64(30))
@@ -29,6 +25,10 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+#: Independent odd factors: one for each place in a shingle, and one per length of a short text.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     if n:
