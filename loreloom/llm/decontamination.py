@@ -193,6 +193,17 @@ def search(batches: Iterator[pd.DataFrame], portion: Portion):
         yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "first_word"]).astype({"item_id": "int64"})
 
 
+def portions(
+    benchmark: DataFrame, item_col: str, item_text_col: str, k: int, least: float, radius: int, size: int
+) -> Iterator[Portion]:
+    """The benchmark in portions of about ``size`` items."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    passes = max(1, -(-items.count() // size))
+    for number in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).toPandas()
+        yield Portion(part["item_id"].tolist(), part["text"].tolist(), k, least, radius)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -208,13 +219,9 @@ def contaminated(
       null; empty tables give no rows; other columns are not read.  Item ids
       are integers.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passes = max(1, -(-items.count() // portion))
     found = None
-    for number in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).toPandas()
-        wanted = Portion(part["item_id"].tolist(), part["text"].tolist(), k, least, radius)
+    for wanted in portions(benchmark, item_col, item_text_col, k, least, radius, portion):
         hits = rows.mapInPandas(
             lambda batches, wanted=wanted: search(batches, wanted),
             "doc_id long, item_id long, similarity double, first_word long",
@@ -223,7 +230,25 @@ def contaminated(
     return found
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no match.  Rows without an id stay."""
-    leaks = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_id"], "left_anti")
+def leak_flag(wanted: Portion):
+    """A column function: does a text match an item of the portion?"""
+
+    def flags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts.reset_index(drop=True)})
+            hit = np.zeros(len(texts), dtype=bool)
+            for found in search([rows], wanted):
+                hit[found["doc_id"].to_numpy(dtype=np.int64)] = True
+            yield pd.Series(hit)
+
+    return F.pandas_udf(flags, "boolean")
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float = LEAST, radius: int = RADIUS,
+    portion: int = PORTION,
+) -> DataFrame:
+    """The rows of ``docs`` whose text matches no item, decided where a row lies."""
+    for wanted in portions(benchmark, "item_id", "text", k, least, radius, portion):
+        docs = docs.where(~leak_flag(wanted)(F.col("text")))
+    return docs

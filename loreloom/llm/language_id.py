@@ -235,10 +235,19 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def kept_documents(docs: DataFrame, least_share: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` whose main language has at least ``least_share`` of the words.
 
-    Texts without letters go.  Repeated ids stay or go together: they stay if
-    one of their texts does.
+    Texts without letters go, null ones too.  The decision is made where a row
+    lies: nothing is shuffled, and repeated rows are decided alike.  When
+    nothing could be learned, no row can be told from another and all stay.
     """
-    rejected = identify(docs, **options).groupBy("doc_id").agg(F.max("score").alias("score")).where(
-        F.col("score") < least_share
-    ).select(F.col("doc_id").alias("_id"))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    langs, logs = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()), **options)
+    if not langs:
+        return docs
+
+    @F.pandas_udf("double")
+    def main_share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            ids = pd.Series(range(len(texts)))
+            rows = pd.DataFrame({"doc_id": ids, "held_out": False, "text": texts.reset_index(drop=True)})
+            yield pd.concat([r["score"] for r in predict_batches([rows], langs, logs)] or [pd.Series(dtype=float)])
+
+    return docs.where(main_share(F.col("text")) >= least_share)

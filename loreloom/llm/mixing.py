@@ -120,11 +120,25 @@ def row_hash(id_col: str, text_col: str, seed: int = 17) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them, with the columns of ``docs``."""
-    decided = mix(docs, **options).where("copies > 0").groupBy("doc_id", "row_hash").agg(
-        F.max("copies").alias("_copies")
-    ).withColumnsRenamed({"doc_id": "_id", "row_hash": "_hash"})
+    """The rows of ``docs`` that the mix takes, each as often as it takes them, with the columns of ``docs``.
+
+    A source's queue is cut at one place per epoch, so the mix is told by one
+    row per source; documents meet those rows and are not shuffled by id.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    keyed = docs.withColumn("_key", row_hash(id_col, text_col, options.get("seed", 17)))
-    kept = keyed.join(decided, (keyed["_key"] == decided["_hash"]) & keyed[id_col].eqNullSafe(decided["_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    source_col = options.get("source_col", "source")
+    epochs = range(1, options.get("max_epochs", 2) + 1)
+    here = F.struct("row_hash", "doc_id")
+    cuts = cut_lineage(mix(docs, **options).groupBy(F.col("source").alias("_source")).agg(
+        *[F.max(F.when(F.col("copies") >= e, here)).alias(f"_cut{e}") for e in epochs]
+    ))
+    place_of = F.struct(
+        row_hash(id_col, text_col, options.get("seed", 17)).alias("row_hash"), F.col(id_col).alias("doc_id"))
+    copies = sum((F.when(F.col("_place") <= F.col(f"_cut{e}"), 1).otherwise(0) for e in epochs), F.lit(0))
+    return (
+        docs.withColumn("_place", place_of)
+        .join(cuts, docs[source_col].eqNullSafe(cuts["_source"]))
+        .withColumn("_copies", copies).where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*docs.columns)
+    )

@@ -367,7 +367,7 @@ def join_classes(
         profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("open").alias("open")),
         "classes",
     )
-    searched = classes.where("open = true and first is not null").select(F.col("first").alias("doc_id"))
+    searched = cut_lineage(classes.where("open = true and first is not null").select(F.col("first").alias("doc_id")))
     ordered = ordered_sets(rows.join(searched, "doc_id", "left_semi"), k, hundredths, buckets)
     groups = ordered.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("group_id"))
     groups = cut_lineage(
@@ -395,10 +395,13 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat an id, one stays: the first by text.
     """
     component = join_classes(docs, **options)
-    copies = component.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    component = cut_lineage(component, "components")
+    copies = cut_lineage(
+        component.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    )
     kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
     twice = component.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = twice.select(F.col("doc_id").alias("_id"))
+    again = cut_lineage(twice.select(F.col("doc_id").alias("_id")))
     single = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
     others = [F.struct(F.col("text"), *[F.col(c) for c in docs.columns if c != "text"]).alias("_row")]
     repeated = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").select("doc_id", *others).groupBy(
