@@ -62,8 +62,9 @@ def mix(
 
     * ``size`` counts words; ``taken`` = size * ``copies`` counts the words the
       mix takes from the row, repeats included, at most ``max_epochs`` times.
-    * The order inside a source is a hash of (seed, id, text), so reruns agree
-      and do not depend on partitions.  Equal rows are interchangeable.
+    * The order inside a source is a hash of (seed, id), then the id and the
+      size, so reruns agree and do not depend on partitions.  Rows equal in
+      these are interchangeable.
     * Null or empty texts have size 0 and are in the mix (``copies``) where
       their place in the queue is, with no words.  A null source is a source
       of its own, after all others.  A source without words has target 0 and
@@ -72,7 +73,7 @@ def mix(
     """
     sized = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), row_hash(id_col, text_col, seed).alias("row_hash"),
+        word_count(F.col(text_col)).alias("size"), row_hash(id_col, seed).alias("row_hash"),
     ))
     targets = cut_lineage(source_targets(sized, weights, share, max_epochs))
     queued = running_sums(
@@ -115,8 +116,10 @@ def place(finish: Column, epoch: Column, row: Column) -> Column:
     return F.struct(finish.cast("double").alias("finish"), epoch.cast("int").alias("epoch"), row.cast("long").alias("row"))
 
 
-def row_hash(id_col: str, text_col: str, seed: int = 17) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+def row_hash(id_col: str, seed: int = 17) -> Column:
+    """60 bits of a digest of (seed, id): the random order of a queue."""
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -128,12 +131,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     source_col = options.get("source_col", "source")
     epochs = range(1, options.get("max_epochs", 2) + 1)
-    here = F.struct("row_hash", "doc_id")
+    here = F.struct("row_hash", "doc_id", "size")
     cuts = cut_lineage(mix(docs, **options).groupBy(F.col("source").alias("_source")).agg(
         *[F.max(F.when(F.col("copies") >= e, here)).alias(f"_cut{e}") for e in epochs]
     ))
     place_of = F.struct(
-        row_hash(id_col, text_col, options.get("seed", 17)).alias("row_hash"), F.col(id_col).alias("doc_id"))
+        row_hash(id_col, options.get("seed", 17)).alias("row_hash"), F.col(id_col).alias("doc_id"),
+        word_count(F.col(text_col)).alias("size"))
     copies = sum((F.when(F.col("_place") <= F.col(f"_cut{e}"), 1).otherwise(0) for e in epochs), F.lit(0))
     return (
         docs.withColumn("_place", place_of)

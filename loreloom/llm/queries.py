@@ -10,6 +10,7 @@ from loreloom.llm import (
     url_filter,
 )
 from loreloom.llm.common import table
+from loreloom.llm.oracles import ORACLES
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,4 +76,5 @@ QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_language_id, op3_mixing, op4_url_filter, op5_decontamination, op6_chat_format,
     op7_embedding_dedup, op8_sharding, op9_html_extract, op10_secret_scan,
 )}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["QUERIES", "ORACLES"]
