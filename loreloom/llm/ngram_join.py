@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import components
+from loreloom.llm.common import components, settings
 from loreloom.llm.shingles import WordReader, shingle_hashes
 from loreloom.session import cut_lineage
 
@@ -40,6 +40,13 @@ LEAST = 75
 #: Shingles in a block, about; a block is what one task holds at a time.
 BLOCK = 4_000_000
 DIGEST = 16
+#: Runtime filters for joins of any size; the filter itself has at most Spark's maxNumBits.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
 
 
 def least_overlap(n: int, hundredths: int) -> int:
@@ -130,17 +137,22 @@ def count_first(rows: pd.DataFrame) -> pd.DataFrame:
     """For one range of hashes: per block, how many of each document's hashes other blocks have too."""
     if rows["bucket"].iloc[0] < 0:
         return rows
+    per_doc = [np.frombuffer(data, dtype=np.uint32).astype(np.int64) for data in rows["own"]]
     sent = [np.frombuffer(data, dtype=np.uint32) for data in rows["once"]]
-    per_doc = [np.frombuffer(data, dtype=np.uint32) for data in rows["own"]]
-    singles = [s[: int(c.sum())] for s, c in zip(sent, per_doc)]
-    # Hashes of several classes of a block count twice: they are not alone anywhere.
-    every = np.sort(np.concatenate(singles + [s[int(c.sum()):] for s, c in zip(sent, per_doc)] * 2))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    found = []
-    for mine, counts in zip(singles, per_doc):
-        hit = np.concatenate(([0], np.cumsum(np.isin(mine, shared, assume_unique=False))))
-        ends = np.cumsum(counts.astype(np.int64))
-        found.append((hit[ends] - hit[ends - counts]).astype(np.int64).tobytes())
+    lengths = [int(counts.sum()) for counts in per_doc]
+    # Hashes of several classes of a block stand twice: they are not alone anywhere.
+    every = np.concatenate([x[:n] for x, n in zip(sent, lengths)] + [x[n:] for x, n in zip(sent, lengths)] * 2)
+    order = np.argsort(every)
+    same = every[order[1:]] == every[order[:-1]]
+    shared = np.zeros(len(every), dtype=bool)
+    shared[order[1:]] = same
+    shared[order[:-1]] |= same
+    found, at = [], 0
+    for counts, n in zip(per_doc, lengths):
+        hits = np.concatenate(([0], np.cumsum(shared[at:at + n])))
+        ends = np.cumsum(counts)
+        found.append((hits[ends] - hits[ends - counts]).astype(np.int64).tobytes())
+        at += n
     return rows.assign(own=found, once=None)
 
 
@@ -241,8 +253,16 @@ def order_sets(block: pd.DataFrame, counts: pd.DataFrame, hundredths: int) -> pd
     return pd.DataFrame(rows, columns=["doc_id", "n", "prefix", "prefix_key", "shared"])
 
 
-def ordered_sets(rows: DataFrame, k: int, hundredths: int, buckets: int) -> DataFrame:
-    blocks = cut_lineage(rows.mapInPandas(lambda batches: pack_blocks(batches, k), BLOCKS), "blocks")
+def ordered_sets(rows: DataFrame, wanted: DataFrame, k: int, hundredths: int, buckets: int) -> DataFrame:
+    """Prefixes and shared shingles of the rows (doc_id, text) whose id is among ``wanted`` (doc_id, n).
+
+    Where the ids are too many to broadcast, Spark's own Bloom filter (of
+    bounded size) keeps most other texts out of the shuffle; it filters only
+    sides that a predicate makes selective, hence ``n > 0``.
+    """
+    chosen = rows.join(wanted.where("n > 0").select("doc_id"), "doc_id", "left_semi")
+    with settings(rows.sparkSession, BLOOM):
+        blocks = cut_lineage(chosen.mapInPandas(lambda batches: pack_blocks(batches, k), BLOCKS), "blocks")
     counts = blocks.mapInPandas(lambda batches: send_counts(batches, buckets), COUNTS).groupBy("bucket").applyInPandas(
         sum_counts, COUNTS
     )
@@ -364,11 +384,13 @@ def join_classes(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = cut_lineage(profiles(rows, k, hundredths, buckets), "profiles")
     classes = cut_lineage(
-        profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("open").alias("open")),
+        profile.where("n > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("first"), F.max("open").alias("open"), F.first("n").alias("n")),
         "classes",
     )
-    searched = cut_lineage(classes.where("open = true and first is not null").select(F.col("first").alias("doc_id")))
-    ordered = ordered_sets(rows.join(searched, "doc_id", "left_semi"), k, hundredths, buckets)
+    searched = cut_lineage(
+        classes.where("open = true and first is not null").select(F.col("first").alias("doc_id"), "n"), "searched")
+    ordered = ordered_sets(rows, searched, k, hundredths, buckets)
     groups = ordered.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("group_id"))
     groups = cut_lineage(
         ordered.select("doc_id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).select("doc_id", "group_id"), "groups"
@@ -377,7 +399,9 @@ def join_classes(
     near = cut_lineage(linked(leader_pairs(groups, postings, hundredths), ordered, hundredths), "links")
     apart = open_pairs(postings, components(near), hundredths)
     # Rows that share an id but not a text connect their classes.
-    members = profile.where("n > 0 and doc_id is not null").join(classes, "digest").select("doc_id", "n", "first")
+    members = profile.where("n > 0 and doc_id is not null").join(
+        classes.select("digest", "first"), "digest"
+    ).select("doc_id", "n", "first")
     same_id = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     same_id = members.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b"))
     found = components(near.union(linked(apart, ordered, hundredths)).union(same_id))
