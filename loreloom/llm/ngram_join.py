@@ -11,8 +11,9 @@
    most of its lists agree on, and the members of a group against its first
    one.  What is linked becomes one component.
 5. Then all pairs of one list that lie in different components and pass the
-   size and position bounds are expanded to members and verified, so no link
-   between components is lost, and links inside a component need no pairs.
+   bounds by size, position and common leader are expanded to members and
+   verified, so no link between components is lost, and links inside a
+   component need no pairs.
 
 Shingle counts travel as sorted arrays per (block of documents, range of
 hashes), every shingle once per block, so copies and passages that many
@@ -48,7 +49,6 @@ BLOOM = {
 }
 
 
-
 def least_overlap(n: int, hundredths: int) -> int:
     """Fewest common shingles of a linked set of ``n`` with any other."""
     return -(-hundredths * n // 100)
@@ -282,14 +282,18 @@ def overlaps(batches: Iterator[pd.DataFrame]):
         yield batch[["a", "b", "a_n", "b_n"]].assign(overlap=common)
 
 
-def linked(pairs: DataFrame, ordered: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a_n, b_n and the overlap of their sets."""
     def side(name: str) -> DataFrame:
         return ordered.select(
             F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("shared").alias(f"{name}_shared"))
 
     sets = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    counted = sets.mapInPandas(overlaps, "a long, b long, a_n long, b_n long, overlap long")
+    return sets.mapInPandas(overlaps, "a long, b long, a_n long, b_n long, overlap long")
+
+
+def linked(counted: DataFrame, hundredths: int) -> DataFrame:
+    """The verified pairs that link."""
     union = F.col("a_n") + F.col("b_n") - F.col("overlap")
     return counted.where(F.lit(100) * F.col("overlap") >= F.lit(hundredths) * union).select("a", "b")
 
@@ -326,41 +330,50 @@ def leader_pairs(groups: DataFrame, postings: DataFrame, hundredths: int) -> Dat
     return chosen.toDF("a", "b").union(groups.where("doc_id <> group_id").select("doc_id", "group_id"))
 
 
-def open_pairs(postings: DataFrame, component: DataFrame, hundredths: int) -> DataFrame:
-    """All pairs (a, b) of a list in different components that size and position allow.
+def open_pairs(postings: DataFrame, component: DataFrame, led: DataFrame, hundredths: int) -> DataFrame:
+    """All pairs (a, b) of a list in different components that size, position and leader allow.
 
-    Components meet first, by their best bounds; only the members of those that
-    pass are paired.
+    ``led`` (doc_id, leader, inside, outside): of the shared shingles of a set,
+    how many its leader has and how many it has not.  Two sets of one leader
+    overlap in at most min(inside) + min(outside).  Parts of components meet
+    first, by their best bounds; only the members of those that pass are paired.
     """
-    placed = postings.join(component, postings["doc_id"] == component["node"], "left").select(
-        "doc_id", "n", "token", "left", F.coalesce("component", "doc_id").alias("component")
+    placed = postings.join(led, "doc_id").join(component, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", "n", "token", "left", "leader", "inside", "outside",
+        F.coalesce("component", "doc_id").alias("component"),
     )
     mixed = placed.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("token")
-    placed = cut_lineage(placed.join(mixed, "token", "left_semi"), "postings")
-    parts = placed.groupBy("token", "component").agg(
-        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("left").alias("left")
-    )
-
-    def pairs(rows: DataFrame, keys: list[str], low: str, high: str):
-        a, b = rows.alias("a"), rows.alias("b")
-        need = pair_overlap(F.col(f"a.{low}"), F.col(f"b.{low}"), hundredths)
-        fits = (
-            (F.col(f"a.{high}") * 100 >= F.col(f"b.{low}") * hundredths)
-            & (F.col(f"b.{high}") * 100 >= F.col(f"a.{low}") * hundredths)
-            & (F.least("a.left", "b.left") >= need)
+    placed = cut_lineage(placed.join(mixed, "token", "left_semi").withColumns({"n_low": F.col("n"), "n_high": F.col("n")}),
+                         "postings")
+    part = ["token", "component", "leader"]
+    parts = cut_lineage(placed.groupBy(*part).agg(
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"),
+        *[F.max(c).alias(c) for c in ("left", "inside", "outside")],
+    ), "parts")
+
+    def allowed(a: str, b: str) -> Column:
+        need = pair_overlap(F.col(f"{a}.n_low"), F.col(f"{b}.n_low"), hundredths)
+        common = F.least(f"{a}.inside", f"{b}.inside") + F.least(f"{a}.outside", f"{b}.outside")
+        return (
+            (F.col(f"{a}.n_high") * 100 >= F.col(f"{b}.n_low") * hundredths)
+            & (F.col(f"{b}.n_high") * 100 >= F.col(f"{a}.n_low") * hundredths)
+            & (F.least(f"{a}.left", f"{b}.left") >= need)
+            & ((F.col(f"{a}.leader") != F.col(f"{b}.leader")) | (common >= need))
         )
-        return a, b, fits
 
-    a, b, fits = pairs(parts, ["token"], "n_low", "n_high")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & fits).select(
-        F.col("a.token").alias("token"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")
+    def member(side: str, of: str) -> Column:
+        same = [F.col(f"{side}.{c}") == F.col(f"{of}.{c}") for c in part]
+        return same[0] & same[1] & same[2]
+
+    met = parts.alias("pa").join(
+        parts.alias("pb"),
+        (F.col("pa.token") == F.col("pb.token")) & (F.col("pa.component") < F.col("pb.component")) & allowed("pa", "pb"),
     )
-    a, b, fits = pairs(placed, ["token"], "n", "n")
     return (
-        met.join(a, (F.col("a.token") == met["token"]) & (F.col("a.component") == met["ca"]))
-        .join(b, (F.col("b.token") == met["token"]) & (F.col("b.component") == met["cb"]) & fits)
+        met.join(placed.alias("a"), member("a", "pa") & allowed("a", "pb"))
+        .join(placed.alias("b"), member("b", "pb") & allowed("a", "b"))
         .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     )
 
@@ -396,15 +409,23 @@ def join_classes(
         ordered.select("doc_id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).select("doc_id", "group_id"), "groups"
     )
     postings = cut_lineage(listed(ordered, hundredths), "lists")
-    near = cut_lineage(linked(leader_pairs(groups, postings, hundredths), ordered, hundredths), "links")
-    apart = open_pairs(postings, components(near), hundredths)
+    tried = cut_lineage(verified(leader_pairs(groups, postings, hundredths), ordered), "tried")
+    near = linked(tried, hundredths)
+    all_shared = (F.length("shared") / 8).cast("long")
+    led = ordered.select("doc_id", all_shared.alias("all")).join(
+        tried.groupBy(F.col("a").alias("doc_id")).agg(F.max(F.struct("overlap", "b")).alias("best")), "doc_id", "left"
+    ).select(
+        "doc_id", F.coalesce("best.b", "doc_id").alias("leader"), F.coalesce("best.overlap", "all").alias("inside"),
+        (F.col("all") - F.coalesce("best.overlap", "all")).alias("outside"),
+    )
+    apart = cut_lineage(open_pairs(postings, components(near), led, hundredths), "pairs")
     # Rows that share an id but not a text connect their classes.
     members = profile.where("n > 0 and doc_id is not null").join(
         classes.select("digest", "first"), "digest"
     ).select("doc_id", "n", "first")
     same_id = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     same_id = members.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b"))
-    found = components(near.union(linked(apart, ordered, hundredths)).union(same_id))
+    found = components(near.union(linked(verified(apart, ordered), hundredths)).union(same_id))
     placed = profile.join(classes.select("digest", "first"), "digest", "left").select("doc_id", "n", "first")
     own = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))
     return placed.join(found, placed["first"] == found["node"], "left").select(
