@@ -6,8 +6,9 @@ items left unchanged (``clean_run``).  Items are fingerprinted at every offset,
 documents at every S-th word, so such a passage shares a whole window, and its
 fingerprint, with the item.  Fingerprints within ``RADIUS`` bits are found
 through RADIUS + 1 tables, one per block of bits: two fingerprints that near
-agree in one block at least.  Every hit is aligned, and the document's window
-of the item's own size is compared with the item by weighted shingles.
+agree in one block at least.  Every hit is aligned, and the document's windows
+of the item's own size there are compared with the item: each shingle weighs as
+often as it occurs, and the similarity is the weighted Jaccard measure.
 
 Documents are read once, where they lie, and never shuffled.  Benchmarks are
 sent to the tasks in portions of at most ``PORTION`` items, one pass each.
@@ -38,15 +39,18 @@ SEGMENT = 1 << 16
 def clean_run(n_words: int, k: int, least: float) -> int:
     """Words in a row that stay unchanged, at least, in a passage of ``n_words`` similar by ``least``.
 
-    The passage keeps 2 * least / (1 + least) of its shingles; a changed word
-    inside loses k of them, one at an end loses one.
+    The passage keeps ``least`` of its shingles; a changed word inside loses k
+    of them, one at an end loses one.
     """
-    n = n_words - k + 1
-    lost = int(n - np.ceil(n * 2 * least / (1 + least) - 1e-9))
-    inside, ends = divmod(lost, k)
+    inside, ends = divmod(most_lost(n_words - k + 1, least), k)
     return (n_words - ends - inside) // (inside + 1)
 
 
+def most_lost(n: int, least: float) -> int:
+    """Most of ``n`` shingles that a text similar by ``least`` can lack."""
+    return int(n - np.ceil(n * least - 1e-9))
+
+
 def stride(window: int) -> int:
     return max(1, window // 4)
 
@@ -110,12 +114,12 @@ class Blocks:
 
 
 class Portion:
-    """Fingerprint tables and weighted shingles of some benchmark items."""
+    """Fingerprint tables and counted shingles of some benchmark items."""
 
     def __init__(self, item_ids: list[int], texts: list[str | None], k: int, least: float, radius: int) -> None:
         self.k, self.least = k, least
         reader = WordReader()
-        self.ids, self.sets, self.lengths = [], [], []
+        self.ids, self.counts, self.lengths = [], [], []
         by_window: dict[int, list] = {}
         for item_id, text in zip(item_ids, texts):
             words = reader.words(text)
@@ -124,16 +128,13 @@ class Portion:
             shingles = shingle_hashes(words, k)
             number = len(self.ids)
             self.ids.append(item_id)
-            self.sets.append(set(shingles.tolist()))
+            self.counts.append(Counter(shingles.tolist()))
             self.lengths.append(len(shingles))
             window = window_of(len(words), k, least)
             size = window - k + 1
             starts = np.arange(len(shingles) - size + 1)
             prints, first = np.unique(fingerprints(shingles, starts, size), return_index=True)
             by_window.setdefault(window, []).append((number, prints, first))
-        held = Counter(s for items in self.sets for s in items)
-        #: A shingle weighs less the more items have it; others weigh 1.
-        self.weight = {s: 1.0 / n for s, n in held.items() if n > 1}
         self.classes = []
         for window, items in sorted(by_window.items()):
             prints = np.concatenate([p for _, p, _ in items])
@@ -142,11 +143,25 @@ class Portion:
             self.classes.append((window, Blocks(prints, radius), item, offset))
 
     def similarity(self, item: int, shingles: np.ndarray) -> float:
-        own, other = self.sets[item], set(shingles.tolist())
-        weigh = self.weight.get
-        common = sum(weigh(s, 1.0) for s in own & other)
-        union = sum(weigh(s, 1.0) for s in own | other)
-        return common / union if union else 0.0
+        other = Counter(shingles.tolist())
+        common = (self.counts[item] & other).total()
+        return common / (self.lengths[item] + len(shingles) - common)
+
+    def near(self, item: int, text: np.ndarray, at: int) -> tuple[float, int]:
+        """Similarity of the window of the item's size at ``at``; if it fails, of the first near it that does not.
+
+        Words put in or left out before the hit move the window by as many
+        places as the item can lose shingles, at most.
+        """
+        size = self.lengths[item]
+        moved = most_lost(size, self.least)
+        for step in (0, *(sign * d for d in range(1, moved + 1) for sign in (-1, 1))):
+            start = at + step
+            if 0 <= start < len(text):
+                found = self.similarity(item, text[start : start + size])
+                if found >= self.least:
+                    return found, start
+        return 0.0, at
 
     def matches(self, shingles: np.ndarray, begins: np.ndarray, counts: np.ndarray):
         """(text number, item, similarity, first word) of the best window of each text and item.
@@ -172,9 +187,9 @@ class Portion:
                     continue
                 tried.add((t, i, at))
                 begin = int(begins[t])
-                found = self.similarity(i, shingles[begin + at : begin + min(at + self.lengths[i], int(counts[t]))])
-                if found >= self.least and found > best.get((t, i), (0.0, 0))[0]:
-                    best[t, i] = (found, at)
+                found, start = self.near(i, shingles[begin : begin + int(counts[t])], at)
+                if found > best.get((t, i), (0.0, 0))[0]:
+                    best[t, i] = (found, start)
         return [(t, self.ids[i], s, at) for (t, i), (s, at) in sorted(best.items())]
 
 
