@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreloom import config
@@ -155,23 +156,29 @@ def chunk_tables(
     label: Column,
     size: int = config.CHUNK_CHARS,
     max_row: int = config.TABLE_ROW_CHARS,
+    max_rows: int = config.MAX_TABLE_ROWS,
+    max_columns: int = config.MAX_TABLE_COLUMNS,
 ) -> DataFrame:
     """Whole-row table chunks: rows packed in order until the next would pass ``size``.
 
     ``rows`` holds the table key, ``row_no`` (from 1), ``source_no`` and ``cells``
     (array of strings); ``header`` and ``label`` are expressions of the key.  Every
-    chunk repeats the header and rows never overlap.  Only tables within the row
-    limit of the sources are folded, see :func:`oversized_tables` for the others.  A
-    row that passes ``max_row`` makes its chunk ``oversized`` so that it can be rejected.
+    chunk repeats the header and rows never overlap.  A table is packed in ranges of
+    ``max_rows`` rows, so no task holds more; within the sources' limit that is the
+    whole table.  ``within_limits`` is false for tables of more rows or columns, and
+    a row that passes ``max_row`` makes its chunk ``oversized``: both can be rejected.
     """
-    rows = rows.join(oversized_tables(rows, table_key), table_key, "left_anti")
+    part = F.floor((F.col("row_no") - 1) / F.lit(max_rows)).alias("_part")
+    totals = rows.groupBy(*table_key).agg(
+        F.count("*").cast("int").alias("total_rows"), F.max(F.size("cells")).alias("_columns")
+    ).withColumn("within_limits", (F.col("total_rows") <= max_rows) & (F.col("_columns") <= max_columns)).drop("_columns")
     cell = lambda c: F.regexp_replace(c, r"[\t\r\n]+", " ")
     line = F.concat(
         F.lit("[数据行"), F.col("row_no").cast("string"), F.lit("，源记录"),
         F.col("source_no").cast("string"), F.lit("] "),
         F.array_join(F.transform("cells", cell), "\t"),
     )
-    grouped = rows.groupBy(*table_key).agg(
+    grouped = rows.groupBy(*table_key, part).agg(
         F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))).alias("lines")
     )
     base = F.length(header) + F.length(label) + F.lit(80)
@@ -194,25 +201,33 @@ def chunk_tables(
         )
 
     packed = grouped.select(
-        *table_key, F.size("lines").alias("total_rows"), header.alias("header"), label.alias("label"),
+        *table_key, "_part", header.alias("header"), label.alias("label"),
         base.alias("base"), F.explode(F.aggregate("lines", start, pack)["out"]).alias("r"),
     )
-    chunked = packed.groupBy(*table_key, F.col("r.chunk").alias("chunk")).agg(
-        F.first("total_rows").alias("total_rows"), F.first("header").alias("header"),
+    chunked = packed.groupBy(*table_key, "_part", F.col("r.chunk").alias("_chunk")).agg(
+        F.first("header").alias("header"),
         F.first("label").alias("label"), F.min("r.row_no").alias("row_start"),
         F.max("r.row_no").alias("row_end"),
         F.max(F.length("r.line") + F.col("base") > max_row).alias("oversized"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.row_no", "r.line"))), lambda s: s["line"]), "\n").alias("body"),
     )
+    # Chunk numbers run on over the ranges: one row per range is numbered.
+    before = W.partitionBy(*table_key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = chunked.groupBy(*table_key, "_part").agg(F.max("_chunk").alias("_n")).select(
+        *table_key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_offset")
+    )
+    chunked = chunked.join(offsets, [*table_key, "_part"]).join(totals, table_key).withColumn(
+        "chunk", F.col("_chunk") + F.col("_offset")
+    )
     text = F.concat(
         F.col("label"), F.lit("；数据行 "), F.col("row_start"), F.lit("–"), F.col("row_end"),
         F.lit(" / "), F.col("total_rows"), F.lit("\n"), F.col("header"), F.lit("\n"), F.col("body"),
     )
-    return chunked.select(*table_key, "chunk", "row_start", "row_end", "total_rows", "oversized", text.alias("chunk_text"))
+    return chunked.select(*table_key, "chunk", "row_start", "row_end", "total_rows", "oversized", "within_limits", text.alias("chunk_text"))
 
 
 def oversized_tables(rows: DataFrame, table_key: list[str], max_rows: int = config.MAX_TABLE_ROWS, max_columns: int = config.MAX_TABLE_COLUMNS) -> DataFrame:
-    """Tables beyond the row or column limit (a quarantine list; the source must be split)."""
+    """Tables beyond the row or column limit of the sources (a list for review; nothing is dropped)."""
     return rows.groupBy(*table_key).agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("columns")).filter(
         (F.col("rows") > max_rows) | (F.col("columns") > max_columns)
     )

@@ -115,34 +115,42 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str = "external_id"
     return replace_rows(state, fresh, key, fresh)
 
 
-def version_chains(documents: DataFrame, depth: int = 64) -> DataFrame:
-    """Root and length of every version's chain of predecessors.
-
-    Pointer doubling: each round joins every row to its ancestor's ancestor, so
-    64 links take six rounds.  ``documents`` is ``(doc_id, previous_id)``;
-    ``complete`` is false when a predecessor is missing or the chain is longer.
+def version_chains(documents: DataFrame, depth: int | None = None) -> DataFrame:
+    """Root and length of every version's chain of predecessors, of any length.
+
+    Pointer doubling: each round joins every row to its ancestor's ancestor until
+    nothing moves, which takes as many rounds as the longest chain has binary
+    digits.  ``documents`` is ``(doc_id, previous_id)``.  ``complete`` is false,
+    and ``root_id`` null, when a predecessor is missing or the chain runs in a
+    circle; with ``depth`` also for longer chains, which keep their root.
     """
     known = documents.select(F.col("doc_id").alias("ancestor"), F.lit(True).alias("_known"))
-    jump = (
+    jump = cut_lineage(
         documents.select("doc_id", F.col("previous_id").alias("ancestor"))
         .join(known, "ancestor", "left")
         .select(
             "doc_id", F.coalesce(F.when(F.col("_known"), F.col("ancestor")), F.col("doc_id")).alias("ancestor"),
-            F.when(F.col("_known"), 1).otherwise(0).alias("steps"),
+            F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("steps"),
             (F.col("ancestor").isNotNull() & F.col("_known").isNull()).alias("broken"),
+            F.coalesce("_known", F.lit(False)).alias("moved"),
         )
     )
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
-        jump = cut_lineage(jump)
-        up = jump.select(F.col("doc_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_steps"), F.col("broken").alias("_broken"))
-        jump = jump.join(up, "ancestor").select(
+    for _ in range(jump.count().bit_length() + 1):
+        if not jump.filter("moved").limit(1).count():
+            break
+        up = jump.select(
+            F.col("doc_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_steps"),
+            F.col("broken").alias("_broken"))
+        jump = cut_lineage(jump.join(up, "ancestor").select(
             "doc_id", F.col("_next").alias("ancestor"), (F.col("steps") + F.col("_steps")).alias("steps"),
-            (F.col("broken") | F.col("_broken")).alias("broken"),
-        )
+            (F.col("broken") | F.col("_broken")).alias("broken"), (F.col("_steps") > 0).alias("moved"),
+        ))
+    # What still moves after as many doublings as there are rows runs in a circle.
+    whole = ~F.col("broken") & ~F.col("moved")
+    deep = F.lit(True) if depth is None else F.col("steps") < depth
     return jump.select(
-        "doc_id", F.col("ancestor").alias("root_id"), (F.col("steps") + 1).alias("length"),
-        (~F.col("broken") & (F.col("steps") < depth)).alias("complete"),
+        "doc_id", F.when(whole, F.col("ancestor")).alias("root_id"),
+        F.when(whole, F.col("steps") + 1).alias("length"), (whole & deep).alias("complete"),
     )
 
 
@@ -163,7 +171,7 @@ def revision_history(before: DataFrame, after: DataFrame, reviewed: DataFrame) -
     )
 
 
-def history_complete(blocks: DataFrame, records: DataFrame, depth: int = 64) -> DataFrame:
+def history_complete(blocks: DataFrame, records: DataFrame, depth: int | None = None) -> DataFrame:
     """Whether each block's history leads back to revision 1 without a gap.
 
     ``blocks`` is ``(block, revision)``; ``records`` links ``(block, revision)`` to

@@ -294,19 +294,18 @@ def upsert(t: Tables):
 
 @query(
     "version_chain",
-    """WITH RECURSIVE l AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE ts >= TIMESTAMP '2024-01-29'),
+    """WITH RECURSIVE l AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
     w AS (SELECT event_id, event_id AS root, 1 AS n FROM l WHERE prev IS NULL UNION ALL SELECT l.event_id, w.root, w.n + 1 FROM l JOIN w ON l.prev = w.event_id)
-    SELECT event_id, root AS root_id, n::INT AS length FROM w WHERE n <= 64""",
+    SELECT event_id, root AS root_id, n::BIGINT AS length FROM w""",
 )
 def version_chain(t: Tables):
-    """Each event of the last days follows the user's previous one."""
+    """Each event follows the user's previous one."""
     from pyspark.sql import Window as W
 
-    recent = t.events.filter(F.col("ts") >= "2024-01-29")
-    numbered = ordered.number_rows(recent, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"))
+    numbered = ordered.number_rows(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"))
     before = numbered.select("user_id", (F.col("number") + 1).alias("number"), F.col("event_id").alias("previous_id"))
     linked = numbered.join(before, ["user_id", "number"], "left").select(F.col("event_id").alias("doc_id"), "previous_id")
-    return versions.version_chains(linked).filter("length <= 64").select(F.col("doc_id").alias("event_id"), "root_id", "length")
+    return versions.version_chains(linked).select(F.col("doc_id").alias("event_id"), "root_id", "length")
 
 
 RULES = {

@@ -126,9 +126,23 @@ def timeline_problems(t: Tables):
     return layout.timeline_problems(segments, durations)
 
 
-@query("table_chunks")
+@query(
+    "table_chunks",
+    """WITH RECURSIVE r AS (SELECT o_custkey, row_number() OVER c AS row_no, count(*) OVER (PARTITION BY o_custkey) AS total_rows,
+        '[数据行' || row_number() OVER c || '，源记录' || (row_number() OVER c + 1) || '] ' || o_orderkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority AS line
+      FROM orders WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    l AS (SELECT *, '表格：customer ' || o_custkey AS label, length(line) + 1 AS n, length('order-status-priority') + length('表格：customer ' || o_custkey) + 80 AS base FROM r),
+    w AS (SELECT o_custkey, row_no, 1 AS chunk, base + n AS used FROM l WHERE row_no = 1
+      UNION ALL SELECT l.o_custkey, l.row_no, CASE WHEN used + n <= 400 THEN chunk ELSE chunk + 1 END, CASE WHEN used + n <= 400 THEN used + n ELSE base + n END
+      FROM w JOIN l ON l.o_custkey = w.o_custkey AND l.row_no = w.row_no + 1)
+    SELECT o_custkey, chunk, min(row_no)::INT AS row_start, max(row_no)::INT AS row_end, any_value(total_rows)::INT AS total_rows,
+      max(n - 1 + base) > 12000 AS oversized, any_value(total_rows) <= 50000 AS within_limits,
+      any_value(label) || '；数据行 ' || min(row_no) || '–' || max(row_no) || ' / ' || any_value(total_rows) || chr(10)
+        || 'order' || chr(9) || 'status' || chr(9) || 'priority' || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS chunk_text
+    FROM w JOIN l USING (o_custkey, row_no) GROUP BY o_custkey, chunk""",
+)
 def table_chunks(t: Tables):
-    """The orders of each customer as a table packed into chunks; tests compare with a loop."""
+    """The orders of each customer as a table packed into chunks."""
     from loreloom.operators.ordered import number_rows
 
     numbered = number_rows(t.orders, ["o_custkey"], [F.col("o_orderkey")], F.floor(F.col("o_orderkey") / 10_000), "row_no")

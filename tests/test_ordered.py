@@ -46,7 +46,18 @@ def test_nearest_rank(spark):
 def test_version_chain_reports_gaps(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (5, 4)], "doc_id long, previous_id long")
     rows = {r["doc_id"]: (r["root_id"], r["length"], r["complete"]) for r in versions.version_chains(df).collect()}
-    assert rows == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 3, True), 5: (5, 1, False)}
+    # A chain with a missing predecessor has no root that could be named.
+    assert rows == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 3, True), 5: (None, None, False)}
+
+
+def test_version_chains_of_any_length_and_circles(spark):
+    rows = [(i, i - 1 if i > 1 else None) for i in range(1, 81)] + [(100, 102), (101, 100), (102, 101), (103, 102)]
+    df = spark.createDataFrame(rows, "doc_id long, previous_id long").repartition(5)
+    found = {r["doc_id"]: (r["root_id"], r["length"], r["complete"]) for r in versions.version_chains(df).collect()}
+    assert all(found[i] == (1, i, True) for i in range(1, 81))
+    assert all(found[i] == (None, None, False) for i in range(100, 104))
+    flagged = {r["doc_id"]: r["complete"] for r in versions.version_chains(df, depth=64).collect()}
+    assert flagged[64] and not flagged[65]
 
 
 def test_history_needs_every_revision(spark):

@@ -93,6 +93,11 @@ def test_table_chunks_hold_whole_rows(spark):
     lines = [line.split("] ", 1)[1] for r in found for line in r["chunk_text"].split("\n")[2:]]
     assert lines == ["\t".join(c) for c in cells]
     assert chunks.oversized_tables(df, ["t"], max_rows=10).count() == 1
+    # A table beyond the limit is packed in ranges; no row is lost.
+    parts = chunks.chunk_tables(df, ["t"], F.lit("id\tnote"), F.lit("表格：demo"), size=400, max_rows=10).orderBy("chunk").collect()
+    assert [r["chunk"] for r in parts] == list(range(1, len(parts) + 1)) and not any(r["within_limits"] for r in parts)
+    assert [line.split("] ", 1)[1] for r in parts for line in r["chunk_text"].split("\n")[2:]] == lines
+    assert all(r["within_limits"] for r in found)
 
 
 def test_facts_and_masks(spark):
