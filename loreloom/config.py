@@ -37,6 +37,17 @@ GRAPH_MAX_EDGES = 400
 GRAPH_MAX_HOPS = 3
 GRAPH_MAX_PATHS = 100
 
+# --- page layout: fixed values, in units of the middle word height or in pixels --
+LAYOUT_WORD_HEIGHT = 20.0
+LAYOUT_LINE_GAP = 0.65
+LAYOUT_CELL_GAP = 1.6
+LAYOUT_CELL_GAP_PIXELS = 24.0
+LAYOUT_ROW_GAP = 6
+LAYOUT_ALIGN = 2.5
+LAYOUT_ALIGN_PIXELS = 40.0
+LAYOUT_TABLE_ROWS = 3
+LAYOUT_TABLE_COLUMNS = 20
+
 # --- retries and windows ----------------------------------------------------
 RETRY_ATTEMPTS = 3
 RETRY_DELAYS_SECONDS = (30, 120)

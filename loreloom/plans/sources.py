@@ -82,21 +82,33 @@ def mapped_records(t: Tables):
 @query(
     "layout_cells",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-    p AS (SELECT doc_id, n, unnest(string_split(line, ' | ')) AS part FROM l)
-    SELECT doc_id, count(DISTINCT n) AS lines, count(*) AS cells FROM p WHERE regexp_matches(part, '[^ ]') GROUP BY doc_id""",
+    q AS (SELECT doc_id, n, string_split(line, ' | ') AS ps FROM l WHERE regexp_matches(line, '[^ |]')),
+    p AS (SELECT doc_id, n, unnest(ps) AS part, generate_subscripts(ps, 1) AS i, ps FROM q),
+    c AS (SELECT doc_id, n, part, 16 * (length(part) - length(ltrim(part, ' |')) + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 3)), 0)) AS x, i
+      FROM p WHERE regexp_matches(part, '[^ |]')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS cell, dense_rank() OVER (PARTITION BY doc_id ORDER BY n) AS line FROM c),
+    a AS (SELECT *, coalesce(lag(line) OVER w = line - 1 AND abs(x - lag(x) OVER w) <= 50, false) AS beside FROM k WINDOW w AS (PARTITION BY doc_id, cell ORDER BY line)),
+    r AS (SELECT doc_id, line, n, max(cell) AS width, bool_and(beside) AS aligned FROM a GROUP BY ALL),
+    f AS (SELECT *, coalesce(aligned AND lag(width) OVER w = width AND (n - lag(n) OVER w) * 30 < 120, false) AS follows FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    g AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM f),
+    t AS (SELECT doc_id, run, count(*) AS height FROM g GROUP BY doc_id, run, width HAVING count(*) >= 3 AND width BETWEEN 2 AND 20)
+    SELECT doc_id, count(DISTINCT k.line) AS lines, count(*) AS cells, count(DISTINCT t.run) AS tables, count(t.run) AS table_cells
+    FROM k JOIN g USING (doc_id, line) LEFT JOIN t USING (doc_id, run) GROUP BY doc_id""",
 )
 def layout_cells(t: Tables):
     """Documents laid out as word boxes: 16 px per character, 30 px per line, bars are gaps."""
     lines = t.spread("documents", "doc_id").select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("n", "line"))
-    words = lines.select("doc_id", "n", F.explode(F.split("line", " ")).alias("w0"), "line").drop("w0").distinct()
-    placed = words.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("i", "text"), "line")
+    placed = lines.select("doc_id", "n", "line", F.posexplode(F.split("line", " ")).alias("i", "text"))
     before = F.length(F.array_join(F.slice(F.split("line", " "), F.lit(1), F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
     boxes = placed.select(
         "doc_id", F.lit(1).alias("page"), "text", (before * 16).cast("double").alias("left"), (F.col("n") * 30).cast("double").alias("top"),
         (F.length("text") * 16).cast("double").alias("width"), F.lit(20.0).alias("height"),
     ).filter("text <> '' AND text <> '|'")
     cells = layout.page_cells(boxes)
-    return cells.groupBy("doc_id").agg(F.count_distinct("line").alias("lines"), F.count("*").alias("cells"))
+    return cells.groupBy("doc_id").agg(
+        F.count_distinct("line").alias("lines"), F.count("*").alias("cells"), F.count_distinct("table_no").alias("tables"),
+        F.count("table_no").alias("table_cells"),
+    )
 
 
 @query(

@@ -2,76 +2,79 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_WORDS = 50_000
-CELLS = "doc_id bigint, page int, line int, cell int, text string, left double, top double, right double, bottom double, table_no int"
-
-
-def _page_cells(words: pd.DataFrame) -> pd.DataFrame:
-    """Lines, cells and aligned tables of one page."""
-    words = words.assign(center=words["top"] + words["height"] / 2).sort_values(["center", "left"])
-    height = float(words["height"].sort_values().iloc[len(words) // 2]) or 20.0
-    # A line is anchored at its first word: a word farther away opens the next line.
-    lines, anchor, number = [], None, 0
-    for center in words["center"]:
-        if anchor is None or abs(anchor - center) > height * 0.65:
-            anchor, number = center, number + 1
-        lines.append(number)
-    words = words.assign(line=lines).sort_values(["line", "left"], kind="stable")
-    words["right"] = words["left"] + words["width"]
-    words["bottom"] = words["top"] + words["height"]
-    gap = words["left"] - words.groupby("line")["right"].shift()
-    words["cell"] = (gap > max(24.0, height * 1.6)).groupby(words["line"]).cumsum() + 1
-    cells = words.groupby(["line", "cell"], as_index=False).agg(
-        text=("text", " ".join), left=("left", "min"), top=("top", "min"), right=("right", "max"), bottom=("bottom", "max")
-    )
-    shape = cells.groupby("line").agg(width=("cell", "max"), starts=("left", list))
-    centers = words.groupby("line")["center"].first()
-    tables: dict[int, int] = {}
-    count, line = 0, 1
-    while line <= number:
-        end, width = line + 1, shape.loc[line, "width"]
-        if 2 <= width <= 20:
-            while (
-                end <= number and shape.loc[end, "width"] == width and centers[end] - centers[end - 1] < height * 6
-                and all(abs(a - b) <= max(40.0, height * 2.5) for a, b in zip(shape.loc[end, "starts"], shape.loc[line, "starts"]))
-            ):
-                end += 1
-        if width >= 2 and end - line >= 3:
-            count += 1
-            tables.update(dict.fromkeys(range(line, end), count))
-            line = end
-        else:
-            line += 1
-    cells["table_no"] = cells["line"].map(tables).astype("Int32")
-    return cells
+from loreloom import config
 
+PAGE = ("doc_id", "page")
 
-def page_cells(boxes: DataFrame) -> DataFrame:
-    """Cells of every page in reading order; ``table_no`` marks aligned lines.
 
-    ``boxes`` is ``(doc_id, page, text, left, top, width, height)``.  A page is the
-    unit of work: at most 50,000 words by the source limits, pages beyond it are
-    left to :func:`oversized_pages`.
+def page_cells(boxes: DataFrame) -> DataFrame:
+    """Cells of every page in reading order; ``table_no`` marks lines that form a table.
+
+    ``boxes`` is ``(doc_id, page, text, left, top, width, height)``, pages of any
+    size.  Words whose centres follow each other closely are a line, words of a
+    line with a wide gap between them are cells.  Consecutive lines of equally
+    many cells that start below each other are a table candidate.  All steps are
+    windows and aggregates over a page; distances are in units of its middle
+    word height.
     """
-    filled = boxes.filter(F.trim("text") != "")
-    usable = filled.join(oversized_pages(filled), ["doc_id", "page"], "left_anti")
+    words = boxes.filter(F.trim("text") != "").withColumn("center", F.col("top") + F.col("height") / 2)
+    by_height = W.partitionBy(*PAGE).orderBy("height")
+    middle = (
+        words.select(*PAGE, "height", F.row_number().over(by_height).alias("k"), F.count("*").over(W.partitionBy(*PAGE)).alias("n"))
+        .filter(F.col("k") == F.floor(F.col("n") / 2) + 1)
+        .select(*PAGE, F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(config.LAYOUT_WORD_HEIGHT)).alias("unit"))
+    )
+    words = words.join(middle, list(PAGE))
+
+    down = W.partitionBy(*PAGE).orderBy("center", "left", "text")
+    opens = F.col("center") - F.lag("center").over(down) > F.col("unit") * config.LAYOUT_LINE_GAP
+    words = words.withColumn("line", _count(opens, down) + 1)
+
+    across = W.partitionBy(*PAGE, "line").orderBy("left", "center", "text")
+    gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(across)
+    wide = gap > F.greatest(F.lit(config.LAYOUT_CELL_GAP_PIXELS), F.col("unit") * config.LAYOUT_CELL_GAP)
+    cells = words.withColumn("cell", _count(wide, across) + 1).groupBy(*PAGE, "line", "cell").agg(
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("left", "center", "text"))), lambda w: w["text"]
+        ), " ").alias("text"),
+        F.min("left").alias("left"), F.min("top").alias("top"),
+        F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"),
+        F.min("center").alias("center"), F.first("unit").alias("unit"),
+    )
+    return cells.join(_tables(cells), [*PAGE, "line"], "left").select(
+        *PAGE, "line", "cell", "text", "left", "top", "right", "bottom", "table_no"
+    )
 
-    def run(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
-        cells = _page_cells(words)
-        cells.insert(0, "page", key[1])
-        cells.insert(0, "doc_id", key[0])
-        return cells
 
-    return usable.groupBy("doc_id", "page").applyInPandas(run, CELLS)
+def _count(flag: Column, window: W) -> Column:
+    """How often ``flag`` has held up to and including this row."""
+    return F.sum(F.when(flag, 1).otherwise(0)).over(window.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
 
 
-def oversized_pages(boxes: DataFrame, limit: int = MAX_WORDS) -> DataFrame:
-    """Pages with more word boxes than the sources allow."""
-    return boxes.groupBy("doc_id", "page").agg(F.count("*").alias("words")).filter(F.col("words") > limit)
+def _tables(cells: DataFrame) -> DataFrame:
+    """``(doc_id, page, line, table_no)`` of the lines that belong to a table candidate."""
+    above = W.partitionBy(*PAGE, "cell").orderBy("line")
+    reach = F.greatest(F.lit(config.LAYOUT_ALIGN_PIXELS), F.col("unit") * config.LAYOUT_ALIGN)
+    beside = (F.lag("line").over(above) == F.col("line") - 1) & (F.abs(F.col("left") - F.lag("left").over(above)) <= reach)
+    lines = cells.withColumn("beside", F.coalesce(beside, F.lit(False))).groupBy(*PAGE, "line").agg(
+        F.max("cell").alias("width"), F.bool_and("beside").alias("aligned"), F.min("center").alias("center"),
+        F.first("unit").alias("unit"),
+    )
+    down = W.partitionBy(*PAGE).orderBy("line")
+    follows = (
+        F.col("aligned") & (F.lag("width").over(down) == F.col("width"))
+        & (F.col("center") - F.lag("center").over(down) < F.col("unit") * config.LAYOUT_ROW_GAP)
+    )
+    runs = lines.withColumn("run", _count(~F.coalesce(follows, F.lit(False)), down))
+    tables = runs.groupBy(*PAGE, "run").agg(F.count("*").alias("rows"), F.first("width").alias("width")).filter(
+        (F.col("rows") >= config.LAYOUT_TABLE_ROWS) & F.col("width").between(2, config.LAYOUT_TABLE_COLUMNS)
+    )
+    numbered = tables.withColumn("table_no", F.row_number().over(W.partitionBy(*PAGE).orderBy("run")))
+    return runs.join(numbered.select(*PAGE, "run", "table_no"), [*PAGE, "run"]).select(*PAGE, "line", "table_no")
 
 
 # --- media --------------------------------------------------------------------
