@@ -60,22 +60,25 @@ def window_of(n_words: int, k: int, least: float) -> int:
     return max([w for w in WINDOWS if w >= k and w + stride(w) - 1 <= run], default=k)
 
 
-def fingerprints(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash (majority of bits) of the ``size`` shingles from each of the sorted ``starts``."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        end = np.searchsorted(starts, low + SEGMENT)
-        here = starts[at:end] - low
-        part = shingles[low : low + here[-1] + size]
+def fingerprints(shingles: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """SimHash (majority of bits) of windows: for each (sorted starts, size) one print per start.
+
+    Running sums of the bits are made once per segment, for all sizes.  They are
+    kept modulo 2^8: a window has fewer shingles than that.
+    """
+    longest = max((size for _, size in wanted), default=0)
+    assert longest < 256
+    out = [np.empty(len(starts), dtype=np.uint64) for starts, _ in wanted]
+    for low in range(0, len(shingles), SEGMENT):
+        part = shingles[low : low + SEGMENT + longest]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        # Sums modulo 2^16: a window has fewer shingles than that.
-        sums = np.zeros((len(part) + 1, 64), dtype=np.uint16)
-        np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
-        ones = sums[here + size] - sums[here]
-        out[at:end] = np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
-        at = end
+        sums = np.zeros((len(part) + 1, 64), dtype=np.uint8)
+        np.cumsum(bits, axis=0, dtype=np.uint8, out=sums[1:])
+        for (starts, size), prints in zip(wanted, out):
+            begin, end = np.searchsorted(starts, (low, low + SEGMENT))
+            here = starts[begin:end] - low
+            ones = sums[here + size] - sums[here]
+            prints[begin:end] = np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
     return out
 
 
@@ -133,7 +136,7 @@ class Portion:
             window = window_of(len(words), k, least)
             size = window - k + 1
             starts = np.arange(len(shingles) - size + 1)
-            prints, first = np.unique(fingerprints(shingles, starts, size), return_index=True)
+            prints, first = np.unique(fingerprints(shingles, [(starts, size)])[0], return_index=True)
             by_window.setdefault(window, []).append((number, prints, first))
         self.classes = []
         for window, items in sorted(by_window.items()):
@@ -170,16 +173,15 @@ class Portion:
         """
         best: dict[tuple[int, int], tuple[float, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for window, blocks, item, offset in self.classes:
-            size = window - self.k + 1
+        places = []
+        for window, *_ in self.classes:
             step = stride(window)
-            per_text = np.maximum((counts - size) // step + 1, 0)
+            per_text = np.maximum((counts - (window - self.k + 1)) // step + 1, 0)
             text = np.repeat(np.arange(len(counts)), per_text)
-            local = (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)) * step
-            if not len(text):
-                continue
-            starts = begins[text] + local
-            query, entry = blocks.near(fingerprints(shingles, starts, size))
+            places.append((text, (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)) * step))
+        wanted = [(begins[text] + local, window - self.k + 1) for (text, local), (window, *_) in zip(places, self.classes)]
+        for (_, blocks, item, offset), (text, local), prints in zip(self.classes, places, fingerprints(shingles, wanted)):
+            query, entry = blocks.near(prints)
             for q, e in zip(query.tolist(), entry.tolist()):
                 t, i = int(text[q]), int(item[e])
                 at = min(max(int(local[q]) - int(offset[e]), 0), int(counts[t]) - 1)
