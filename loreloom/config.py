@@ -20,10 +20,8 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 RRF_K = 60
 LIST_LENGTH = 150
-SEMANTIC_MIN_LOCAL = 0.5
 SEMANTIC_MIN_EXTERNAL = 0.35
 EVIDENCE_CHARS = 18_000
-EVIDENCE_TABLE_ROWS = 200
 
 # --- near duplicates --------------------------------------------------------
 NEAR_DUPLICATE_LEXICAL = 0.86
@@ -184,14 +182,23 @@ HTML_ENTITIES = (
 )
 
 # A citation named as the source of its sentence, before or after the number.
+# Words that make a named source the grammatical source of a sentence.
 SOURCE_BEFORE = (
-    r"(?:根据|依据|按照|依照|按|据)\s*(?:[^，。；;：:!?！？\[\]\n]{0,80}(?:资料|材料|文件|证据|原文|来源|规定|条例|办法|制度|标准|条款|要求|记录|报告|"
-    r"通知|手册|指引|指南|规程|数据|表格|文献|研究)|《[^》\n]{1,80}》)?"
+    r"(?:根据|依据|按照|依照|按|据)\s*"
+    r"(?:[^，。；;：:!?！？\[\]\n]{0,80}"
+    r"(?:资料|材料|文件|证据|原文|来源|规定|条例|办法|制度|标准|条款|要求|记录|报告|通知|手册|指引|指南|规程|数据|表格|文献|研究)"
+    r"|《[^》\n]{1,80}》)?"
 )
 SOURCE_AFTER = (
-    r"\s*(?:中所|中的|中|内|里|所|的)?\s*(?:明确地?|具体|进一步|曾|还)?\s*(?:规定|要求|指出|说明|表明|显示|记载|载明|列明|提到|披露|建议|强调|提出|"
-    r"载有|记述|明确(?=[，,:：]))"
+    r"\s*(?:中所|中的|中|内|里|所|的)?"
+    r"\s*(?:明确地?|具体|进一步|曾|还)?"
+    r"\s*(?:规定|要求|指出|说明|表明|显示|记载|载明|列明|提到|披露|建议|强调|提出|载有|记述|明确(?=[，,:：]))"
 )
+SOURCE_NOTE = r"(?:[（(][^。!?！？()\[\]（）]{1,40}[）)])?"
+SENTENCE_BREAK = r"(?<=[。！？!?])|(?<!\d)\.|\.(?!\d)"
+SENTENCE_MARKS = r"[。！？!?\s]+$"
+LIST_MARK = r"^(?:[-*•]\s+|\d+[.)、]\s*)"
+SHORT_LABEL_CHARS = 28
 
 # Words that state a comparison in a question, by filter operator.
 FILTER_WORDS = {
@@ -202,6 +209,12 @@ FILTER_WORDS = {
     "lte": "不超过|至多|小于等于|不高于|<=|≤",
     "between": "之间|范围|从|至|到|(?i:between)",
 }
+NOT_EMPTY_WORDS = "非空|不为空|有值|已填"
+# Words that a plain count question may hold besides the table's name.
+COUNT_FILLERS = (
+    "请 帮我 麻烦 调用 使用 表格 计算 工具 统计 计数 共 有 多少 几 条 行 项 台 个 笔 完整 全部 所有 记录 数据 条目 总数 数量 数 "
+    "来源 说明 并 以及 与 和 覆盖 范围 情况 的 一共 总共 共有"
+).split()
 COUNT_QUESTION = "(?:多少|几)(?:条|行|项|台|个|笔)|(?:记录|条目|数据)(?:总)?数|行数|条数|计数"
 CONDITION_WORDS = (
     r"平均|均值|求和|总额|总金额|最大|最小|分组|分别|排序|筛选|仅|只看|只统计|其中|满足|排除|大于|小于|等于|为|属于|日期|期间|\d{4}年"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom import config
+from loreloom.functions import facts as fx
 from loreloom.functions.text import bind, contains_literal, strip
 
 
@@ -23,15 +24,27 @@ def used_citations(citations: Column, answer: Column) -> Column:
     return F.filter(citations, lambda c: c["used"] & F.array_contains(numbers, c["citation"]))
 
 
+def _open_tail(text: Column) -> Column:
+    """Whether a factual claim follows the last citation of ``text``."""
+    tail = F.regexp_replace(F.regexp_extract(text, r"(?s).*\](.*)$", 1), r"^[。；;，,.\s]+", "")
+    return (tail != "") & tail.rlike(config.FACTUAL_LINE)
+
+
 def _attributed(line: Column) -> Column:
-    """A cited line is fine when nothing factual follows its last citation."""
-    trailing = F.regexp_replace(F.regexp_extract(line, r"(?s).*\](.*)$", 1), r"^[。；;，,.\s]+", "")
-    named = line.rlike(config.SOURCE_BEFORE + r"\s*\[\d+\]") | line.rlike(r"\[\d+\]" + config.SOURCE_AFTER)
-    # A named source covers its own sentence; later sentences need their own.
-    later = F.regexp_extract(line, r"(?s)\[\d+\][^。！？!?\[]*[。！？!?](.*)$", 1)
-    return (trailing == "") | ~trailing.rlike(config.FACTUAL_LINE) | (
-        named & ((later == "") | later.rlike(r"\[\d+\]") | ~later.rlike(config.FACTUAL_LINE))
-    )
+    """Whether a cited line leaves no claim without a source.
+
+    Either no factual text follows the last citation, or a citation is named as
+    the source of a sentence and every sentence is covered: by such a name, by
+    citations that nothing factual follows, or by holding no fact at all.
+    """
+    cut = F.split(F.regexp_replace(line, config.LIST_MARK, ""), config.SENTENCE_BREAK)
+    sentences = F.filter(F.transform(cut, lambda s: F.regexp_replace(strip(s), config.SENTENCE_MARKS, "")), lambda s: s != "")
+    cited = lambda s: s.rlike(r"\[\d+\]")
+    named = lambda s: s.rlike(config.SOURCE_BEFORE + r"\s*" + config.SOURCE_NOTE + r"\s*\[\d+\]") | s.rlike(r"\[\d+\]" + config.SOURCE_AFTER)
+    silent = lambda s: ~s.rlike(config.FACTUAL_LINE) & (F.length(s) < config.SHORT_LABEL_CHARS)
+    covered = lambda s: F.when(~cited(s), silent(s)).otherwise(named(s) | ~_open_tail(s))
+    scoped = F.exists(sentences, lambda s: cited(s) & named(s)) & F.forall(sentences, covered)
+    return scoped | ~_open_tail(line)
 
 
 def uncited_lines(answer: Column) -> Column:
@@ -62,7 +75,7 @@ def uncited_lines(answer: Column) -> Column:
                 F.when(cited(line), _attributed(line))
                 .when(line.rlike(r"^#{1,6}\s") | line.rlike("[：:]$"), F.lit(True))
                 .when(exempt_table, F.lit(True))
-                .otherwise(following | (~factual & (F.length(plain) < 28)))
+                .otherwise(following | (~factual & (F.length(plain) < config.SHORT_LABEL_CHARS)))
             )
             return F.when(~ok, line)
 
@@ -141,10 +154,11 @@ def verify_demands(demands: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
-def merge_demands(left: Column, right: Column, limit: int = 50) -> Column:
-    """Union of two list fields without repeats, at most ``limit`` entries."""
+def merge_demands(left: Column, right: Column, limit: int | None = None) -> Column:
+    """Union of two list fields without repeats; with ``limit`` the first entries of it."""
     empty = F.array().cast("array<string>")
-    return F.slice(F.array_union(F.coalesce(left, empty), F.coalesce(right, empty)), 1, limit)
+    union = F.array_union(F.coalesce(left, empty), F.coalesce(right, empty))
+    return union if limit is None else F.slice(union, 1, limit)
 
 
 # --- evaluation --------------------------------------------------------------------
@@ -248,36 +262,113 @@ def validate_output(df: DataFrame, column: str, fields: dict[str, dict]) -> Data
     return df.withColumn("problems", found).withColumn("valid", F.size(found) == 0)
 
 
+def _folded(col: Column) -> Column:
+    """Compatibility form, lower case, trimmed: how literals are compared."""
+    return strip(F.lower(fx.nfkc(col)))
+
+
+def _holding_columns(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(query_id, column, value, holders, holder)``: the columns with a cell that contains the value.
+
+    ``cells`` is the distinct ``(column, value)`` of the table.  A value meets the
+    cells that hold its first characters (three at most), so only those are read.
+    """
+    needles = wanted.withColumn("_needle", _folded(F.col("value"))).filter("_needle <> ''").withColumn(
+        "_gram", F.substring("_needle", 1, 3)
+    )
+    folded = cells.select(F.col("column").alias("_column"), _folded(F.col("value")).alias("_cell"))
+    sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
+    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.when(F.length("_cell") >= n, F.sequence(F.lit(1), F.length("_cell") - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda at: F.substring(F.col("_cell"), at, n),
+    ))))
+    met = folded.select("_column", "_cell", F.explode(grams).alias("_gram")).join(needles, "_gram").filter(
+        contains_literal(F.col("_cell"), F.col("_needle"))
+    )
+    return met.groupBy("query_id", "column", "value").agg(
+        F.count_distinct("_column").alias("holders"), F.min("_column").alias("holder")
+    )
+
+
 def ground_filters(plan: DataFrame, questions: DataFrame, values: DataFrame) -> DataFrame:
     """Whether each planned filter was asked for.
 
-    ``plan`` is ``(query_id, column, op, value)``; ``questions`` is ``(query_id, text)``;
-    ``values`` is the distinct ``(column, value)`` of the table.  The value must be
-    in the question; without the column's name only one column may hold it; range
+    ``plan`` is ``(query_id, column, op, value)``, the value a text or a list of
+    texts; ``questions`` is ``(query_id, text)``; ``values`` is the distinct
+    ``(column, value)`` of the table.  Every value must be in the question; without
+    the column's name, each value must be found in cells of that column only; range
     operators must be worded.
     """
-    asked = plan.join(questions, "query_id")
-    held = plan.select("value").distinct().join(values.withColumnRenamed("column", "_c"), "value").groupBy("value").agg(
-        F.count_distinct("_c").alias("columns"), F.min("_c").alias("only_column")
+    listed = plan.schema["value"].dataType.typeName() == "array"
+    asked = plan.withColumn("_values", F.col("value") if listed else F.array("value")).join(
+        questions.select("query_id", _folded(F.col("text")).alias("_text")), "query_id"
+    )
+    single = asked.select("query_id", "column", "_text", F.explode("_values").alias("value")).distinct()
+    held = _holding_columns(single, values)
+    clear = (F.col("holders") == 1) & (F.col("holder") == F.col("column"))
+    found = F.struct(
+        F.coalesce(clear, F.lit(False)).alias("clear"), contains_literal(F.col("_text"), _folded(F.col("value"))).alias("said"))
+    told = single.join(held, ["query_id", "column", "value"], "left").withColumn("_found", found).groupBy("query_id", "column").agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "_found"))).alias("_told")
     )
-    checked = asked.join(held, "value", "left")
-    named = contains_literal(F.col("text"), F.col("column"))
+    text = F.col("_text")
     worded = F.lit(True)
     for op, words in config.FILTER_WORDS.items():
-        worded = F.when(F.col("op") == op, F.col("text").rlike(words)).otherwise(worded)
-    clear = named | ((F.col("columns") == 1) & (F.col("only_column") == F.col("column")))
+        worded = F.when(F.col("op") == op, text.rlike(words)).otherwise(worded)
+    every = lambda field: F.forall("_values", lambda v: F.coalesce(F.try_element_at("_told", v)[field], F.lit(False)))
+    requested = (F.size("_values") > 0) & every("said")
     verdict = (
-        F.when(~contains_literal(F.col("text"), F.col("value")), "unrequested_value")
-        .when(~F.coalesce(clear, F.lit(False)), "ambiguous_column")
+        F.when(~requested, "unrequested_value")
+        .when(~contains_literal(text, F.col("column")) & ~every("clear"), "ambiguous_column")
         .when(~worded, "unrequested_comparison")
         .otherwise("grounded")
     )
-    return checked.select("query_id", "column", "op", "value", verdict.alias("verdict"))
+    return asked.join(told, ["query_id", "column"], "left").select(
+        "query_id", "column", "op", "value", verdict.alias("verdict")
+    )
+
 
+def check_counts(aggregations: DataFrame, questions: DataFrame) -> DataFrame:
+    """Whether the aggregations of each question answer a count that it asks for.
 
-def count_question(text: Column) -> Column:
-    """A plain 'how many rows' question without any condition."""
-    return text.rlike(config.COUNT_QUESTION) & ~text.rlike(config.CONDITION_WORDS)
+    ``aggregations`` is ``(query_id, op, column)``, the column null for all rows.  A
+    count question needs a count; a count of one column's cells needs that column
+    and a word for filled cells in the question.
+    """
+    asked = questions.select("query_id", _folded(F.col("text")).alias("_text")).withColumn(
+        "_counts", F.col("_text").rlike(config.COUNT_QUESTION)
+    )
+    filled = contains_literal(F.col("_text"), F.col("column")) & F.col("_text").rlike(config.NOT_EMPTY_WORDS)
+    joined = asked.join(aggregations, "query_id", "left").groupBy("query_id").agg(
+        F.bool_or("_counts").alias("_asked"), F.coalesce(F.bool_or(F.col("op") == "count"), F.lit(False)).alias("_has"),
+        F.coalesce(F.bool_or((F.col("op") == "count") & F.col("column").isNotNull() & ~filled), F.lit(False)).alias("_other"),
+    )
+    verdict = (
+        F.when(~F.col("_asked"), "no_count").when(~F.col("_has"), "count_required")
+        .when(F.col("_other"), "unrequested_column").otherwise("counted")
+    )
+    return joined.select("query_id", verdict.alias("verdict"))
+
+
+def count_question(text: Column, title: Column | None = None, cells: Column | None = None) -> Column:
+    """A plain 'how many rows' question: no condition, no cell value, nothing left over.
+
+    ``title`` is the table's name, whose two-character pieces may stand in the
+    question; ``cells`` an array of the table's values.
+    """
+    plain = text.rlike(config.COUNT_QUESTION) & ~text.rlike(config.CONDITION_WORDS)
+    if cells is not None:
+        plain = plain & ~F.exists(cells, lambda v: contains_literal(text, v))
+    left = text
+    if title is not None:
+        pieces = F.filter(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - 1, F.lit(1))), lambda i: F.substring(title, i, F.lit(2))),
+            lambda piece: F.length(piece) == 2,
+        )
+        left = F.aggregate(pieces, left, lambda rest, piece: F.replace(rest, piece, F.lit(" ")))
+    for word in sorted(config.COUNT_FILLERS, key=len, reverse=True):
+        left = F.replace(left, F.lit(word), F.lit(" "))
+    return plain & (F.regexp_replace(left, r"[\s\p{P}\p{S}]", "") == "")
 
 
 # --- routing -----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreloom import config
-from loreloom.functions.text import clip
+from loreloom.functions.text import strip
 from loreloom.operators.ordered import number_rows
 
 
@@ -26,41 +26,61 @@ def ordered_messages(messages: DataFrame, conversation: str, sequence: str, buck
     return number_rows(messages, [conversation], order, F.floor(F.col(sequence) / bucket), "place")
 
 
-def answered_turns(messages: DataFrame) -> DataFrame:
-    """Pairs of a question and the next answer: ``(conv_id, turn, question, answer)``.
+def answered_turns(messages: DataFrame, chars: int | None = None) -> DataFrame:
+    """Pairs of a question and the next answer: ``(conv_id, turn, question, answer, cut)``.
 
     ``messages`` is ``(conv_id, turn, role, text)``; the answer follows its question
-    directly, so the pair is an equi-join on the turn number.
+    directly, so the pair is an equi-join on the turn number.  With ``chars`` texts
+    are clipped to that length and ``cut`` tells which pairs were.
     """
-    asked = messages.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), clip(F.col("text"), 1500).alias("question"))
-    said = messages.filter("role = 'assistant'").select("conv_id", "turn", clip(F.col("text"), 1500).alias("answer"))
-    return said.join(asked, ["conv_id", "turn"]).filter("question <> ''")
+    asked = messages.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), strip(F.col("text")).alias("_asked"))
+    said = messages.filter("role = 'assistant'").select("conv_id", "turn", strip(F.col("text")).alias("_said"))
+    pairs = said.join(asked, ["conv_id", "turn"]).filter("_asked <> ''")
+    limit = lambda c: F.col(c) if chars is None else F.substring(c, 1, chars)
+    cut = F.lit(False) if chars is None else (F.length("_asked") > chars) | (F.length("_said") > chars)
+    return pairs.select("conv_id", "turn", limit("_asked").alias("question"), limit("_said").alias("answer"), cut.alias("cut"))
 
 
-def conversation_context(turns: DataFrame, recent: int = 6, older: int = 24, budget: int = 6000) -> DataFrame:
+def turn_length(question: str, answer: str) -> Column:
+    """Length of a turn in the JSON list of turns, in UTF-16 units, its separator included."""
+    text = F.to_json(F.struct(F.col(question).alias("question"), F.col(answer).alias("answer")))
+    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]")) + 1
+
+
+def conversation_context(
+    turns: DataFrame, recent: int = 6, older: int = 24, budget: int = 6000,
+    item_chars: int | None = None, summary_chars: int | None = None,
+) -> DataFrame:
     """The last turns that fit the budget, the ones before as a summary.
 
-    At most ``recent + older`` turns per conversation are kept before they are
-    gathered.  The oldest recent turns move to the summary until the rest fits;
-    the newest one always stays.
+    The budget is the length of the JSON list of the turns.  At most ``recent +
+    older`` turns per conversation are kept before they are gathered.  The oldest
+    recent turns move to the summary until the rest fits; the newest one always
+    stays.  ``item_chars`` clips each summarised question, ``summary_chars`` keeps
+    the end of the summary; ``cut`` tells whether either did.
     """
     newest = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = turns.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= recent + older)
-    sized = last.withColumn("_chars", F.length("question") + F.length("answer"))
     running = newest.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # The list adds one bracket more than its separators.
+    used = F.sum(turn_length("question", "answer")).over(running) + 1
     fits = (F.col("_n") == 1) | ((F.col("_n") <= recent) & (F.col("_used") <= budget))
-    placed = sized.withColumn("_used", F.sum("_chars").over(running)).withColumn("_recent", fits)
-    item = F.struct("turn", F.substring("question", 1, 200).alias("q"))
-    return placed.groupBy("conv_id").agg(
+    placed = last.withColumn("_used", used).withColumn("_recent", fits)
+    clipped = F.col("question") if item_chars is None else F.substring("question", 1, item_chars)
+    long = F.lit(False) if item_chars is None else ~F.col("_recent") & (F.length("question") > item_chars)
+    grouped = placed.groupBy("conv_id").agg(
         F.count_if("_recent").alias("recent_turns"),
         F.count_if(~F.col("_recent")).alias("summary_turns"),
-        F.max_by("question", "turn").alias("last_question"),
+        F.max_by("question", "turn").alias("last_question"), F.bool_or(long).alias("_long"),
         F.array_sort(F.collect_list(F.when(F.col("_recent"), F.struct("turn", F.col("question").alias("q"))))).alias("_turns"),
-        F.array_sort(F.collect_list(F.when(~F.col("_recent"), item))).alias("_older"),
-    ).select(
+        F.array_sort(F.collect_list(F.when(~F.col("_recent"), F.struct("turn", clipped.alias("q"))))).alias("_older"),
+    ).withColumn("_all", F.array_join(F.transform("_older", lambda t: t["q"]), "\n"))
+    whole = F.lit(False) if summary_chars is None else F.length("_all") > summary_chars
+    return grouped.select(
         "conv_id", "recent_turns", "summary_turns", "last_question",
-        F.right(F.array_join(F.transform("_older", lambda t: t["q"]), "\n"), F.lit(2000)).alias("conditions"),
+        (F.col("_all") if summary_chars is None else F.right("_all", F.lit(summary_chars))).alias("conditions"),
         object_ids(F.array_join(F.transform("_turns", lambda t: t["q"]), " ")).alias("object_ids"),
+        (F.col("_long") | whole).alias("cut"),
     )
 
 

@@ -89,17 +89,17 @@ def workspace_summary(t: Tables):
 # --- conversations ---------------------------------------------------------------
 
 CODES = r"list_distinct(list_filter(regexp_extract_all({}, '\b[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+\b'), lambda w: regexp_matches(w, '[0-9]')))"
-TURNS = """turns AS (SELECT a.conv_id, a.turn, substr(trim(u.text, E' \\t\\r\\n'), 1, 1500) AS question, substr(trim(a.text, E' \\t\\r\\n'), 1, 1500) AS answer
+TURNS = """turns AS (SELECT a.conv_id, a.turn, trim(u.text, E' \\t\\r\\n') AS question, trim(a.text, E' \\t\\r\\n') AS answer
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user' AND trim(u.text) <> '')"""
 
 
 @query(
     "conversation_context",
-    f"""WITH {TURNS}, n AS (SELECT *, row_number() OVER w AS k, sum(length(question) + length(answer)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used
+    f"""WITH {TURNS}, n AS (SELECT *, row_number() OVER w AS k, sum(length(json_object('question', question, 'answer', answer)::VARCHAR) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) + 1 AS used
       FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
     p AS (SELECT *, k = 1 OR (k <= 6 AND used <= 2500) AS r FROM n WHERE k <= 30)
     SELECT conv_id, count(*) FILTER (r) AS recent_turns, count(*) FILTER (NOT r) AS summary_turns, arg_max(question, turn) AS last_question,
-      coalesce(string_agg(substr(question, 1, 200), chr(10) ORDER BY turn) FILTER (NOT r), '')[-2000:] AS conditions,
+      coalesce(string_agg(question, chr(10) ORDER BY turn) FILTER (NOT r), '') AS conditions,
       array_to_string({CODES.format("string_agg(question, ' ' ORDER BY turn) FILTER (r)")}, ',') AS object_ids FROM p GROUP BY conv_id""",
 )
 def conversation_context(t: Tables):
@@ -116,8 +116,6 @@ def conversation_context(t: Tables):
 )
 def follow_up_rewrite(t: Tables):
     contexts = conversation.conversation_context(conversation.answered_turns(t.conversations))
-    # The reference to earlier codes is left out: the given turns name none.
-    contexts = contexts.withColumn("object_ids", F.array().cast("array<string>"))
     asked = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.max_by("role", "turn").alias("role")).select(
         "conv_id", F.concat(F.when(F.col("n") > 4, "那么，").otherwise(""), F.col("role")).alias("question")
     )
@@ -302,24 +300,56 @@ def structured_output(t: Tables):
     return checked.select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
+ALONE = "regexp_matches(lower({}), '(^|[^a-z0-9])' || lower({}) || '($|[^a-z0-9])')"
+HOLDS = "CASE WHEN length({1}) = 1 THEN " + ALONE.format("{0}", "{1}") + " ELSE contains(lower({0}), lower({1})) END"
+
+
 @query(
     "filter_grounding",
-    """WITH v AS (SELECT DISTINCT 'o_orderstatus' AS col, o_orderstatus AS v FROM orders UNION SELECT DISTINCT 'l_returnflag', l_returnflag FROM lineitem UNION SELECT DISTINCT 'l_linestatus', l_linestatus FROM lineitem UNION SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer),
-    n AS (SELECT v, count(DISTINCT col) AS c, min(col) AS only FROM v GROUP BY v),
-    p AS (SELECT c_custkey AS query_id, c_mktsegment AS seg, c_name FROM customer)
-    SELECT query_id, op, CASE WHEN op = 'neq' THEN 'unrequested_comparison' WHEN op = 'in' THEN 'unrequested_value' ELSE 'grounded' END AS verdict FROM p, (VALUES ('eq'), ('neq'), ('in')) o(op)""",
+    f"""WITH v AS (SELECT DISTINCT 'o_orderstatus' AS col, o_orderstatus AS v FROM orders UNION SELECT DISTINCT 'l_returnflag', l_returnflag FROM lineitem UNION SELECT DISTINCT 'l_linestatus', l_linestatus FROM lineitem UNION SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer),
+    p AS (SELECT c_custkey AS query_id, 'list all in ' || c_mktsegment || ' now with O' AS text, unnest([
+        {{'col': 'c_mktsegment', 'op': 'eq', 'v': c_mktsegment}}, {{'col': 'c_mktsegment', 'op': 'neq', 'v': c_mktsegment}},
+        {{'col': 'c_mktsegment', 'op': 'in', 'v': 'F'}}, {{'col': 'o_orderstatus', 'op': 'eq', 'v': 'O'}}]) AS f FROM customer),
+    w AS (SELECT DISTINCT f.v AS value FROM p),
+    h AS (SELECT value, count(DISTINCT col) AS n, min(col) AS holder FROM w JOIN v ON {HOLDS.format("v.v", "w.value")} GROUP BY value)
+    SELECT query_id, f.col AS column, f.op AS op, CASE
+      WHEN NOT {HOLDS.format("text", "f.v")} THEN 'unrequested_value'
+      WHEN NOT contains(text, f.col) AND coalesce(n <> 1 OR holder <> f.col, true) THEN 'ambiguous_column'
+      WHEN f.op = 'neq' AND NOT regexp_matches(text, '{config.FILTER_WORDS["neq"]}') THEN 'unrequested_comparison' ELSE 'grounded' END AS verdict
+    FROM p LEFT JOIN h ON h.value = f.v""",
 )
 def filter_grounding(t: Tables):
-    """Three planned filters per customer: asked for, wrongly compared, and not in the question."""
-    asked = t.customer.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("list all in "), F.col("c_mktsegment"), F.lit(" now")).alias("text"))
-    item = lambda op, value: F.struct(F.lit("c_mktsegment").alias("column"), F.lit(op).alias("op"), value.alias("value"))
+    """Four planned filters per customer: asked for, wrongly compared, not in the question, and of two possible columns."""
+    asked = t.customer.select(
+        F.col("c_custkey").alias("query_id"), F.concat(F.lit("list all in "), F.col("c_mktsegment"), F.lit(" now with O")).alias("text"))
+    item = lambda column, op, value: F.struct(F.lit(column).alias("column"), F.lit(op).alias("op"), value.alias("value"))
+    segment = F.col("c_mktsegment")
     plan = t.customer.select(F.col("c_custkey").alias("query_id"), F.explode(F.array(
-        item("eq", F.col("c_mktsegment")), item("neq", F.col("c_mktsegment")), item("in", F.lit("F"))
+        item("c_mktsegment", "eq", segment), item("c_mktsegment", "neq", segment), item("c_mktsegment", "in", F.lit("F")),
+        item("o_orderstatus", "eq", F.lit("O")),
     )).alias("f")).select("query_id", "f.*")
     column = lambda df, c: df.select(F.lit(c).alias("column"), F.col(c).alias("value"))
     values = column(t.orders, "o_orderstatus").unionByName(column(t.lineitem, "l_returnflag")).unionByName(
         column(t.lineitem, "l_linestatus")).unionByName(column(t.customer, "c_mktsegment")).distinct()
-    return answers.ground_filters(plan, asked, values).select("query_id", "op", "verdict")
+    return answers.ground_filters(plan, asked, values).select("query_id", "column", "op", "verdict")
+
+
+@query(
+    "count_verdicts",
+    """WITH p AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN '一共有多少条记录？' WHEN 1 THEN '非空的o_clerk有多少条' ELSE '列出订单' END AS text,
+      CASE o_orderstatus WHEN 'F' THEN 'count' WHEN 'O' THEN 'sum' ELSE 'count' END AS op, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 2 = 0 THEN 'o_clerk' END AS col FROM orders)
+    SELECT query_id, CASE WHEN query_id % 3 = 2 THEN 'no_count' WHEN op <> 'count' THEN 'count_required'
+      WHEN col IS NOT NULL AND query_id % 3 = 0 THEN 'unrequested_column' ELSE 'counted' END AS verdict, query_id % 3 = 0 AS plain FROM p""",
+)
+def count_verdicts(t: Tables):
+    """Whether a count is asked for, planned, and of rows; which questions ask for nothing else."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 3 == 0, "一共有多少条记录？").when(key % 3 == 1, "非空的o_clerk有多少条").otherwise("列出订单")
+    asked = t.orders.select(key.alias("query_id"), text.alias("text"))
+    column = F.when((F.col("o_orderstatus") == "P") | (key % 2 == 0), "o_clerk")
+    planned = t.orders.select(key.alias("query_id"), F.when(F.col("o_orderstatus") == "O", "sum").otherwise("count").alias("op"), column.alias("column"))
+    plain = answers.count_question(F.col("text"), F.lit("订单"), F.array(F.lit("F"), F.lit("O")))
+    return answers.check_counts(planned, asked).join(asked.select("query_id", plain.alias("plain")), "query_id")
 
 
 # --- routing and combination ---------------------------------------------------------
