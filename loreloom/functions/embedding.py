@@ -58,6 +58,15 @@ def hash_embedder(dimension: int = 64) -> Callable[[], Embedder]:
     return load
 
 
+def letter_embedder(letters: str = "aeiou") -> Callable[[], Embedder]:
+    """A model in closed form: how often a text holds each letter, and one."""
+
+    def load() -> Embedder:
+        return lambda texts: np.array([[t.count(c) for c in letters] + [1] for t in texts], dtype=np.float64)
+
+    return load
+
+
 def stored_vectors(vectors: DataFrame, allowed: DataFrame, model: str) -> DataFrame:
     """Vectors of one model for the allowed documents; the semi join comes before any use."""
     return vectors.filter(F.col("model") == model).join(allowed.select("doc_id"), "doc_id", "left_semi")

@@ -355,20 +355,61 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, hops: int = config.GRAPH_MA
     )
 
 
-def rank_paths(paths: DataFrame, queries: DataFrame, keep: int = config.GRAPH_MAX_PATHS * 10) -> DataFrame:
-    """Best paths per query: asked-for end types first, by their priority, then short ones."""
+def count_paths(edges: DataFrame, seeds: DataFrame, hops: int = config.GRAPH_MAX_HOPS) -> DataFrame:
+    """Paths of :func:`simple_paths` counted per query, length and end type, without listing them.
+
+    Parallel edges between two nodes are one step with a count and its first
+    edge; counts multiply along a path.  ``paths`` is their sum, ``ends`` the
+    number of end nodes, ``first_path`` the path with the first nodes and edges.
+    """
+    steps = cut_lineage(adjacency(edges).groupBy("at", "to").agg(
+        F.first("to_type").alias("to_type"), F.count("*").alias("edges"),
+        F.min(F.struct("relation_id", F.col("revision").cast("string").alias("revision"))).alias("edge"),
+    ))
+    level = seeds.select(
+        "query_id", F.array("node_id").alias("node_ids"), F.array().cast("array<struct<relation_id:string,revision:string>>").alias("path"),
+        F.col("node_id").alias("at"), F.lit("").alias("end_type"), F.lit(1).cast("long").alias("n"),
+    )
+    levels = []
+    for hop in range(hops):
+        level = level.join(steps, "at").filter(~F.array_contains("node_ids", F.col("to"))).select(
+            "query_id", F.array_append("node_ids", F.col("to")).alias("node_ids"), F.array_append("path", F.col("edge")).alias("path"),
+            F.col("to").alias("at"), F.col("to_type").alias("end_type"), (F.col("n") * F.col("edges")).alias("n"),
+        )
+        if hop < hops - 1:
+            level = cut_lineage(level)
+        levels.append(level.groupBy("query_id", "end_type", "at").agg(
+            F.lit(hop + 1).alias("hops"), F.sum("n").alias("n"), F.min(F.struct("node_ids", "path")).alias("first")))
+    ends = reduce(lambda a, b: a.unionByName(b), levels)
+    found = ends.groupBy("query_id", "hops", "end_type").agg(
+        F.sum("n").alias("paths"), F.count("*").alias("ends"), F.min("first").alias("first"))
+    edge_ids = F.transform("first.path", lambda e: F.concat_ws(":", e["relation_id"], e["revision"]))
+    path_id = digest_id("path_", F.array_join("first.node_ids", "|"), F.array_join(edge_ids, "|"))
+    return found.select("query_id", "hops", "end_type", "paths", "ends", path_id.alias("first_path"))
+
+
+def rank_paths(paths: DataFrame, queries: DataFrame, keep: int | None = None) -> DataFrame:
+    """Paths per query in order: asked-for end types first, by their priority, then short ones.
+
+    With ``keep`` only the first ones of each query.
+    """
     asked = queries.select("query_id", target_types(F.col("query")).alias("targets"))
     place = F.array_position("targets", F.col("end_type"))
     key = F.when(place > 0, place).otherwise(F.lit(1_000))
     order = W.partitionBy("query_id").orderBy(key, "hops", "path_id")
-    return paths.join(asked, "query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).drop("targets")
+    ranked = paths.join(asked, "query_id").withColumn("rank", F.row_number().over(order)).drop("targets")
+    return ranked if keep is None else ranked.filter(F.col("rank") <= keep)
 
 
 def select_paths(
-    ranked: DataFrame, max_paths: int = config.GRAPH_MAX_PATHS,
-    max_nodes: int = config.GRAPH_MAX_NODES, max_edges: int = config.GRAPH_MAX_EDGES,
+    ranked: DataFrame, max_paths: int | None = None, max_nodes: int | None = None, max_edges: int | None = None,
 ) -> DataFrame:
-    """Ranked paths that fit the node and edge budgets together; others are skipped."""
+    """Ranked paths that fit the given budgets together; others are skipped.
+
+    ``truncated`` tells whether any of the query's ranked paths was.
+    """
+    none = 2**31 - 1
+    max_paths, max_nodes, max_edges = (none if m is None else m for m in (max_paths, max_nodes, max_edges))
     unit = F.struct("rank", "path_id", "node_ids", F.transform("path", lambda e: e["relation_id"]).alias("edge_ids"))
     grouped = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
     empty = F.struct(
@@ -385,8 +426,9 @@ def select_paths(
             F.array_append(acc["taken"], F.struct(p["rank"].alias("rank"), p["path_id"].alias("path_id"))).alias("taken"),
         )).otherwise(acc)
 
-    taken = grouped.select("query_id", F.explode(F.aggregate("units", empty, step)["taken"]).alias("t"))
-    return ranked.join(taken.select("query_id", F.col("t.rank").alias("rank")), ["query_id", "rank"], "left_semi")
+    folded = grouped.select("query_id", F.size("units").alias("_all"), F.aggregate("units", empty, step)["taken"].alias("_taken"))
+    taken = folded.select("query_id", (F.size("_taken") < F.col("_all")).alias("truncated"), F.explode("_taken").alias("t"))
+    return ranked.join(taken.select("query_id", F.col("t.rank").alias("rank"), "truncated"), ["query_id", "rank"])
 
 
 def paths_within_document(paths: DataFrame, doc_id: Column) -> DataFrame:

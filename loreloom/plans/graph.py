@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom import config
 from loreloom.operators import graph
 from loreloom.plans.registry import Tables, query
 from loreloom.session import cut_lineage
@@ -126,17 +127,15 @@ def line_edges(t: Tables) -> DataFrame:
     return cut_lineage(edges(t))
 
 
-@query("paths_3hop", PATHS + """SELECT query_id, len(rels)::INT AS hops, bt AS end_type, count(*) AS paths, count(DISTINCT e) AS ends, min(path_id) AS first_path FROM paths GROUP BY ALL""")
+@query(
+    "paths_3hop",
+    PATHS + """SELECT query_id, len(rels)::INT AS hops, bt AS end_type, count(*) AS paths, count(DISTINCT e) AS ends,
+      min({'n': nodes, 'r': rels, 'p': path_id}).p AS first_path FROM paths GROUP BY ALL""",
+)
 def paths_3hop(t: Tables):
     all_edges = line_edges(t)
     seeds = graph.match_seeds(graph.entities(all_edges), line_questions(t), unicode_keys=False)
-    found = graph.simple_paths(all_edges, seeds)
-    per_end = found.groupBy("query_id", "hops", "end_type", F.element_at("node_ids", -1).alias("end")).agg(
-        F.count("*").alias("n"), F.min("path_id").alias("first_path")
-    )
-    return per_end.groupBy("query_id", "hops", "end_type").agg(
-        F.sum("n").alias("paths"), F.count("*").alias("ends"), F.min("first_path").alias("first_path")
-    )
+    return graph.count_paths(all_edges, seeds)
 
 
 @query(
@@ -151,13 +150,26 @@ def ranked_paths(t: Tables):
     return ranked.select("query_id", "path_id", "rank", "hops", F.array_join("names", ">").alias("names"))
 
 
-@query("selected_paths")
+@query(
+    "selected_paths",
+    PATHS.replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS (SELECT query_id, path_id, len(rels)::INT AS hops, bt, nodes, rels, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE bt WHEN 'work_order' THEN 1 WHEN 'line' THEN 2 ELSE 1000 END, len(rels), path_id) AS rank FROM paths) WHERE rank <= 1000),
+    start AS (SELECT query_id, 0 AS rank, false AS ok, []::VARCHAR[] AS ns, []::VARCHAR[] AS es, 0 AS taken FROM ranked WHERE rank = 1),
+    tried AS (SELECT * FROM start
+      UNION ALL SELECT t.query_id, r.rank, f, CASE WHEN f THEN un ELSE ns END, CASE WHEN f THEN ue ELSE es END, CASE WHEN f THEN taken + 1 ELSE taken END
+      FROM tried t JOIN ranked r ON r.query_id = t.query_id AND r.rank = t.rank + 1,
+        LATERAL (SELECT list_distinct(ns || r.nodes) AS un, list_distinct(es || r.rels) AS ue) u,
+        LATERAL (SELECT taken < 100 AND len(un) <= 200 AND len(ue) <= 400 AS f) v)
+    SELECT query_id, rank, path_id, hops, bt AS end_type, count(*) OVER (PARTITION BY query_id) < (SELECT count(*) FROM ranked x WHERE x.query_id = r.query_id) AS truncated
+    FROM ranked r SEMI JOIN (SELECT query_id, rank FROM tried WHERE ok) o USING (query_id, rank)""",
+)
 def selected_paths(t: Tables):
-    """Greedy choice under node and edge budgets; checked by brute force in the tests."""
+    """Greedy choice under path, node and edge budgets."""
     all_edges = line_edges(t)
     seeds = graph.match_seeds(graph.entities(all_edges), line_questions(t), unicode_keys=False)
-    ranked = graph.rank_paths(graph.simple_paths(all_edges, seeds), line_questions(t))
-    return graph.select_paths(ranked).select("query_id", "rank", "path_id", "hops", "end_type")
+    ranked = graph.rank_paths(graph.simple_paths(all_edges, seeds), line_questions(t), keep=config.GRAPH_MAX_PATHS * 10)
+    picked = graph.select_paths(ranked, config.GRAPH_MAX_PATHS, config.GRAPH_MAX_NODES, config.GRAPH_MAX_EDGES)
+    return picked.select("query_id", "rank", "path_id", "hops", "end_type", "truncated")
 
 
 @query(

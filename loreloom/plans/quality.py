@@ -502,9 +502,17 @@ def extractive_answers(t: Tables):
     return recommend.extractive_answers(hits).select("query_id", "citations", F.md5("answer").alias("answer_md5"))
 
 
-@query("packed_evidence")
+@query(
+    "packed_evidence",
+    f"""WITH RECURSIVE {CHUNKS}, i AS (SELECT doc_id AS query_id, ordinal, length(chunk_text) AS chars,
+      row_number() OVER (PARTITION BY doc_id ORDER BY CASE ordinal % 3 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END, ordinal) AS k FROM chunks),
+    w AS (SELECT query_id, k, ordinal, chars, chars <= 5000 AS ok, CASE WHEN chars <= 5000 THEN chars ELSE 0 END AS used FROM i WHERE k = 1
+      UNION ALL SELECT i.query_id, i.k, i.ordinal, i.chars, used + i.chars <= 5000, CASE WHEN used + i.chars <= 5000 THEN used + i.chars ELSE used END
+      FROM w JOIN i ON i.query_id = w.query_id AND i.k = w.k + 1)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY k)::INT AS place, ordinal::VARCHAR AS item_id, chars::BIGINT AS chars FROM w WHERE ok""",
+)
 def packed_evidence(t: Tables):
-    """Greedy packing has no SQL form; the tests compare it with a plain loop."""
+    """Tool rows, references and hits of every document under one budget."""
     items = document_chunks(t).select(
         F.col("doc_id").alias("query_id"), F.when(F.col("ordinal") % 3 == 0, "tool").when(F.col("ordinal") % 3 == 1, "hit").otherwise("reference").alias("source"),
         F.col("ordinal").alias("rank"), F.col("ordinal").cast("string").alias("item_id"), F.length("chunk_text").alias("chars"),

@@ -195,12 +195,19 @@ def allowed_vectors(t: Tables):
     return embedding.stored_vectors(stored, t.labels.filter("quality = 1"), "given").select("doc_id", "label")
 
 
-@query("embedded_chunks")
+@query(
+    "embedded_chunks",
+    f"""WITH {CHUNKS} SELECT doc_id, ordinal::INT AS ordinal, 'letters' AS model, 6 AS dimension, true AS unit,
+      list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: length(chunk_text) - length(replace(chunk_text, c, ''))) || [1] AS counts FROM chunks""",
+)
 def embedded_chunks(t: Tables):
-    """The embedding hook with the hash embedder; rows only."""
+    """Unit vectors of every chunk from a model in closed form; the last component tells the scale."""
     pieces = chunks.chunk_documents(t.spread("documents", "doc_id"))
-    made = embedding.embed(pieces, ["doc_id", "ordinal"], "chunk_text", "hash-64", 64, embedding.hash_embedder(64))
-    return made.select("doc_id", "ordinal", "model", F.size("vector").alias("dimension"))
+    made = embedding.embed(pieces, ["doc_id", "ordinal"], "chunk_text", "letters", 6, embedding.letter_embedder())
+    square = F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    counts = F.transform("vector", lambda x: F.round(x / F.element_at("vector", -1)).cast("long"))
+    return made.select(
+        "doc_id", "ordinal", "model", F.size("vector").alias("dimension"), (F.abs(square - 1) < 1e-5).alias("unit"), counts.alias("counts"))
 
 
 @query(

@@ -1,10 +1,11 @@
-"""Every registered query against its SQL on the smallest given tables."""
+"""Every registered query of the library against its SQL on the smallest given tables."""
 
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from loreloom.plans import ORACLES, QUERIES
 from tests.oracle_compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,10 +17,14 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    outcome = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
-    assert outcome.startswith(("ok", "rows-only")), outcome
+    outcome = compare(spark, con, FOLDER, name, QUERIES[name], ORACLES.get(name))
+    assert outcome.startswith("ok"), outcome
+
+
+def test_library_queries_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
