@@ -46,6 +46,9 @@ LAYOUT_ALIGN_PIXELS = 40.0
 LAYOUT_TABLE_ROWS = 3
 LAYOUT_TABLE_COLUMNS = 20
 
+# --- table questions: what the tool of an assistant may ask at once --------------
+TOOL_LIMITS = {"filters": 12, "select": 50, "group_by": 3, "aggregations": 10, "sort": 3, "values": 100}
+
 # --- retries and windows ----------------------------------------------------
 RETRY_ATTEMPTS = 3
 RETRY_DELAYS_SECONDS = (30, 120)

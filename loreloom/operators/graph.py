@@ -56,7 +56,7 @@ def extract_relations(
     provenance = ["base_id", "doc_id", "block_id", "row_no", "fingerprint", "source"]
     cells = rows.select(
         *provenance,
-        *[F.coalesce(F.substring(strip(F.col(h).cast("string")), 1, 500), F.lit("")).alias(f"v_{r}") for r, h in roles.items()],
+        *[F.coalesce(strip(F.col(h).cast("string")), F.lit("")).alias(f"v_{r}") for r, h in roles.items()],
     )
     rows = cells.select("*", *[norm(F.col(f"v_{r}")).alias(f"k_{r}") for r in roles])
     nothing = F.lit("")
@@ -175,17 +175,16 @@ def entities(edges: DataFrame) -> DataFrame:
     """Nodes resolved from the given edges only, with evidence and degree counts.
 
     Names and counts come from visible edges, so a shared entity shows nothing of
-    another document.  Hubs cost one row per task: everything combines map-side.
+    another document.  Hubs cost one row per task: everything combines map-side,
+    first per document, so that documents are counted and not estimated.
     """
-    return (
-        ends(edges)
-        .groupBy(F.col("node.node_id").alias("node_id"), F.col("node.type").alias("type"))
-        .agg(
-            F.max_by("node.name", F.struct("doc_id", "row_no", "node.name")).alias("name"),
-            F.max("node.code").alias("code"),
-            F.count("*").alias("degree"),
-            F.approx_count_distinct("doc_id").alias("documents_estimate"),
-        )
+    named = F.struct("doc_id", "row_no", "node.name")
+    per_document = ends(edges).groupBy(
+        F.col("node.node_id").alias("node_id"), F.col("node.type").alias("type"), "doc_id"
+    ).agg(F.max(named).alias("named"), F.max("node.code").alias("code"), F.count("*").alias("degree"))
+    return per_document.groupBy("node_id", "type").agg(
+        F.max("named")["name"].alias("name"), F.max("code").alias("code"), F.sum("degree").alias("degree"),
+        F.count("*").alias("documents"),
     )
 
 

@@ -46,30 +46,32 @@ class Aggregation:
 
 @dataclass(frozen=True)
 class TableQuery:
-    """One question; the limits on its parts are those of the table tool."""
+    """One question; ``limit`` is the number of rows wanted, None for all."""
 
     filters: list[Filter] = field(default_factory=list)
     select: list[str] = field(default_factory=list)
     group_by: list[str] = field(default_factory=list)
     aggregations: list[Aggregation] = field(default_factory=list)
     sort: list[tuple[str, str]] = field(default_factory=list)
-    limit: int = 100
+    limit: int | None = 100
+
+    def check(self, columns: list[str], limits: dict[str, int] | None = None) -> None:
+        """Raise on unknown names and operators, and on more parts than ``limits`` (``config.TOOL_LIMITS``) allows."""
+        allowed = limits or {}
 
-    def check(self, columns: list[str]) -> None:
         def need(ok: bool, message: str) -> None:
             if not ok:
                 raise ValueError(message)
 
-        need(len(self.filters) <= 12, "at most 12 filters")
-        need(len(self.select) <= 50, "at most 50 columns")
-        need(len(self.group_by) <= 3, "at most 3 group columns")
-        need(len(self.aggregations) <= 10, "at most 10 aggregations")
-        need(len(self.sort) <= 3, "at most 3 sort columns")
+        for part in ("filters", "select", "group_by", "aggregations", "sort"):
+            most = allowed.get(part)
+            need(most is None or len(getattr(self, part)) <= most, f"at most {most} in {part}")
         names = [a.alias for a in self.aggregations]
         need(len(set(names)) == len(names), "result names must differ")
         for f in self.filters:
             need(f.op in OPERATORS, f"unknown operator {f.op}")
-            need(f.op != "in" or len(f.value) <= 100, "at most 100 values in a set")
+            most = allowed.get("values")
+            need(f.op != "in" or most is None or len(f.value) <= most, f"at most {most} values in a set")
             need(f.op != "between" or len(f.value) == 2, "a range has two bounds")
         for a in self.aggregations:
             need(a.op in AGGREGATES, f"unknown aggregation {a.op}")
@@ -195,22 +197,38 @@ def matched_table(df: DataFrame, q: TableQuery, row_number: str | None = None, l
     return rows.select(*chosen)
 
 
-def query_table(df: DataFrame, q: TableQuery, row_number: str | None = None, lenient: bool = False) -> DataFrame:
-    """Sorted and limited answer; ties fall to the source row number or the group keys."""
+def query_table(
+    df: DataFrame, q: TableQuery, row_number: str | None = None, lenient: bool = False, complete: str | None = None
+) -> DataFrame:
+    """Sorted and limited answer; ties fall to the source row number or the group keys.
+
+    ``complete`` names a column that tells with every row whether the limit cut
+    the answer.
+    """
     result = matched_table(df, q, row_number, lenient)
     tie = q.group_by if q.aggregations else (["source_row_number"] if row_number else [])
     order = [*_sort(result, q.sort), *tie]
-    limit = min(200, max(1, q.limit))
-    return (result.orderBy(*order) if order else result).limit(limit)
+    ordered = result.orderBy(*order) if order else result
+    if q.limit is None:
+        return ordered.withColumn(complete, F.lit(True)) if complete else ordered
+    limit = max(0, q.limit)
+    if complete is None:
+        return ordered.limit(limit)
+    # One row more tells whether there are more; the windows see limit + 1 rows at most.
+    first = ordered.limit(limit + 1)
+    place = W.orderBy(*order) if order else W.orderBy(F.lit(1))
+    return first.withColumns(
+        {"_n": F.row_number().over(place), complete: F.count("*").over(W.partitionBy()) <= limit}
+    ).filter(F.col("_n") <= limit).orderBy("_n").drop("_n")
 
 
 def answer_coverage(df: DataFrame, q: TableQuery, lenient: bool = False) -> DataFrame:
     """One row: result rows, rows returned under the limit and whether that is all."""
-    limit = min(200, max(1, q.limit))
+    limit = F.lit(q.limit).cast("long")
     return matched_table(df, q, None, lenient).agg(F.count("*").alias("result_rows")).select(
         "result_rows",
-        F.least("result_rows", F.lit(limit)).alias("returned_rows"),
-        (F.col("result_rows") <= limit).alias("complete"),
+        F.least("result_rows", limit).alias("returned_rows"),
+        F.coalesce(F.col("result_rows") <= limit, F.lit(True)).alias("complete"),
     )
 
 

@@ -81,11 +81,11 @@ def relations(t: Tables):
 
 @query(
     "node_degree",
-    f"""WITH {EDGES}, e AS (SELECT s AS n, st AS ty, p FROM edges UNION ALL SELECT o, ot, p FROM edges)
-    SELECT n AS node_id, ty AS type, count(*) AS degree FROM e GROUP BY ALL""",
+    f"""WITH {EDGES}, e AS (SELECT s AS n, st AS ty, doc FROM edges UNION ALL SELECT o, ot, doc FROM edges)
+    SELECT n AS node_id, ty AS type, count(*) AS degree, count(DISTINCT doc) AS documents FROM e GROUP BY ALL""",
 )
 def node_degree(t: Tables):
-    return graph.entities(edges(t)).select("node_id", "type", "degree")
+    return graph.entities(edges(t)).select("node_id", "type", "degree", "documents")
 
 
 @query(

@@ -65,7 +65,7 @@ def table_select_sorted(t: Tables):
 
 @query(
     "table_answer_coverage",
-    """SELECT count(*) AS result_rows, least(count(*), 200) AS returned_rows, count(*) <= 200 AS complete
+    """SELECT count(*) AS result_rows, least(count(*), 500) AS returned_rows, count(*) <= 500 AS complete
     FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 250000""",
 )
 def table_answer_coverage(t: Tables):

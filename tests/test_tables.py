@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreloom.operators import tables as tb
+from loreloom import config
 from loreloom.operators.tables import Aggregation, Filter, TableQuery
 from loreloom.sources import files
 
@@ -52,8 +53,12 @@ def test_text_in_a_number_column_is_an_error(register):
 
 
 def test_limits_of_a_question(register):
+    many = TableQuery(filters=[Filter("id", "eq", "x")] * 13)
+    many.check(register.columns)
     with pytest.raises(ValueError):
-        TableQuery(filters=[Filter("id", "eq", "x")] * 13).check(register.columns)
+        many.check(register.columns, config.TOOL_LIMITS)
+    with pytest.raises(ValueError):
+        TableQuery(filters=[Filter("id", "in", ["x"] * 101)]).check(register.columns, config.TOOL_LIMITS)
     with pytest.raises(ValueError):
         TableQuery(select=["nope"]).check(register.columns)
 
@@ -66,8 +71,14 @@ def test_rounding_half_away_from_zero(spark):
 
 
 def test_over_budget_table_is_incomplete(spark):
-    row = tb.answer_coverage(spark.range(201), TableQuery(limit=500)).first()
-    assert tuple(row) == (201, 200, False)
+    assert tuple(tb.answer_coverage(spark.range(201), TableQuery(limit=200)).first()) == (201, 200, False)
+    # The caller's limit holds, whatever it is.
+    assert tuple(tb.answer_coverage(spark.range(201), TableQuery(limit=500)).first()) == (201, 201, True)
+    assert tuple(tb.answer_coverage(spark.range(201), TableQuery(limit=None)).first()) == (201, 201, True)
+    q = lambda n: TableQuery(select=["id"], sort=[("id", "desc")], limit=n)
+    for limit, rows, whole in ((200, 200, False), (201, 201, True), (500, 201, True), (None, 201, True)):
+        found = tb.query_table(spark.range(201).repartition(3), q(limit), complete="complete").collect()
+        assert [r["id"] for r in found] == list(range(200, 200 - rows, -1)) and {r["complete"] for r in found} == {whole}
 
 
 def long_form(spark, records):
