@@ -115,7 +115,7 @@ def suggest_attributes(hints: DataFrame, template: DataFrame) -> DataFrame:
     Optional fields without a hint produce no row, and nothing is invented.
     """
     hinted = hints.filter(~is_blank(F.col("value"))).join(template, "key").select(
-        "doc_id", "key", "label", F.substring("value", 1, 200).alias("value"), "source"
+        "doc_id", "key", "label", "value", "source"
     )
     found = hinted.groupBy("doc_id").agg(F.collect_set("key").alias("_have"))
     required = template.filter("required").agg(F.collect_list(F.struct("key", "label")).alias("f")).select("f").scalar()
@@ -127,12 +127,15 @@ def suggest_attributes(hints: DataFrame, template: DataFrame) -> DataFrame:
     return hinted.unionByName(missing)
 
 
-def card_drafts(members: DataFrame, chunks: DataFrame, chars: int = 400) -> DataFrame:
+def card_drafts(members: DataFrame, chunks: DataFrame, chars: int | None = None) -> DataFrame:
     """Draft per card: the first chunk of each member document, in member order.
 
-    ``members`` is ``(card_id, position, doc_id)``, a handful of documents per card.
+    ``members`` is ``(card_id, position, doc_id)``, a handful of documents per
+    card; only their chunks are gathered.  With ``chars`` each excerpt ends there.
     """
-    first = chunks.groupBy("doc_id").agg(F.min_by(F.substring("chunk_text", 1, chars), "ordinal").alias("excerpt"))
+    shown = F.col("chunk_text") if chars is None else F.substring("chunk_text", 1, chars)
+    wanted = chunks.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = wanted.groupBy("doc_id").agg(F.min_by(shown, "ordinal").alias("excerpt"))
     return members.join(first, "doc_id").groupBy("card_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "doc_id", "excerpt"))).alias("sources")
     ).select("card_id", F.size("sources").alias("documents"), F.array_join(F.transform("sources", lambda s: s["excerpt"]), "\n\n").alias("body"))

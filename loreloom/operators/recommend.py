@@ -44,16 +44,19 @@ def recommend(
     return folded.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
-def excerpt_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
+def excerpt_chunks(chunks: DataFrame, words: DataFrame, chars: int | None = None) -> DataFrame:
     """Per document the first chunk with one of its matched words, else the first chunk.
 
-    ``words`` is ``(doc_id, words)``.
+    ``words`` is ``(doc_id, words)``.  With ``chars`` the excerpt ends there and
+    ``cut`` tells that it does.
     """
+    shown = F.col("chunk_text") if chars is None else F.substring("chunk_text", 1, chars)
+    cut = F.lit(False) if chars is None else F.length("chunk_text") > chars
     joined = chunks.join(words, "doc_id", "left")
     hit = F.coalesce(F.exists("words", lambda w: F.contains(F.col("chunk_text"), w)), F.lit(False))
     return joined.groupBy("doc_id").agg(
-        F.min_by(F.struct("ordinal", F.substring("chunk_text", 1, 380).alias("excerpt")), F.struct((~hit).alias("n"), "ordinal")).alias("c")
-    ).select("doc_id", "c.ordinal", "c.excerpt")
+        F.min_by(F.struct("ordinal", shown.alias("excerpt"), cut.alias("cut")), F.struct((~hit).alias("n"), "ordinal")).alias("c")
+    ).select("doc_id", "c.ordinal", "c.excerpt", "c.cut")
 
 
 def learned_guidance(questions: DataFrame, documents: DataFrame, found: DataFrame, limit: int = 3) -> DataFrame:

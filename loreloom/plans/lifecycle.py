@@ -20,7 +20,7 @@ def as_of() -> Column:
 # base from source, status from the labels, times from the document number.
 CATALOG = """
 docs AS (
-  SELECT doc_id, source AS base_id, lang, n_chars AS owner_id, substr(text, 1, 40) AS title,
+  SELECT doc_id, source AS base_id, lang, n_chars AS owner_id, split_part(text, chr(10), 1) AS title,
     CASE WHEN toxic = 1 THEN 'archived' WHEN quality = 0 THEN 'review' ELSE 'published' END AS status,
     CASE WHEN lang = 'de' THEN 'confidential' ELSE 'internal' END AS sensitivity,
     CASE WHEN n_chars < 200 THEN TIMESTAMP '2024-01-02' END AS deleted_at,
@@ -48,7 +48,7 @@ def catalog(t: Tables) -> DataFrame:
     d = t.documents.join(t.labels, "doc_id", "left")
     n, doc = F.col("n_chars"), F.col("doc_id")
     return d.select(
-        "doc_id", F.col("source").alias("base_id"), "lang", n.alias("owner_id"), F.substring("text", 1, 40).alias("title"),
+        "doc_id", F.col("source").alias("base_id"), "lang", n.alias("owner_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.when(F.col("toxic") == 1, "archived").when(F.col("quality") == 0, "review").otherwise("published").alias("status"),
         F.when(F.col("lang") == "de", "confidential").otherwise("internal").alias("sensitivity"),
         F.when(n < 200, F.to_timestamp(F.lit("2024-01-02"))).alias("deleted_at"),
@@ -376,15 +376,15 @@ def cascade_delete(t: Tables):
 @query(
     "index_backlog",
     f"""WITH {CATALOG}, c AS (SELECT doc_id, (n_chars // 1200 + 1) AS chunk_count FROM documents), v AS (SELECT vec_id AS doc_id, 1 AS vector_count FROM embeddings),
-    r AS (SELECT user_id AS doc_id, count(*) AS failures FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-02' GROUP BY user_id)
+    r AS (SELECT user_id AS doc_id, count(*) AS failures, max(ts) AS last_at FROM events WHERE event_type = 'error' GROUP BY user_id)
     SELECT doc_id, chunk_count, coalesce(vector_count, 0)::BIGINT AS vector_count, coalesce(failures, 0) AS failures FROM docs JOIN c USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN r USING (doc_id)
-    WHERE status IN ('review', 'published') AND coalesce(vector_count, 0) <> chunk_count AND (failures IS NULL OR failures < 3)""",
+    WHERE status IN ('review', 'published') AND coalesce(vector_count, 0) <> chunk_count AND (failures IS NULL OR (failures < 3 AND last_at <= TIMESTAMP '2024-01-15'))""",
 )
 def index_backlog(t: Tables):
     cover = t.documents.select("doc_id", (F.floor(F.col("n_chars") / 1200) + 1).alias("chunk_count")).join(
         t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("vector_count")), "doc_id", "left"
     ).fillna(0, ["vector_count"])
-    failed = t.events.filter((F.col("event_type") == "error") & (F.col("ts") < "2024-01-02")).groupBy(F.col("user_id").alias("doc_id")).agg(
+    failed = t.events.filter(F.col("event_type") == "error").groupBy(F.col("user_id").alias("doc_id")).agg(
         F.count("*").alias("failures"), F.lit(True).alias("retryable"), (F.count("*") >= 3).alias("exhausted"),
         F.max("ts").alias("next_attempt_at"),
     )

@@ -10,10 +10,13 @@ from loreloom.functions.text import clean_text, tokenize
 from loreloom.operators import answers, chunks, conversation, governance, recommend, retrieval, usage
 from loreloom.plans.lifecycle import CATALOG, as_of, catalog
 from loreloom.plans.registry import Tables, query
+from loreloom.plans.retrieval import BM25, benchmark_queries, chunk_corpus
 from loreloom.plans.sqltext import CHUNKS
 from loreloom.session import cut_lineage
 
 NOW = "TIMESTAMP '2024-01-15'"
+#: Passages below this score are no evidence in the evaluation queries.
+LEAST_SCORE = 60
 
 
 def governed(t: Tables) -> DataFrame:
@@ -214,22 +217,25 @@ def demand_verification(t: Tables):
 
 # --- evaluation --------------------------------------------------------------------
 
-CASES = """cases AS (SELECT b.item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN item_id * 3 END AS expected_doc, split_part(text, ' ', 3) AS expected_text,
+CASES = f"""{BM25}, cases AS (SELECT b.item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN item_id * 3 END AS expected_doc, split_part(text, ' ', 3) AS expected_text,
   list_filter([split_part(text, ' ', 5), split_part(text, ' ', 7)], lambda x: x <> '') AS terms, length(text) < 150 AS must_refuse FROM benchmark b),
-res AS (SELECT item_id AS case_id, doc_id, documents.text FROM benchmark JOIN documents ON substr(documents.text, 1, 4) = substr(benchmark.text, 1, 4))"""
+res AS (SELECT query_id AS case_id, doc_id, chunk_text AS text FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, ordinal) AS rank FROM bm25) JOIN corpus USING (doc_id, ordinal)
+  WHERE rank <= 10 AND round(score, 6) >= {LEAST_SCORE})"""
 
 
 def evaluation_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Benchmark texts as cases; the passages are documents that start alike."""
+    """Benchmark texts as cases; the passages are what retrieval finds for them."""
     item = F.col("item_id")
     words = F.filter(F.array(F.split_part("text", F.lit(" "), F.lit(5)), F.split_part("text", F.lit(" "), F.lit(7))), lambda w: w != "")
     cases = t.benchmark.select(
         item.alias("case_id"), F.when(item % 2 == 0, item * 3).alias("expected_doc"),
         F.split_part("text", F.lit(" "), F.lit(3)).alias("expected_text"), words.alias("terms"), (F.length("text") < 150).alias("must_refuse"),
     )
-    asked = t.benchmark.select(item.alias("case_id"), F.substring("text", 1, 4).alias("start"))
-    results = t.documents.select("doc_id", "text", F.substring("text", 1, 4).alias("start")).join(asked, "start").select("case_id", "doc_id", "text")
-    return cases, results
+    corpus = cut_lineage(chunk_corpus(t).select("doc_id", "ordinal", "tokens", "n_tokens", "chunk_text"))
+    hits = retrieval.bm25_top_k(corpus.drop("chunk_text"), retrieval.query_terms(retrieval.analyse_queries(benchmark_queries(t))), 10)
+    found = hits.filter(F.col("score") >= LEAST_SCORE).join(corpus.select("doc_id", "ordinal", "chunk_text"), ["doc_id", "ordinal"])
+    return cases, found.select(F.col("query_id").alias("case_id"), "doc_id", F.col("chunk_text").alias("text"))
 
 
 SCORED = f"""WITH {CASES},
@@ -482,7 +488,7 @@ def clause_comparison(t: Tables):
     "excerpt_choice",
     f"""WITH {CHUNKS}, w AS (SELECT doc_id, [lang || ' ', 'tion'] AS words FROM documents),
     j AS (SELECT *, len(list_filter(words, lambda x: contains(chunk_text, x))) = 0 AS miss FROM chunks JOIN w USING (doc_id))
-    SELECT doc_id, arg_min(ordinal, (miss, ordinal))::INT AS ordinal, md5(substr(arg_min(chunk_text, (miss, ordinal)), 1, 380)) AS excerpt_md5 FROM j GROUP BY doc_id""",
+    SELECT doc_id, arg_min(ordinal, (miss, ordinal))::INT AS ordinal, md5(arg_min(chunk_text, (miss, ordinal))) AS excerpt_md5 FROM j GROUP BY doc_id""",
 )
 def excerpt_choice(t: Tables):
     words = t.documents.select("doc_id", F.array(F.concat("lang", F.lit(" ")), F.lit("tion")).alias("words"))
@@ -582,7 +588,7 @@ def attribute_suggestions(t: Tables):
 @query(
     "card_drafts",
     f"""WITH {CHUNKS}, m AS (SELECT item_id AS card_id, unnest([0, 1, 2]) AS position, item_id * 3 + unnest([0, 1, 2]) AS doc_id FROM benchmark)
-    SELECT card_id, count(*)::INT AS documents, md5(string_agg(substr(chunk_text, 1, 400), chr(10) || chr(10) ORDER BY position)) AS body_md5 FROM m JOIN chunks USING (doc_id) WHERE ordinal = 1 GROUP BY card_id""",
+    SELECT card_id, count(*)::INT AS documents, md5(string_agg(chunk_text, chr(10) || chr(10) ORDER BY position)) AS body_md5 FROM m JOIN chunks USING (doc_id) WHERE ordinal = 1 GROUP BY card_id""",
 )
 def card_drafts(t: Tables):
     members = t.benchmark.select(F.col("item_id").alias("card_id"), F.posexplode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("position", "p")).select(

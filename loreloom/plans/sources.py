@@ -348,27 +348,24 @@ def scoped_evidence(t: Tables):
 
 @query(
     "valid_pairs",
-    """WITH x AS (SELECT l_partkey, l_orderkey, l_linenumber, l_shipdate AS a, l_shipdate + to_days(l_quantity::INT) AS b FROM lineitem WHERE l_returnflag = 'R'),
-    d AS (SELECT DISTINCT ON (l_partkey, l_orderkey) * FROM x ORDER BY l_partkey, l_orderkey, l_linenumber, a, b)
-    SELECT count(*) AS pairs FROM d p JOIN d q ON p.l_partkey = q.l_partkey AND p.l_orderkey < q.l_orderkey AND greatest(p.a, q.a) < least(p.b, q.b)""",
+    """WITH x AS (SELECT l_partkey, l_orderkey, l_linenumber, l_shipdate AS a, l_shipdate + to_days(l_quantity::INT) AS b FROM lineitem)
+    SELECT count(*) AS pairs FROM x p JOIN x q ON p.l_partkey = q.l_partkey AND greatest(p.a, q.a) < least(p.b, q.b)
+      AND (p.l_orderkey < q.l_orderkey OR (p.l_orderkey = q.l_orderkey AND p.l_linenumber < q.l_linenumber))""",
 )
 def valid_pairs(t: Tables):
-    """Returned lines of one part whose periods overlap, counted by a sweep over starts and ends.
+    """Lines of one part whose periods overlap, counted by a sweep over starts and ends.
 
     A pair overlaps when one starts while the other is open, so running counts of
     starts and ends replace the pairs themselves.
     """
     from loreloom.operators.ordered import running_sum
 
-    spans = t.lineitem.filter("l_returnflag = 'R'").select(
-        "l_partkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("a"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).cast("timestamp").alias("b")
+    spans = t.lineitem.select(
+        "l_partkey", "l_orderkey", F.col("l_shipdate").cast("timestamp").alias("a"),
+        F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).cast("timestamp").alias("b"),
     )
-    one = versions.latest(
-        spans.withColumn("neg", F.struct((-F.col("l_linenumber")).alias("n"), (-F.unix_timestamp("a")).alias("x"), (-F.unix_timestamp("b")).alias("y"))),
-        ["l_partkey", "l_orderkey"], ["neg"],
-    ).drop("neg")
     point = lambda at, kind: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"))
-    points = one.select("l_partkey", "l_orderkey", F.explode(F.array(point("a", 1), point("b", 0))).alias("p")).select("l_partkey", "l_orderkey", "p.at", "p.kind")
+    points = spans.select("l_partkey", "l_orderkey", F.explode(F.array(point("a", 1), point("b", 0))).alias("p")).select("l_partkey", "l_orderkey", "p.at", "p.kind")
     # Ends come before starts at the same moment; touching periods do not overlap.
     order = [F.col("at"), F.col("kind"), F.col("l_orderkey")]
     opened = running_sum(points, ["l_partkey"], order, F.when(F.col("kind") == 1, 1).otherwise(-1), F.date_trunc("month", "at"), "open_now")

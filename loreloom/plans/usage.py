@@ -73,12 +73,12 @@ def run_dashboard(t: Tables):
 
 @query(
     "interrupted_work",
-    """WITH s AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup'), e AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29')
+    """WITH s AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup'), e AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 95)
     SELECT event_id, CASE WHEN e.user_id IS NULL THEN 'interrupted' ELSE 'succeeded' END AS status FROM s LEFT JOIN e USING (user_id)""",
 )
 def interrupted_work(t: Tables):
     starts = t.events.filter("event_type = 'signup'").select("event_id", "user_id")
-    ends = t.events.filter((F.col("event_type") == "purchase") & (F.col("ts") >= "2024-01-29")).select("user_id", F.lit("succeeded").alias("status")).distinct()
+    ends = t.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 95)).select("user_id", F.lit("succeeded").alias("status")).distinct()
     return usage.interrupted(starts, ends, "user_id").select("event_id", "status")
 
 
