@@ -39,7 +39,7 @@ WORDS = 5
 #: Similarity in hundredths.
 LEAST = 75
 #: Shingles in a block, about; a block is what one task holds at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 DIGEST = 16
 #: Runtime filters for joins of any size; the filter itself has at most Spark's maxNumBits.
 BLOOM = {
