@@ -49,6 +49,68 @@ LAYOUT_TABLE_COLUMNS = 20
 # --- table questions: what the tool of an assistant may ask at once --------------
 TOOL_LIMITS = {"filters": 12, "select": 50, "group_by": 3, "aggregations": 10, "sort": 3, "values": 100}
 
+# --- transitions: (state, action) -> state, fixed values ------------------------
+TRANSITIONS = {
+    "document": {
+        ("review", "publish"): "published",
+        ("review", "reject"): "rejected",
+        ("review", "archive"): "archived",
+        ("published", "archive"): "archived",
+        ("rejected", "archive"): "archived",
+        ("failed", "archive"): "archived",
+        ("failed", "retry"): "queued",
+        ("archived", "restore"): "review",
+        ("rejected", "restore"): "review",
+    },
+    "card": {
+        ("draft", "submit"): "review",
+        ("returned", "submit"): "review",
+        ("recheck", "submit"): "review",
+        ("review", "publish"): "published",
+        ("published", "disable"): "disabled",
+        ("recheck", "disable"): "disabled",
+        ("published", "recheck"): "recheck",
+        ("disabled", "reopen"): "draft",
+        ("review", "reopen"): "draft",
+    },
+    "demand": {
+        ("pending_confirm", "confirm"): "confirmed",
+        ("confirmed", "assign"): "assigned",
+        ("returned", "assign"): "assigned",
+        ("assigned", "assign"): "assigned",
+        ("assigned", "start"): "in_progress",
+        ("confirmed", "start"): "in_progress",
+        ("in_progress", "submit_review"): "review",
+        ("review", "verify"): "verifying",
+        ("verifying", "verify"): "verifying",
+        ("verifying", "close"): "closed",
+        ("review", "close"): "closed",
+        ("review", "return"): "returned",
+        ("verifying", "return"): "returned",
+        ("assigned", "return"): "returned",
+        ("in_progress", "return"): "returned",
+    },
+    "case": {
+        ("open", "start"): "in_progress",
+        ("in_progress", "verify"): "verified",
+        ("open", "dismiss"): "dismissed",
+        ("in_progress", "dismiss"): "dismissed",
+        ("in_progress", "reopen"): "open",
+        ("verified", "reopen"): "open",
+        ("dismissed", "reopen"): "open",
+    },
+    "issue": {
+        ("open", "start"): "in_review",
+        ("open", "resolve"): "resolved",
+        ("in_review", "resolve"): "resolved",
+        ("open", "dismiss"): "dismissed",
+        ("in_review", "dismiss"): "dismissed",
+        ("in_review", "reopen"): "open",
+        ("resolved", "reopen"): "open",
+        ("dismissed", "reopen"): "open",
+    },
+}
+
 # --- retries and windows ----------------------------------------------------
 RETRY_ATTEMPTS = 3
 RETRY_DELAYS_SECONDS = (30, 120)

@@ -151,6 +151,33 @@ def references_current(refs: DataFrame, key: str, documents: DataFrame) -> DataF
     return refs.join(live, "doc_id", "left").groupBy(key).agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("current"))
 
 
+def trash_state(documents: DataFrame, actions: DataFrame) -> DataFrame:
+    """Documents after trash and restore actions: the latest action per document decides ``deleted_at``.
+
+    ``actions`` is ``(doc_id, action, at)`` with action ``trash`` or ``restore``;
+    of equal times the greater action wins.  Documents without an action keep
+    their state.
+    """
+    last = actions.groupBy("doc_id").agg(F.max(F.struct("at", "action")).alias("_last"))
+    state = (
+        F.when(F.col("_last.action") == "trash", F.col("_last.at")).when(F.col("_last").isNull(), F.col("deleted_at"))
+    )
+    return documents.join(last, "doc_id", "left").withColumn("deleted_at", state).select(documents.columns)
+
+
+def learning_current(snapshots: DataFrame, documents: DataFrame) -> DataFrame:
+    """Whether every source snapshot of a learned document still matches the live document.
+
+    ``snapshots`` is ``(learned_id, doc_id, version, fingerprint)``; ``documents`` is
+    ``(doc_id, version, fingerprint)`` of what may be retrieved now.
+    """
+    live = documents.select("doc_id", F.col("version").alias("_v"), F.col("fingerprint").alias("_f"))
+    same = F.coalesce((F.col("version") == F.col("_v")) & (F.col("fingerprint") == F.col("_f")), F.lit(False))
+    return snapshots.join(live, "doc_id", "left").groupBy("learned_id").agg(
+        F.bool_and(same).alias("current"), F.count_if(~same).alias("changed_sources")
+    )
+
+
 def catalog_filter(documents: DataFrame, base_id: str | None = None, status: str | None = None, text: str = "") -> DataFrame:
     """Listing filter: base, status and free text over title, file name and tags."""
     found = documents.filter("deleted_at IS NULL")

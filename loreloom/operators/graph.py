@@ -196,6 +196,29 @@ def visible_edges(edges: DataFrame, documents: DataFrame) -> DataFrame:
     return edges.filter("status = 'confirmed'").join(documents, ["doc_id", "fingerprint"], "left_semi")
 
 
+def neighbourhood(
+    edges: DataFrame, seeds: DataFrame, hops: int = 1, status: list[str] | None = None, types: list[str] | None = None
+) -> DataFrame:
+    """``(query_id, node_id, hops)``: nodes at most ``hops`` edges from the seeds, with the least distance.
+
+    Only edges of the given ``status`` are walked and only nodes of the given
+    ``types`` entered.  Each level is the distinct new nodes, so a hub is reached
+    once however many paths lead to it.  ``seeds`` is ``(query_id, node_id)``.
+    """
+    used = edges if status is None else edges.filter(F.col("status").isin(status))
+    steps = adjacency(used).select("at", "to", "to_type").distinct()
+    if types is not None:
+        steps = steps.filter(F.col("to_type").isin(types))
+    steps = cut_lineage(steps)
+    seen = seeds.select("query_id", "node_id", F.lit(0).alias("hops")).distinct()
+    level = seen
+    for hop in range(1, hops + 1):
+        reached = level.join(steps, F.col("node_id") == F.col("at")).select("query_id", F.col("to").alias("node_id")).distinct()
+        level = cut_lineage(reached.join(seen, ["query_id", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(level)
+    return seen
+
+
 def relations_of(edges: DataFrame, doc_id: str | None = None, node_id: str | None = None) -> DataFrame:
     wanted = edges
     if doc_id is not None:
