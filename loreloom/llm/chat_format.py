@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.common import text_rows
+
 PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT_TYPE = "struct<number:int,type:string,ref:string,tokens:long>"
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -131,7 +133,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     unknown type counts as text.  Long texts are read whole.
     """
     kinds = dict(turns.dtypes)
-    return turns.select("conv_id", "turn", "role", "parts").mapInPandas(
+    return text_rows(turns).select("conv_id", "turn", "role", "parts").mapInPandas(
         format_batches,
         f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, head string, body string, learned boolean, "
         f"attachments array<{ATTACHMENT_TYPE}>",
@@ -197,7 +199,7 @@ def digest_batches(batches: Iterator[pd.DataFrame]):
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the turns and of the learned text, read back from ``format_conversations``."""
     kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(
+    return text_rows(formatted).select("conv_id", "formatted", "loss_spans").mapInPandas(
         digest_batches,
         f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )

@@ -33,6 +33,24 @@ def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that a Python worker gets at a time, where the session has Spark's default of 10,000.
+TEXT_ROWS = "500"
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """``df`` unchanged; its session sends few rows at a time to Python workers.
+
+    A batch is held whole by the executor and the worker, and a row can be a text
+    of any length.  The setting has to last until the result is computed; a
+    session that names a value of its own keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ROWS_PER_BATCH) == "10000":
+        conf.set(ROWS_PER_BATCH, TEXT_ROWS)
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 

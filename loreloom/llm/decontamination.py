@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.common import text_rows
 from loreloom.llm.shingles import WordReader, shingle_hashes
 
 WORDS = 5
@@ -236,7 +237,7 @@ def contaminated(
       null; empty tables give no rows; other columns are not read.  Item ids
       are integers.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for wanted in portions(benchmark, item_col, item_text_col, k, least, radius, portion):
         hits = rows.mapInPandas(
@@ -267,5 +268,5 @@ def clean_documents(
 ) -> DataFrame:
     """The rows of ``docs`` whose text matches no item, decided where a row lies."""
     for wanted in portions(benchmark, "item_id", "text", k, least, radius, portion):
-        docs = docs.where(~leak_flag(wanted)(F.col("text")))
+        docs = text_rows(docs).where(~leak_flag(wanted)(F.col("text")))
     return docs

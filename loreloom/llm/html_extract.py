@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.common import text_rows
+
 # What HTML itself says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -276,7 +278,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     empty table gives no rows; other columns are not read.
     """
     kind = dict(pages.dtypes)[id_col]
-    return pages.select(
+    return text_rows(pages).select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
     ).mapInPandas(extract_batches, f"page_id {kind}, url string, text string").select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.common import text_rows
+
 SLOTS = 1 << 14
 #: Most labelled documents that the model is fitted on, taken by a hash of the id.
 SAMPLE_ROWS = 50_000
@@ -100,7 +102,7 @@ def fit(
     slots: int = SLOTS, sample_rows: int = SAMPLE_ROWS,
 ) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (slots x languages) from about ``sample_rows`` rows of ``labelled``."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = text_rows(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     if n > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < sample_rows * 1_000_000 // n)
@@ -213,7 +215,7 @@ def predict(
       gives no rows; columns other than id and text are not read.
     """
     langs, logs = model
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     if not langs:
         return rows.select(
             "doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
@@ -250,4 +252,4 @@ def kept_documents(docs: DataFrame, least_share: float = 0.3, **options) -> Data
             rows = pd.DataFrame({"doc_id": ids, "held_out": False, "text": texts.reset_index(drop=True)})
             yield pd.concat([r["score"] for r in predict_batches([rows], langs, logs)] or [pd.Series(dtype=float)])
 
-    return docs.where(main_share(F.col("text")) >= least_share)
+    return text_rows(docs).where(main_share(F.col("text")) >= least_share)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import components, settings
+from loreloom.llm.common import components, settings, text_rows
 from loreloom.llm.shingles import WordReader, shingle_hashes
 from loreloom.session import cut_lineage
 
@@ -394,7 +394,7 @@ def join_classes(
     """
     spark = docs.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = cut_lineage(profiles(rows, k, hundredths, buckets), "profiles")
     classes = cut_lineage(
         profile.where("n > 0").groupBy("digest").agg(

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.common import text_rows
+
 #: Kinds in the order of the listing; the first three are the base patterns.
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -152,7 +154,7 @@ def scan_documents(
       columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return text_rows(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         lambda batches: scan_batches(batches, least_bits),
         f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,bits:double>>",
     )
