@@ -2,43 +2,45 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loreloom import config
-from loreloom.functions.text import clean_text
-
-_AMP_OR_NUMERIC = re.compile(r"&(amp|#[xX][0-9a-fA-F]+|#[0-9]+);", re.IGNORECASE)
-
+from loreloom.functions.text import bind, clean_text
 
-def _character(match: re.Match) -> str:
-    entity = match.group(1)
-    if entity[0] != "#":
-        return "&"
-    code = int(entity[2:], 16) if entity[1] in "xX" else int(entity[1:])
-    valid = 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF
-    return chr(code) if valid else "\ufffd"
+_CODED = r"(?i)&(amp|#x[0-9a-f]+|#[0-9]+);"
 
 
-@F.pandas_udf(T.StringType())
-def _amp_and_numeric(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else _AMP_OR_NUMERIC.sub(_character, t))
+def _character(entity: Column) -> Column:
+    """The character of ``amp``, ``#123`` or ``#x1f``; U+FFFD where there is none."""
+    digits = F.substring(entity, 2, 2**30)
+    code = F.when(
+        digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 2**30), 16, 10).try_cast("decimal(20,0)")
+    ).otherwise(digits.try_cast("decimal(38,0)"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    point = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+    return F.when(F.lower(entity) == "amp", "&").when(valid, point).otherwise("\ufffd")
 
 
 def decode_entities(col: Column, numeric: bool = True) -> Column:
     """Decode the named entities of the fixed list, and numeric ones.
 
-    ``&amp;`` is decoded in the last pass, so that what it yields stays as it is.
-    Numeric entities need Python; pass ``numeric=False`` where the text has none.
+    ``&amp;`` is decoded in the last pass, so that what it yields stays as it is:
+    the text is cut at the remaining entities and put together with their
+    characters.  Pass ``numeric=False`` where the text has no numeric ones.
     """
     text = col
     for name, value in config.HTML_ENTITIES:
         text = F.regexp_replace(text, f"(?i)&{name};", value)
-    return _amp_and_numeric(text) if numeric else F.regexp_replace(text, "(?i)&amp;", "&")
+    if not numeric:
+        return F.regexp_replace(text, "(?i)&amp;", "&")
+
+    def joined(t: Column) -> Column:
+        between = F.split(t, _CODED)
+        characters = F.transform(F.regexp_extract_all(t, F.lit(_CODED), F.lit(1)), _character)
+        return F.concat_ws("", F.flatten(F.zip_with(between, characters, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+
+    return bind(text, lambda t: F.when(t.rlike(_CODED), joined(t)).otherwise(t))
 
 
 def html_to_text(col: Column, numeric: bool = True) -> Column:

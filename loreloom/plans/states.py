@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreloom import config
 from loreloom.functions import text as tx
-from loreloom.operators import access, answers, graph, neardup, ordered, selection, tables, vectors, versions
+from loreloom.operators import access, answers, graph, neardup, ordered, retrieval, selection, tables, vectors, versions
 from loreloom.operators.tables import Filter, TableQuery
 from loreloom.plans.graph import EDGES, PATHS, edges, line_edges, line_questions
 from loreloom.plans.lifecycle import CATALOG, catalog
@@ -320,3 +320,15 @@ def newest_per_document(t: Tables):
     """The newest five events of every document."""
     rows = t.events.select(F.col("user_id").alias("doc_id"), "event_id", "ts")
     return versions.keep_recent(rows, "doc_id", "ts", "event_id", 5, F.lit("1900-01-01").cast(dict(rows.dtypes)["ts"]))
+
+
+@query(
+    "absent_codes",
+    """SELECT p_partkey AS query_id FROM part WHERE p_size % 2 = 1 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size % 2 = 0 AND o.p_partkey % 1000 = part.p_partkey % 1000)""",
+)
+def absent_codes(t: Tables):
+    """Questions about parts by a code that the corpus, the parts of even size, does not hold."""
+    code = F.concat(F.lit("part-"), (F.col("p_partkey") % 1000).cast("string"))
+    corpus = t.part.filter("p_size % 2 = 0").select(tx.tokenize(F.concat(F.lit("unit "), code)).alias("tokens"))
+    asked = t.part.filter("p_size % 2 = 1").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is "), code).alias("query"))
+    return retrieval.absent_identifiers(corpus, retrieval.analyse_queries(asked))

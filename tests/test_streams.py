@@ -37,6 +37,15 @@ def test_rate_windows_open_at_the_first_event(spark, tmp_path):
     assert {r["event_id"]: r["accepted"] for r in done.collect()} == expected
 
 
+def test_late_events_come_out_as_late(spark, tmp_path):
+    seconds = [0, 10, 5000, 5010, 20, 1500]
+    rows = [(1, i, "x", START + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    stream = source(spark, tmp_path, rows, files=3)
+    done = state.run_to_table(state.rate_windows(stream, "user_id", "ts", "event_id", 4, 60, delay=3600), f"{tmp_path}/out").collect()
+    found = {r["event_id"]: (r["n"], r["accepted"], r["late"]) for r in done}
+    assert found == {0: (1, True, False), 1: (2, True, False), 2: (1, True, False), 3: (2, True, False), 4: (None, False, True), 5: (3, True, False)}
+
+
 def test_outbox_delivers_more_than_a_batch_once(spark, tmp_path):
     rows = [(1, i, "a" if i % 2 else "b", START + dt.timedelta(seconds=i)) for i in range(450)]
     stream = source(spark, tmp_path, rows).select(F.col("event_id").alias("sequence"), "event_id", F.col("kind").alias("action"))
