@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from pathlib import Path
 
 from loreloom.plans import QUERIES
 from loreloom.session import build_session
@@ -23,6 +24,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "20g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED", (Path.cwd() / "spark-warehouse" / "_bench").as_uri()),
     })
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()  # start the workers
