@@ -35,6 +35,30 @@ GRAPH_MAX_EDGES = 400
 GRAPH_MAX_HOPS = 3
 GRAPH_MAX_PATHS = 100
 
+# What the rows of a register state.  Nodes: name, type, role of the code, role of
+# the name, and where a key holds: "shared" by all registers with the code, "coded"
+# the same but never without a code, or within an organisation, line or event.
+GRAPH_NODES = (
+    ("asset", "asset", "asset", "asset_name", "coded"),
+    ("order", "work_order", "work_order", "work_order", "shared"),
+    ("line", "line", "line_id", "line", "organization"),
+    ("station", "station", "station_id", "station", "line"),
+    ("fault", "fault", "fault", "fault_name", "event"),
+    ("issue", "issue", "issue", "issue_name", "event"),
+    ("procedure", "procedure", "procedure", "procedure_name", "shared"),
+    ("document", "document", "document", "document_name", "shared"),
+)
+# Relations: predicate, the first present of these nodes, object.
+GRAPH_RELATIONS = (
+    ("located_at", ("asset",), "station"),
+    ("belongs_to_line", ("station",), "line"),
+    ("has_work_order", ("asset",), "order"),
+    ("has_fault", ("order", "asset"), "fault"),
+    ("has_issue", ("order", "asset"), "issue"),
+    ("follows_procedure", ("fault", "issue", "order", "asset"), "procedure"),
+    ("references_document", ("procedure", "order", "asset"), "document"),
+)
+
 # --- page layout: fixed values, in units of the middle word height or in pixels --
 LAYOUT_WORD_HEIGHT = 20.0
 LAYOUT_LINE_GAP = 0.65

@@ -37,6 +37,56 @@ def digest_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws(SEPARATOR, *parts), 256), 1, 24))
 
 
+def _node_id(node: Column) -> Column:
+    return digest_id("entity_", F.col("base_id"), node["type"], node["scope"], node["key"])
+
+
+def _node(cell, kind: Column, code: str, name: str, scope: Column | None, coded: bool = False) -> Column:
+    """A node as struct(type, scope, key, name, code); null without a key.
+
+    ``cell(prefix, role)`` is the value (``v``) or key (``k``) of a role.  A code is
+    the key where there is one; an empty scope falls back to the one of the code.
+    """
+    has_code = cell("v", code) != ""
+    key = cell("k", code) if coded else F.when(has_code, cell("k", code)).otherwise(cell("k", name))
+    own = F.when(has_code, "base-identifier").otherwise(F.concat(F.lit("source:"), F.col("source")))
+    where = own if scope is None else F.coalesce(F.nullif(scope, F.lit("")), own)
+    shown = F.coalesce(F.nullif(cell("v", name), F.lit("")), cell("v", code))
+    return F.when(key != "", F.struct(
+        kind.alias("type"), where.alias("scope"), key.alias("key"), shown.alias("name"), cell("v", code).alias("code")))
+
+
+def _register_nodes(cell, roles: set[str], table) -> dict[str, Column]:
+    """The nodes that a register with these roles can name, built from the rows of ``table``."""
+    nodes: dict[str, Column] = {}
+
+    def inside(prefix: str, node: str, otherwise: Column) -> Column:
+        if node not in nodes:
+            return otherwise
+        return F.when(nodes[node].isNotNull(), F.concat(F.lit(prefix), _node_id(nodes[node]))).otherwise(otherwise)
+
+    organization = cell("k", "organization")
+    scopes = {
+        "shared": lambda code: None,
+        "coded": lambda code: None,
+        "organization": lambda code: F.when(organization != "", F.concat(F.lit("organization:"), organization)).otherwise("base-line"),
+        "line": lambda code: inside("line:", "line", F.concat(F.lit("source:"), F.col("source"), F.lit(":organization:"), organization)),
+        "event": lambda code: F.when(cell("v", code) != "", "").otherwise(
+            inside("order:", "order", F.concat_ws(":", F.lit("row"), F.col("doc_id"), F.col("block_id"), F.col("row_no")))),
+    }
+    for node, kind, code, name, holds in table:
+        if roles & ({code} if holds == "coded" else {code, name}):
+            nodes[node] = _node(cell, F.lit(kind), code, name, scopes[holds](code), holds == "coded")
+    return nodes
+
+
+def _edge(subjects: list[str], target: str, predicate: Column) -> Column:
+    """struct(s, o, p) between the first present subject and the target; null if either lacks or both are one node."""
+    s, o = F.coalesce(*[F.col(n) for n in subjects]), F.col(target)
+    same = F.struct(s["type"].alias("type"), s["scope"].alias("scope"), s["key"].alias("key")) == F.struct(o["type"].alias("type"), o["scope"].alias("scope"), o["key"].alias("key"))
+    return F.when(s.isNotNull() & o.isNotNull() & ~same, F.struct(s.alias("s"), o.alias("o"), predicate.alias("p")))
+
+
 def extract_relations(
     rows: DataFrame, roles: dict[str, str], unicode_keys: bool = True, confirmed: bool = False
 ) -> DataFrame:
@@ -59,94 +109,32 @@ def extract_relations(
         *[F.coalesce(strip(F.col(h).cast("string")), F.lit("")).alias(f"v_{r}") for r, h in roles.items()],
     )
     rows = cells.select("*", *[norm(F.col(f"v_{r}")).alias(f"k_{r}") for r in roles])
-    nothing = F.lit("")
-
-    def value(role: str | None) -> Column:
-        return F.col(f"v_{role}") if role in roles else nothing
-
-    def keyed(role: str | None) -> Column:
-        return F.col(f"k_{role}") if role in roles else nothing
-
-    def node(kind: Column | str, code: str | None, name: str | None = None, scope: Column | None = None) -> Column:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        shown = F.when(value(name) != "", value(name)).otherwise(value(code))
-        own = F.when(value(code) != "", F.lit("base-identifier")).otherwise(F.concat(F.lit("source:"), F.col("source")))
-        where = own if scope is None else F.when(scope == "", own).otherwise(scope)
-        key = F.when(value(code) != "", keyed(code)).otherwise(keyed(name))
-        made = F.struct(kind.alias("type"), where.alias("scope"), key.alias("key"), shown.alias("name"), value(code).alias("code"))
-        return F.when(key != "", made)
-
-    def node_id(n: Column) -> Column:
-        return digest_id("entity_", F.col("base_id"), n["type"], n["scope"], n["key"])
-
-    has = lambda *names: any(n in roles for n in names)
-    asset = F.when(value("asset") != "", node("asset", "asset", "asset_name"))
-    order = node("work_order", "work_order")
-    line_scope = F.when(keyed("organization") != "", F.concat(F.lit("organization:"), keyed("organization"))).otherwise("base-line")
-    line = node("line", "line_id", "line", line_scope)
-    source_scope = F.concat(F.lit("source:"), F.col("source"), F.lit(":organization:"), keyed("organization"))
-    station_scope = (
-        F.when(line.isNotNull(), F.concat(F.lit("line:"), node_id(line))).otherwise(source_scope)
-        if has("line", "line_id") else source_scope
-    )
-    row_scope = F.concat_ws(":", F.lit("row"), F.col("doc_id"), F.col("block_id"), F.col("row_no"))
-    event_scope = (
-        F.when(order.isNotNull(), F.concat(F.lit("order:"), node_id(order))).otherwise(row_scope)
-        if has("work_order") else row_scope
-    )
-    within = lambda role: F.when(value(role) != "", nothing).otherwise(event_scope)
-    # Only the roles the register has take part in the row's expression.
-    nodes = {
-        "asset": asset if has("asset") else None,
-        "order": order if has("work_order") else None,
-        "line": line if has("line", "line_id") else None,
-        "station": node("station", "station_id", "station", station_scope) if has("station", "station_id") else None,
-        "fault": node("fault", "fault", "fault_name", within("fault")) if has("fault", "fault_name") else None,
-        "issue": node("issue", "issue", "issue_name", within("issue")) if has("issue", "issue_name") else None,
-        "procedure": node("procedure", "procedure", "procedure_name") if has("procedure", "procedure_name") else None,
-        "document": node("document", "document", "document_name") if has("document", "document_name") else None,
-    }
-    if has("subject_type") and has("object_type") and has("explicit_relation"):
-        stated = (value("subject_type") != "") & (value("object_type") != "") & (value("explicit_relation") != "")
-        nodes["subject"] = F.when(stated, node(value("subject_type"), "subject_id", "subject_name"))
-        nodes["object"] = F.when(stated, node(value("object_type"), "object_id", "object_name"))
+    cell = lambda prefix, role: F.col(f"{prefix}_{role}") if role in roles else F.lit("")
+    nodes = _register_nodes(cell, set(roles), config.GRAPH_NODES)
+    stated = {"subject_type", "object_type", "explicit_relation"} <= set(roles)
+    if stated:
+        told = (cell("v", "subject_type") != "") & (cell("v", "object_type") != "") & (cell("v", "explicit_relation") != "")
+        for end in ("subject", "object"):
+            nodes[end] = F.when(told, _node(cell, cell("v", f"{end}_type"), f"{end}_id", f"{end}_name", None))
     # A second barrier: each node is built once per row.
     rows = rows.select(
-        *provenance, *([F.col("v_explicit_relation")] if has("explicit_relation") else []),
-        *[n.alias(f"n_{name}") for name, n in nodes.items() if n is not None],
+        *provenance, *([F.col("v_explicit_relation")] if stated else []), *[n.alias(f"n_{name}") for name, n in nodes.items()]
     )
-    nodes = {name: F.col(f"n_{name}") for name, n in nodes.items() if n is not None}
-
-    def edge(subjects: tuple[str, ...], target: str, predicate: Column | str) -> Column | None:
-        given = [nodes[n] for n in subjects if nodes.get(n) is not None]
-        o = nodes.get(target)
-        if not given or o is None:
-            return None
-        s = given[0] if len(given) == 1 else F.coalesce(*given)
-        same = (s["type"] == o["type"]) & (s["scope"] == o["scope"]) & (s["key"] == o["key"])
-        made = F.struct(s.alias("s"), o.alias("o"), (F.lit(predicate) if isinstance(predicate, str) else predicate).alias("p"))
-        return F.when(s.isNotNull() & o.isNotNull() & ~same, made)
-
     stated_edges = [
-        edge(("subject",), "object", F.concat(F.lit("explicit:"), value("explicit_relation"))),
-        edge(("asset",), "station", "located_at"),
-        edge(("station",), "line", "belongs_to_line"),
-        edge(("asset",), "order", "has_work_order"),
-        edge(("order", "asset"), "fault", "has_fault"),
-        edge(("order", "asset"), "issue", "has_issue"),
-        edge(("fault", "issue", "order", "asset"), "procedure", "follows_procedure"),
-        edge(("procedure", "order", "asset"), "document", "references_document"),
+        _edge([f"n_{n}" for n in subjects if n in nodes], f"n_{target}", F.lit(predicate))
+        for predicate, subjects, target in config.GRAPH_RELATIONS if target in nodes and set(subjects) & set(nodes)
     ]
+    if stated:
+        stated_edges.append(_edge(["n_subject"], "n_object", F.concat(F.lit("explicit:"), F.col("v_explicit_relation"))))
     c = F.col
-    present = [e for e in stated_edges if e is not None]
-    if not present:
+    if not stated_edges:
         raise ValueError("the register names no roles that state a relation")
     found = rows.select(
-        "base_id", "doc_id", "block_id", "row_no", "fingerprint", F.explode(F.array_compact(F.array(*present))).alias("e")
+        "base_id", "doc_id", "block_id", "row_no", "fingerprint", F.explode(F.array_compact(F.array(*stated_edges))).alias("e")
     )
     # Ids are computed after the explode, once per edge and end.
     return found.select(
-        "*", node_id(c("e.s")).alias("subject_id"), node_id(c("e.o")).alias("object_id")
+        "*", _node_id(c("e.s")).alias("subject_id"), _node_id(c("e.o")).alias("object_id")
     ).select(
         digest_id(
             "relation_", c("doc_id"), c("block_id"), c("row_no").cast("string"), c("subject_id"), c("object_id"), c("e.p"), c("fingerprint")
