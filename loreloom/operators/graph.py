@@ -256,6 +256,24 @@ def construction_progress(documents: DataFrame, edges: DataFrame, objects: DataF
     return joined.select("doc_id", phase.alias("phase"), "relations", "candidates", "stale", "entity_count")
 
 
+def progress_detail(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(doc_id, subject_type, predicate, object_type, relations, candidates, stale)`` of edges not rejected.
+
+    ``documents`` is ``(doc_id, fingerprint)`` of today.
+    """
+    live = documents.select("doc_id", F.col("fingerprint").alias("_now"))
+    stale = ~F.coalesce(F.col("fingerprint") == F.col("_now"), F.lit(False))
+    return (
+        edges.filter("status <> 'rejected'").join(live, "doc_id", "left").withColumn("_stale", stale)
+        .groupBy("doc_id", "subject_type", "predicate", "object_type")
+        .agg(
+            F.count_if(~F.col("_stale")).alias("relations"),
+            F.count_if(~F.col("_stale") & (F.col("status") == "candidate")).alias("candidates"),
+            F.count_if("_stale").alias("stale"),
+        )
+    )
+
+
 # --- seeds and paths ----------------------------------------------------------
 
 _GRAM = 3

@@ -318,22 +318,19 @@ def infer_schema(rows: DataFrame, key: list[str]) -> DataFrame:
             ),
         )
     )
-    cells = rows.select(*key, "row_no", F.posexplode("cells").alias("position", "value"))
-    # The header record joins by key only; its cells drop out of the type test.
-    typed = (
-        cells.join(heads.select(*key, "has_header"), key)
-        .filter(~(F.col("has_header") & (F.col("row_no") == 1)))
-        .filter(strip(F.col("value")) != "")
-        .groupBy(*key, "position")
-        .agg(
-            F.bool_and(strip(F.col("value")).rlike(r"^[-+]?\d+(?:\.\d+)?$")).alias("numbers"),
-            F.bool_and(strip(F.col("value")).rlike(r"^\d{4}-\d{2}-\d{2}(?:[ T].*)?$")).alias("dates"),
-        )
+    cells = rows.select(*key, "row_no", F.posexplode("cells").alias("position", "value")).filter(strip(F.col("value")) != "")
+    patterns = {"numbers": r"^[-+]?\d+(?:\.\d+)?$", "dates": r"^\d{4}-\d{2}-\d{2}(?:[ T].*)?$"}
+    fits = {name: strip(F.col("value")).rlike(pattern) for name, pattern in patterns.items()}
+    # Tested with and without the first record; which one counts is known per table, so cells meet no join.
+    typed = cells.groupBy(*key, "position").agg(
+        *[F.bool_and(fit).alias(f"all_{name}") for name, fit in fits.items()],
+        *[F.bool_and(F.when(F.col("row_no") > 1, fit)).alias(f"rest_{name}") for name, fit in fits.items()],
     )
     columns = heads.select(*key, "has_header", F.posexplode("headers").alias("position", "header"))
+    tested = {name: F.when(F.col("has_header"), F.col(f"rest_{name}")).otherwise(F.col(f"all_{name}")) for name in patterns}
     kind = (
-        F.when(F.col("numbers").isNull(), "unknown").when(F.col("numbers"), "number")
-        .when(F.col("dates"), "date").otherwise("text")
+        F.when(tested["numbers"].isNull(), "unknown").when(tested["numbers"], "number")
+        .when(tested["dates"], "date").otherwise("text")
     )
     return columns.join(typed, [*key, "position"], "left").select(
         *key, "position", "header", kind.alias("type"), "has_header"

@@ -15,15 +15,22 @@ from loreloom.sources import files, layout
 
 @query(
     "folder_manifest",
-    """SELECT 'given/' || x AS path, CASE WHEN x = 'lost' THEN 'missing' WHEN x = 'labels.parquet' THEN 'orphan' ELSE 'ok' END AS state FROM (
+    """SELECT 'given/' || x AS path, CASE WHEN x = 'lost' THEN 'missing' WHEN x = 'labels.parquet' THEN 'orphan' WHEN x IN ('nation.parquet', 'region.parquet') THEN 'changed' ELSE 'ok' END AS state FROM (
       SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS x UNION ALL SELECT 'lost')""",
 )
 def folder_manifest(t: Tables):
-    """The given folder against a manifest that misses one file and lists a lost one."""
+    """The given folder against a manifest that misses a file, lists a lost one, and has another size and another hash of two."""
     listed = files.folder_listing(t.spark, t.folder, [".parquet"])
     named = listed.withColumn("path", F.concat(F.lit("given/"), F.element_at(F.split("path", "/"), -1)))
     lost = t.region.limit(1).select(F.lit("given/lost").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit("").alias("hash"))
-    manifest = named.filter("path <> 'given/labels.parquet'").unionByName(lost)
+    # Sizes and hashes come from the bytes themselves, not from the listing.
+    content = files.read_binary(t.spark, t.folder, "*.parquet").select(
+        F.concat(F.lit("given/"), F.element_at(F.split("path", "/"), -1)).alias("path"),
+        F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("hash"))
+    at = F.col("path")
+    manifest = content.filter("path <> 'given/labels.parquet'").select(
+        "path", F.when(at == "given/nation.parquet", F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.when(at == "given/region.parquet", F.reverse("hash")).otherwise(F.col("hash")).alias("hash")).unionByName(lost)
     return files.manifest_check(named, manifest)
 
 

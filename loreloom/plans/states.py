@@ -332,3 +332,33 @@ def absent_codes(t: Tables):
     corpus = t.part.filter("p_size % 2 = 0").select(tx.tokenize(F.concat(F.lit("unit "), code)).alias("tokens"))
     asked = t.part.filter("p_size % 2 = 1").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is "), code).alias("query"))
     return retrieval.absent_identifiers(corpus, retrieval.analyse_queries(asked))
+
+
+@query(
+    "graph_progress_detail",
+    f"""WITH {EDGES} SELECT doc AS doc_id, st AS subject_type, p AS predicate, ot AS object_type, count(*) FILTER (doc = 'assets') AS relations,
+      count(*) FILTER (doc = 'assets' AND p <> 'located_at') AS candidates, count(*) FILTER (doc <> 'assets') AS stale
+    FROM edges WHERE p <> 'follows_procedure' GROUP BY ALL""",
+)
+def graph_progress_detail(t: Tables):
+    """Relations by type and predicate: one kind confirmed, one rejected, one document changed since."""
+    status = F.when(F.col("predicate") == "located_at", "confirmed").when(F.col("predicate") == "follows_procedure", "rejected").otherwise("candidate")
+    some = edges(t).withColumn("status", status)
+    today = some.select("doc_id", "fingerprint").distinct().withColumn(
+        "fingerprint", F.when(F.col("doc_id") == "assets", F.col("fingerprint")).otherwise("new"))
+    return graph.progress_detail(some, today)
+
+
+@query(
+    "workspace_overview",
+    f"""WITH {CATALOG}, u AS (SELECT user_id AS doc_id, count(*) AS uses, max(ts) AS last_use FROM events GROUP BY user_id)
+    SELECT base_id, lang, count(*) AS documents, count(*) FILTER (status = 'published') AS published, coalesce(sum(uses), 0)::BIGINT AS uses,
+      count(*) FILTER (last_use >= TIMESTAMP '2024-01-25') AS used_lately FROM docs LEFT JOIN u USING (doc_id) WHERE deleted_at IS NULL GROUP BY base_id, lang""",
+)
+def workspace_overview(t: Tables):
+    """Documents, use and recent use per base and source language."""
+    used = t.events.groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("uses"), F.max("ts").alias("last_use"))
+    return catalog(t).filter("deleted_at IS NULL").join(used, "doc_id", "left").groupBy("base_id", "lang").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("status") == "published").alias("published"),
+        F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count_if(F.col("last_use") >= "2024-01-25").alias("used_lately"),
+    )
