@@ -17,13 +17,18 @@ def object_ids(col: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), lambda w: w.rlike(r"\d")))
 
 
-def ordered_messages(messages: DataFrame, conversation: str, sequence: str, bucket: int = 1000) -> DataFrame:
+def ordered_messages(
+    messages: DataFrame, conversation: str, sequence: str, created: str | None = None, key: str | None = None, bucket: int = 1000
+) -> DataFrame:
     """``place`` of every message in its conversation: by sequence, questions before answers.
 
-    Long conversations are numbered in buckets of the sequence, not in one task.
+    A missing sequence counts as 0; ``created`` and then ``key`` decide between
+    equal places.  Long conversations are numbered in buckets of the sequence, not
+    in one task.
     """
-    order = [F.col(sequence), F.when(F.col("role") == "user", 0).otherwise(1)]
-    return number_rows(messages, [conversation], order, F.floor(F.col(sequence) / bucket), "place")
+    number = F.coalesce(F.col(sequence), F.lit(0))
+    order = [number, F.when(F.col("role") == "user", 0).otherwise(1), *[F.col(c) for c in (created, key) if c]]
+    return number_rows(messages, [conversation], order, F.floor(number / bucket), "place")
 
 
 def answered_turns(messages: DataFrame, chars: int | None = None) -> DataFrame:

@@ -134,6 +134,19 @@ def message_order(t: Tables):
     return placed.select("conv_id", "turn", "role", "place")
 
 
+@query(
+    "message_fallbacks",
+    """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END,
+      CASE event_type WHEN 'signup' THEN 0 ELSE 1 END, ts, event_id) AS place FROM events""",
+)
+def message_fallbacks(t: Tables):
+    """Messages without a sequence, or with equal ones: the time and then the id decide."""
+    messages = t.events.select(
+        "event_id", "user_id", "ts", F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 4).alias("sequence"),
+        F.when(F.col("event_type") == "signup", "user").otherwise("assistant").alias("role"))
+    return conversation.ordered_messages(messages, "user_id", "sequence", "ts", "event_id").select("event_id", "place")
+
+
 # --- answers ----------------------------------------------------------------------
 
 ANSWERS = """a AS (SELECT conv_id * 1000 + turn AS answer_id, text || CASE WHEN turn = 1 THEN ' [1]' WHEN length(text) > 600 THEN chr(10) || 'x [2] [1]' ELSE '' END AS answer,

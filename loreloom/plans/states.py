@@ -362,3 +362,23 @@ def workspace_overview(t: Tables):
         F.count("*").alias("documents"), F.count_if(F.col("status") == "published").alias("published"),
         F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count_if(F.col("last_use") >= "2024-01-25").alias("used_lately"),
     )
+
+
+@query(
+    "upload_actions",
+    """WITH st AS (SELECT doc_id, source AS base_id, 'f' || (doc_id % 200) AS file_name, md5(text) AS hash, (doc_id % 3)::INT AS version FROM documents WHERE lang IN ('en', 'de')),
+    up AS (SELECT doc_id + 1000000 AS upload_id, CASE WHEN doc_id % 5 = 0 THEN 'src3' ELSE source END AS base_id, 'f' || (doc_id % 400) AS file_name, md5(text) AS hash FROM documents),
+    a AS (SELECT base_id, hash, max({'v': version, 'd': doc_id}).d AS same FROM st GROUP BY ALL), b AS (SELECT base_id, file_name, max({'v': version, 'd': doc_id}).d AS named FROM st GROUP BY ALL),
+    c AS (SELECT hash, max({'v': version, 'd': doc_id}).d AS elsewhere FROM st GROUP BY ALL)
+    SELECT upload_id, CASE WHEN same IS NOT NULL THEN 'skip' WHEN named IS NOT NULL THEN 'new_version' WHEN elsewhere IS NOT NULL THEN 'copy' ELSE 'import' END AS action,
+      coalesce(same, named, elsewhere) AS doc_id FROM up LEFT JOIN a USING (base_id, hash) LEFT JOIN b USING (base_id, file_name) LEFT JOIN c USING (hash)""",
+)
+def upload_actions(t: Tables):
+    """All documents uploaded to a store that holds two languages, some to another base and under other names."""
+    name = lambda n: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string"))
+    stored = t.documents.filter(F.col("lang").isin("en", "de")).select(
+        "doc_id", F.col("source").alias("base_id"), name(200).alias("file_name"), F.md5("text").alias("hash"), (F.col("doc_id") % 3).cast("int").alias("version"))
+    uploads = t.documents.select(
+        (F.col("doc_id") + 1000000).alias("upload_id"), F.when(F.col("doc_id") % 5 == 0, "src3").otherwise(F.col("source")).alias("base_id"),
+        name(400).alias("file_name"), F.md5("text").alias("hash"))
+    return neardup.upload_actions(uploads, stored)
