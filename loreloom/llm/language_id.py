@@ -105,7 +105,7 @@ def fit(
     rows = text_rows(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < sample_rows * 1_000_000 // n)
+        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < sample_rows * (1 << 40) // n)
     counted = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(
         lambda batches: count_trigrams(batches, slots), "lang string, slot int, n long"
     ).groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most slots rows a language
