@@ -137,7 +137,8 @@ def link_vectors(
     """
     read = rows.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        # Single-precision vectors travel as they are; cosines are computed in double precision.
+        (F.col(vector_col) if dict(rows.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")).alias("vector"),
     )
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0)
@@ -151,10 +152,10 @@ def link_vectors(
         own = entries.where(F.size("vector") == length).select("vector", F.xxhash64("first", "vector").alias("h"))
         sample = np.array(own.orderBy("h").limit(sample_rows).toPandas()["vector"].to_list(), dtype=np.float64)
         models[length] = learn_rotation(sample, min(CODE_BITS, length))
-    kind = dict(entries.dtypes)["label"]
+    kinds = dict(entries.dtypes)
     coded = cut_lineage(entries.select("entry", "label", "vector", "copies").mapInPandas(
         lambda batches: encode(batches, models),
-        f"entry long, label {kind}, vector array<double>, copies long, code long",
+        f"entry long, label {kinds['label']}, vector {kinds['vector']}, copies long, code long",
     ).withColumn("length", F.size("vector")), "codes")
     blocks = F.array(*[
         F.struct(F.lit(j).alias("block"), F.shiftrightunsigned("code", CODE_BITS - BLOCK_BITS * (j + 1)).bitwiseAND(
