@@ -4,9 +4,10 @@ A page is read once into blocks: runs of text between block-level tags, each
 with its root-to-leaf path of tags and classes.  Per path the mean text length
 and the mean punctuation of its blocks are aggregated, smoothed along the page,
 fused with the share of text outside links, and thresholded: blocks on paths
-above the threshold are content.  The article is the smallest element that
-holds nearly all of that content, without the parts that their tag, role or
-class names as menu, header, footer, sidebar, notice, advert, form or comment.
+above the threshold are content and stay; short blocks in the smallest element
+that holds nearly all of the content come along.  Parts that their tag, role or
+class names as menu, header, footer, sidebar, notice, advert, form or comment
+are left out, unless they hold the content of the page.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ P_ENDS_AT = frozenset({"td", "th", "button", "caption", "object", "html"})
 
 #: Elements, roles and words in classes and ids that are not part of an article.
 OUTSIDE_TAGS = frozenset(
-    "head nav footer aside form button select noscript template svg canvas object menu dialog audio video".split()
+    "head nav footer aside button select noscript template svg canvas object menu dialog audio video".split()
 )
+#: Elements that may also lie around an article.
+MARKED_TAGS = frozenset({"form", "header"})
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner "
@@ -57,6 +60,12 @@ OUTSIDE_WORDS = frozenset(
     "comment comments commentlist disqus replies reply respond discussion widget pagination pager".split()
 )
 HEADER_WORDS = frozenset({"header"})
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: Words of inline elements that are no part of a sentence.
+INLINE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies "
+    "consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social disqus".split()
+)
 PUNCTUATION = re.compile(r"[.,;:!?…،。，；：！？、]")
 
 _TOKEN = re.compile(
@@ -70,48 +79,96 @@ _HIDDEN_STYLE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 SPREAD = 1.0
 #: Share of the content that the article's element has to hold.
 HELD = 0.8
+#: A marked element is outside where the unmarked content is at least this share of its own; comments need less.
+BESIDE, BESIDE_COMMENTS = 0.2, 0.02
 
 
 class Element:
-    __slots__ = ("tag", "label", "outside", "header", "link", "parent", "number")
+    __slots__ = ("tag", "label", "outside", "marks", "link", "parent", "number")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, number: int) -> None:
         self.tag, self.parent, self.number = tag, parent, number
-        words, role, hidden, classes = set(), "", False, ""
+        role, hidden, classes, tokens = "", False, "", []
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words.update(w.lower() for w in _WORD.findall(value))
+                    tokens += value.split()
                     classes = classes or ".".join(value.split())
                 elif name == "role":
                     role = value.strip().lower()
                 elif name == "hidden" or _HIDDEN_STYLE.search(value):
                     hidden = True
         self.label = f"{tag}.{classes}" if classes else tag
-        inherited = parent is not None
-        own_outside = hidden or tag in OUTSIDE_TAGS or role in OUTSIDE_ROLES
-        if tag not in ("html", "body", "article", "main"):
-            own_outside = own_outside or bool(words & OUTSIDE_WORDS)
-        self.outside = (inherited and parent.outside) or own_outside
-        own_header = tag == "header" or (tag not in ("html", "body", "article", "main") and bool(words & HEADER_WORDS))
-        self.header = (inherited and parent.header) or own_header
-        self.link = (inherited and parent.link) or tag == "a"
+        page = tag in ("html", "body")
+        self.outside = (parent is not None and parent.outside) or tag in OUTSIDE_TAGS or (hidden and not page)
+        # What names this element as outside: (word, shortest class or id with it).
+        marks: dict[str, str] = {}
+        if tag in MARKED_TAGS:
+            marks[tag] = tag
+        if role in OUTSIDE_ROLES and not page:
+            marks[f"role {role}"] = role
+        if not page and tag not in ("article", "main"):
+            for token in sorted(tokens, key=len):
+                for word in _WORD.findall(token):
+                    if word.lower() in OUTSIDE_WORDS or word.lower() in HEADER_WORDS:
+                        marks.setdefault(word.lower(), token)
+        self.marks = frozenset(marks.items())
+        self.link = (parent is not None and parent.link) or tag == "a"
+
+    def chain(self) -> list[Element]:
+        """The elements from the root to this one."""
+        found, at = [], self
+        while at is not None:
+            found.append(at)
+            at = at.parent
+        return found[::-1]
+
+
+def block_level(element: Element) -> Element:
+    while element.parent is not None and element.tag not in BLOCKS:
+        element = element.parent
+    return element
 
 
 class Block:
     __slots__ = ("element", "pieces", "linked", "path", "text")
 
     def __init__(self, element: Element) -> None:
-        self.element, self.pieces, self.linked = element, [], 0
-        labels, at = [], element
-        while at is not None:
-            if at.tag in BLOCKS:
-                labels.append(at.label)
-            at = at.parent
-        self.path = "/".join(reversed(labels))
+        self.element, self.pieces, self.linked = block_level(element), [], 0
+        self.path = "/".join(e.label for e in self.element.chain() if e.tag in BLOCKS)
         self.text = ""
 
+    def close(self) -> None:
+        """Make the text, without the pieces in inline elements that are outside.
+
+        Where nothing else is in the block, its outermost such element speaks for the block.
+        """
+        kept = []
+        for text, element in self.pieces:
+            cut, at = None, element
+            while at is not self.element and at is not None:
+                if at.outside or any(word in INLINE_WORDS for word, _ in at.marks):
+                    cut = at
+                at = at.parent
+            kept.append((text, element, cut))
+        if not any(cut is None and text.strip() for text, _, cut in kept):
+            first = next((cut for text, _, cut in kept if cut is not None and text.strip()), None)
+            self.element = first or self.element
+            kept = [(text, element, None) for text, element, _ in kept]
+        elif all(_marked_inline(e, self.element) for text, e, cut in kept if cut is None and text.strip()):
+            self.element = next(e for text, e, cut in kept if cut is None and text.strip())
+        self.text = " ".join("".join(" " if cut else text for text, _, cut in kept).split())
+        self.linked = sum(len(text.strip()) for text, element, cut in kept if cut is None and element.link)
+
+
+def _marked_inline(element: Element, block: Element) -> bool:
+    while element is not block and element is not None:
+        if element.marks:
+            return True
+        element = element.parent
+    return False
+
 
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out; unclosed tags end as HTML says."""
@@ -125,9 +182,7 @@ def read_blocks(page: str) -> list[Block]:
                 return
             current = Block(stack[-1])
             blocks.append(current)
-        current.pieces.append(text)
-        if stack[-1].link:
-            current.linked += len(text.strip())
+        current.pieces.append((text, stack[-1]))
 
     def close_to(depth: int) -> None:
         del stack[depth:]
@@ -182,7 +237,7 @@ def read_blocks(page: str) -> list[Block]:
         number += 1
         stack.append(Element(tag, m[3], stack[-1], number))
     for block in blocks:
-        block.text = " ".join("".join(block.pieces).split())
+        block.close()
     return [b for b in blocks if b.text]
 
 
@@ -213,25 +268,71 @@ def path_scores(blocks: list[Block]) -> list[float]:
     return [r * math.log1p(s) * f for r, s, f in zip(smooth(ratio), smooth(stops), free)]
 
 
-def article_blocks(blocks: list[Block]) -> list[Block]:
-    inside = [b for b in blocks if not b.element.outside and (not b.element.header or b.element.tag in HEADINGS)]
-    if not inside:
-        return []
-    scores = path_scores(inside)
+def content_of(blocks: list[Block]) -> list[bool]:
+    """Is the tag-path score of a block above the threshold of the page?"""
+    scores = path_scores(blocks)
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     threshold = max(mean - spread, 0.0)
-    content = [b for b, s in zip(inside, scores) if s >= threshold and s > 0] or inside
+    return [s >= threshold and s > 0 for s in scores]
+
+
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks that no marked element holds, after the marks around the content are lifted.
+
+    A mark is lifted where the content below it outweighs what is unmarked: such
+    an element lies around the article, or is a part of it.  Marks are lifted
+    for all elements that bear them, the heaviest first.
+    """
+    marked = []
+    for b in blocks:
+        chain = [e for e in b.element.chain() if e.marks]
+        if b.element.tag in HEADINGS:
+            chain = [e for e in chain if any(word not in HEADER_WORDS for word, _ in e.marks)]
+        marked.append(chain)
+    # Nothing is marked, or marks are weighed by the text of content blocks outside links.
+    weight = [max(len(b.text) - b.linked, 0) if c else 0 for b, c in zip(blocks, content_of(blocks))]
+    lifted: set[tuple[str, str]] = set()
+    first = [0] * len(blocks)
+    while True:
+        rest, own, titled = 0, Counter(), set()
+        for i, (b, chain) in enumerate(zip(blocks, marked)):
+            while first[i] < len(chain) and chain[first[i]].marks <= lifted:
+                first[i] += 1
+            if first[i] == len(chain):
+                rest += weight[i]
+                continue
+            marks = chain[first[i]].marks - lifted
+            own[marks] += weight[i]
+            # An article, main part or title that no further mark sets apart.
+            at, only = b.element, all(e.marks - lifted <= marks for e in chain[first[i]:])
+            while only and at is not chain[first[i]]:
+                if at.tag in ("article", "main", "h1"):
+                    titled.add(marks)
+                at = at.parent
+        for marks, held in sorted(own.items(), key=lambda kv: (-kv[1], sorted(kv[0]))):
+            words = {word for word, _ in marks}
+            share = 1.0 if marks in titled else BESIDE_COMMENTS if words & COMMENT_WORDS else BESIDE
+            if held > 0 and rest < share * held:
+                lifted |= marks
+                break
+        else:
+            return [b for b, chain, at in zip(blocks, marked, first) if at == len(chain)]
+
+
+def article_blocks(blocks: list[Block]) -> list[Block]:
+    inside = [b for b in blocks if not b.element.outside]
+    inside = unmarked(inside) if inside else inside
+    if not inside:
+        return []
+    chosen = content_of(inside)
+    content = [b for b, c in zip(inside, chosen) if c] or inside
     # Text of the content under each element, from the deepest element up.
     weight: Counter = Counter()
     elements: dict[int, Element] = {}
     depth: dict[int, int] = {}
     for b in content:
-        chain, at = [], b.element
-        while at is not None:
-            chain.append(at)
-            at = at.parent
-        for level, e in enumerate(reversed(chain)):
+        for level, e in enumerate(b.element.chain()):
             weight[e.number] += len(b.text)
             elements[e.number], depth[e.number] = e, level
     total = sum(len(b.text) for b in content)
@@ -245,17 +346,13 @@ def article_blocks(blocks: list[Block]) -> list[Block]:
             at = at.parent
         article = at.number
 
-    def under(e: Element | None) -> bool:
-        while e is not None:
-            if e.number == article:
-                return True
-            e = e.parent
-        return False
-
-    bodies = [b for b in inside if under(b.element)]
-    if named:
-        return bodies
-    return [b for b in bodies if 2 * min(b.linked, len(b.text)) <= len(b.text)]
+    def added(b: Block) -> bool:
+        """Short blocks beside the content, in its element, come along; lists of links do not."""
+        if not named and b.element.tag != "h1" and 2 * min(b.linked, len(b.text)) > len(b.text):
+            return False
+        return any(e.number == article for e in b.element.chain())
+
+    return [b for b, c in zip(inside, chosen) if c or added(b)]
 
 
 def main_text(page: str) -> str:

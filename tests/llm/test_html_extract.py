@@ -67,3 +67,31 @@ def test_scores_prefer_long_punctuated_paths():
     blocks = h.read_blocks("<div class=a><p>One, two, three, four, five.</p><p>Six, seven, eight.</p></div><div class=b><a>x</a></div>")
     scores = h.path_scores(blocks)
     assert scores[0] > scores[-1] and scores[-1] == 0.0
+
+
+@pytest.mark.parametrize("wrap", [
+    "<div class='has-sidebar'><article>{}</article></div>", "<div class='content-sidebar-wrap'><div>{}</div></div>",
+    "<form><article>{}</article></form>", "<form><div>{}</div></form>", "<div class='header-fixed'><div class=x>{}</div></div>",
+    "<div class='content-sidebar-wrap'><main>{}</main><div class='sidebar'><p>Beside, the point, of all of it.</p></div></div>",
+])
+def test_marks_around_the_article_do_not_drop_it(wrap):
+    assert h.main_text(page(wrap.format(BODY))) == TEXT
+
+
+def test_an_article_made_of_marked_parts():
+    parts = "".join(f"<div class='elementor-widget elementor-{i}'>{p}</p></div>" for i, p in enumerate(BODY.split("</p>")[:-1]))
+    assert h.main_text(page(f"<div class=x>{parts}</div>")) == TEXT
+
+
+def test_inline_parts_are_judged_piece_by_piece():
+    note = "<p><span class='notice'>Note:</span> a long text, which goes on, and on.</p>"
+    advert = "<p>Before it, <span class='ad'>buy this</span> and after it, the same.</p>"
+    got = h.main_text(page(f"<article><header><h1><a href=x>Title</a></h1></header>{note}{advert}{BODY}</article>"))
+    assert got == "Title\n\nNote: a long text, which goes on, and on.\n\nBefore it, and after it, the same.\n\n" + TEXT
+
+
+def test_the_container_drops_no_content():
+    more = "<p>A fourth one, of the same kind, beside the others.</p>"
+    expected = TEXT + "\n\nA fourth one, of the same kind, beside the others."
+    assert h.main_text(page(f"<article>{BODY}</article><article>{more}</article>")) == expected
+    assert h.main_text(page(f"<div><div>{BODY}</div><div>{more}</div></div>")) == expected
