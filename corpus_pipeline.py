@@ -21,7 +21,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"), stretch=True)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ documents at every S-th word, so such a passage shares a whole window, and its
 fingerprint, with the item.  Fingerprints within ``RADIUS`` bits are found
 through RADIUS + 1 tables, one per block of bits: two fingerprints that near
 agree in one block at least.  Every hit is aligned, and the document's windows
-of the item's own size there are compared with the item: each shingle weighs as
-often as it occurs, and the similarity is the weighted Jaccard measure.
+around it are compared with the item: each shingle weighs as often as it occurs,
+and the similarity is the weighted Jaccard measure.  With ``stretch`` the windows
+have every length at which the item can be similar enough, else the item's own.
 
 Documents are read once, where they lie, and never shuffled.  Benchmarks are
 sent to the tasks in portions of at most ``PORTION`` items, one pass each.
@@ -41,7 +42,9 @@ def clean_run(n_words: int, k: int, least: float) -> int:
     """Words in a row that stay unchanged, at least, in a passage of ``n_words`` similar by ``least``.
 
     The passage keeps ``least`` of its shingles; a changed word inside loses k
-    of them, one at an end loses one.
+    of them, one at an end loses one.  A word put in or a part moved loses only
+    k - 1, but adds as many at least to the union; with ``least`` of the union
+    kept, that costs no less than k lost ones.
     """
     inside, ends = divmod(most_lost(n_words - k + 1, least), k)
     return (n_words - ends - inside) // (inside + 1)
@@ -120,8 +123,9 @@ class Blocks:
 class Portion:
     """Fingerprint tables and counted shingles of some benchmark items."""
 
-    def __init__(self, item_ids: list[int], texts: list[str | None], k: int, least: float, radius: int) -> None:
-        self.k, self.least = k, least
+    def __init__(self, item_ids: list[int], texts: list[str | None], k: int, least: float, radius: int,
+                 stretch: bool = False) -> None:
+        self.k, self.least, self.stretch = k, least, stretch
         reader = WordReader()
         self.ids, self.counts, self.lengths = [], [], []
         by_window: dict[int, list] = {}
@@ -167,6 +171,36 @@ class Portion:
                     return found, start
         return 0.0, at
 
+    def stretched(self, item: int, text: np.ndarray, at: int) -> tuple[float, int]:
+        """The best window of any length that holds a hit aligned at ``at``, the first of equal ones; 0.0 if none is similar.
+
+        Best windows begin and end with shingles of the item.  A window similar
+        by s holds s of the item's shingles at least.
+        """
+        counts, size = self.counts[item], self.lengths[item]
+        longest = int(size / self.least + 1e-9)
+        low = max(at - longest, 0)
+        part = text[low : max(at + size + longest, 0)].tolist()
+        own = [place for place, shingle in enumerate(part) if shingle in counts]
+        best, first, end = 0.0, at, 0
+        for number, start in enumerate(own):
+            while end < len(own) and own[end] < start + longest:
+                end += 1
+            if end - number < max(self.least, best) * size - 1e-9:
+                continue
+            seen: Counter = Counter()
+            common = 0
+            for place in own[number:end]:
+                shingle = part[place]
+                seen[shingle] += 1
+                common += seen[shingle] <= counts[shingle]
+                found = common / (size + place - start + 1 - common)
+                if found >= self.least and found > best:
+                    best, first = found, low + start
+            if best == 1.0:
+                break
+        return best, first
+
     def matches(self, shingles: np.ndarray, begins: np.ndarray, counts: np.ndarray):
         """(text number, item, similarity, first word) of the best window of each text and item.
 
@@ -185,12 +219,15 @@ class Portion:
             query, entry = blocks.near(prints)
             for q, e in zip(query.tolist(), entry.tolist()):
                 t, i = int(text[q]), int(item[e])
-                at = min(max(int(local[q]) - int(offset[e]), 0), int(counts[t]) - 1)
+                at = int(local[q]) - int(offset[e])
+                if not self.stretch:
+                    at = min(max(at, 0), int(counts[t]) - 1)
                 if (t, i, at) in tried:
                     continue
                 tried.add((t, i, at))
                 begin = int(begins[t])
-                found, start = self.near(i, shingles[begin : begin + int(counts[t])], at)
+                own = shingles[begin : begin + int(counts[t])]
+                found, start = self.stretched(i, own, at) if self.stretch else self.near(i, own, at)
                 if found > best.get((t, i), (0.0, 0))[0]:
                     best[t, i] = (found, start)
         return [(t, self.ids[i], s, at) for (t, i), (s, at) in sorted(best.items())]
@@ -212,24 +249,28 @@ def search(batches: Iterator[pd.DataFrame], portion: Portion):
 
 
 def portions(
-    benchmark: DataFrame, item_col: str, item_text_col: str, k: int, least: float, radius: int, size: int
+    benchmark: DataFrame, item_col: str, item_text_col: str, k: int, least: float, radius: int, size: int,
+    stretch: bool = False,
 ) -> Iterator[Portion]:
     """The benchmark in portions of about ``size`` items."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     passes = max(1, -(-items.count() // size))
     for number in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).toPandas()
-        yield Portion(part["item_id"].tolist(), part["text"].tolist(), k, least, radius)
+        yield Portion(part["item_id"].tolist(), part["text"].tolist(), k, least, radius, stretch)
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
     k: int = WORDS, least: float = LEAST, radius: int = RADIUS, portion: int = PORTION,
+    stretch: bool = False,
 ) -> DataFrame:
     """One row per (document, item) that match: doc_id, item_id, similarity, first_word.
 
-    * The best window counts, of equal ones the first found.  Clean documents
+    * The best window counts, of equal ones the first found: of windows of the
+      item's own size, or with ``stretch`` of all lengths, so that words put in
+      or left out do not hide a passage that is similar as a whole.  Clean documents
       have no rows; null, empty and short texts match nothing.
     * Items of fewer than ``k`` words, or null, are too short to tell a passage
       by and match nothing.  Items with one text match the same documents.
@@ -239,7 +280,7 @@ def contaminated(
     """
     rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for wanted in portions(benchmark, item_col, item_text_col, k, least, radius, portion):
+    for wanted in portions(benchmark, item_col, item_text_col, k, least, radius, portion, stretch):
         hits = rows.mapInPandas(
             lambda batches, wanted=wanted: search(batches, wanted),
             "doc_id long, item_id long, similarity double, first_word long",
@@ -264,9 +305,9 @@ def leak_flag(wanted: Portion):
 
 def clean_documents(
     docs: DataFrame, benchmark: DataFrame, k: int = WORDS, least: float = LEAST, radius: int = RADIUS,
-    portion: int = PORTION,
+    portion: int = PORTION, stretch: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` whose text matches no item, decided where a row lies."""
-    for wanted in portions(benchmark, "item_id", "text", k, least, radius, portion):
+    for wanted in portions(benchmark, "item_id", "text", k, least, radius, portion, stretch):
         docs = text_rows(docs).where(~leak_flag(wanted)(F.col("text")))
     return docs

@@ -32,7 +32,7 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), stretch=True)
 
 
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:

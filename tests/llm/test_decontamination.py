@@ -123,3 +123,61 @@ def test_fingerprints_do_not_depend_on_segments(monkeypatch):
         for start, got in zip(starts[::50], prints[::50]):
             bits = np.unpackbits(shingles[start:start + size].view(np.uint8).reshape(-1, 8), axis=1)
             assert np.array_equal(np.unpackbits(np.array([got]).view(np.uint8)), bits.sum(axis=0) > size // 2)
+
+
+def brute_lengths(docs, items):
+    """Best weighted similarity over all windows of all lengths."""
+    found = {}
+    for doc_id, text in docs:
+        own = shingles(text)
+        for i, t in items:
+            item = Counter(shingles(t))
+            n, best = item.total(), 0.0
+            # Best windows begin with a shingle of the item.
+            for a in (a for a in range(len(own)) if own[a] in item):
+                window, common = Counter(), 0
+                for b in range(a, min(len(own), a + 2 * n)):
+                    window[own[b]] += 1
+                    common += window[own[b]] <= item[own[b]]
+                    best = max(best, common / (n + b - a + 1 - common))
+            if best >= 0.75:
+                found[doc_id, i] = best
+    return found
+
+
+def edited_corpus():
+    """Words put in, left out, moved and cut off, in the middle of documents."""
+    rng = random.Random(17)
+    items, docs = [], []
+    for n in (15, 18, 23, 27, 30, 36, 38, 45, 59, 71):
+        w = words(rng, n)
+        items.append((n, " ".join(w)))
+        cut = n // 2
+        passages = [w[:cut] + ["extra"] + w[cut:], w[:cut] + w[cut + 1:], w[: n * 5 // 6], w[n - n * 5 // 6:], w[cut:] + w[:cut],
+                    w[: n // 3] + ["one"] + w[n // 3 : 2 * n // 3] + ["two"] + w[2 * n // 3:], w[1 : cut] + ["extra"] + w[cut:-1]]
+        docs += [(100 * n + v, " ".join(words(rng, 60) + p + words(rng, 60))) for v, p in enumerate(passages)]
+    return docs, items
+
+
+def test_stretched_windows_equal_all_lengths(spark):
+    for docs, items in (edited_corpus(), corpus()):
+        got = {(r.doc_id, r.item_id): r.similarity
+               for r in d.contaminated(documents(spark, docs).repartition(4), bench(spark, items), stretch=True).collect()}
+        expected = brute_lengths(docs, items)
+        assert got == pytest.approx(expected) and len(expected) > 25
+        hit = {i for i, _ in expected}
+        clean = d.clean_documents(documents(spark, docs), bench(spark, items), stretch=True).collect()
+        assert sorted(r.doc_id for r in clean) == sorted(i for i, _ in docs if i not in hit)
+
+
+def test_query_finds_words_put_in_and_left_out(spark, tmp_path):
+    import corpus_pipeline
+    from loreloom.llm.queries import QUERIES
+
+    docs, items = edited_corpus()
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark, items).select("item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()}
+    assert {(3600, 36), (3800, 38), (3601, 36), (3801, 38), (3002, 30), (5902, 59)} <= found
+    stays = corpus_pipeline.no_benchmark_passages(spark, documents(spark, docs), str(tmp_path)).select("doc_id").collect()
+    assert not {r.doc_id for r in stays} & {i for i, _ in found}
