@@ -8,9 +8,9 @@ to shorter ones.  A URL's score is the mean difference of its log-probabilities
 per character; the threshold is calibrated on labelled URLs that the models
 have not seen.
 
-Grams are counted in ``slots`` hash slots per order, so the models have a
-proven size (``order`` * ``slots`` rows) and are broadcast; URLs are not
-shuffled, only one partial sum per URL is.
+Grams and contexts are counted as they are, in tables that grow with the input.
+The distinct grams of the URLs to be scored are joined with these tables, and
+the characters with the ratio of their gram; Spark chooses the joins.
 """
 
 from __future__ import annotations
@@ -83,11 +83,12 @@ def positions(urls: DataFrame, keys: Sequence[str], order: int) -> DataFrame:
     )
 
 
-def slot(gram: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
+def gram_key(gram: Column, slots: int | None) -> Column:
+    """What a gram is counted under: itself, or one of ``slots`` hash slots that grams share."""
+    return gram if slots is None else F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
 
 
-def fit(labelled: DataFrame, order: int = 5, slots: int = 32768) -> tuple[list[DataFrame], list[DataFrame], tuple]:
+def fit(labelled: DataFrame, order: int = 5, slots: int | None = None) -> tuple[list[DataFrame], list[DataFrame], tuple]:
     """Gram and context tables per order from ``labelled`` (url, accepted boolean).
 
     Gram tables: _g<k>, and counts _ga<k>, _gr<k> for accepted and rejected.
@@ -98,8 +99,8 @@ def fit(labelled: DataFrame, order: int = 5, slots: int = 32768) -> tuple[list[D
     seen = positions(labelled, ["accepted"], order)
     orders = F.array(*[
         F.struct(
-            F.lit(k).alias("k"), slot(F.right("_gram", F.lit(k)), slots).alias("g"),
-            slot(F.left(F.right("_gram", F.lit(k)), F.lit(k - 1)), slots).alias("c"),
+            F.lit(k).alias("k"), gram_key(F.right("_gram", F.lit(k)), slots).alias("g"),
+            gram_key(F.left(F.right("_gram", F.lit(k)), F.lit(k - 1)), slots).alias("c"),
         )
         for k in range(1, order + 1)
     ])
@@ -128,17 +129,20 @@ def fit(labelled: DataFrame, order: int = 5, slots: int = 32768) -> tuple[list[D
     return grams, contexts, tuple(v or 0 for v in root)
 
 
-def log_ratios(urls: DataFrame, key: str, model: tuple, order: int, slots: int) -> DataFrame:
-    """Per ``key`` of ``urls``: score, the mean log-probability difference per character (end included)."""
+def log_ratios(urls: DataFrame, key: str, model: tuple, order: int, slots: int | None = None) -> DataFrame:
+    """Per ``key`` of ``urls``: score, the mean log-probability difference per character (end included).
+
+    Ratios are summed as decimals, so that equal URLs have equal scores in any order of their rows.
+    """
     grams, contexts, root = model
-    rows = positions(urls, [key], order)
+    characters = positions(urls, [key], order)
+    rows = characters.select("_gram").distinct()
     for k in range(1, order + 1):
-        rows = rows.withColumn(f"_g{k}", slot(F.right("_gram", F.lit(k)), slots))
-        # At most `slots` rows by construction.
-        rows = rows.join(F.broadcast(grams[k - 1]), f"_g{k}", "left")
+        rows = rows.withColumn(f"_g{k}", gram_key(F.right("_gram", F.lit(k)), slots))
+        rows = rows.join(grams[k - 1], f"_g{k}", "left")
         if k > 1:
-            rows = rows.withColumn(f"_c{k}", slot(F.left(F.right("_gram", F.lit(k)), F.lit(k - 1)), slots))
-            rows = rows.join(F.broadcast(contexts[k - 2]), f"_c{k}", "left")
+            rows = rows.withColumn(f"_c{k}", gram_key(F.left(F.right("_gram", F.lit(k)), F.lit(k - 1)), slots))
+            rows = rows.join(contexts[k - 2], f"_c{k}", "left")
 
     def probability(side: str, root_count: int, root_kinds: int) -> Column:
         p = F.lit(1.0 / ALPHABET)
@@ -146,12 +150,14 @@ def log_ratios(urls: DataFrame, key: str, model: tuple, order: int, slots: int)
             count = F.coalesce(F.col(f"_g{side}{k}"), F.lit(0))
             of = F.lit(root_count) if k == 1 else F.coalesce(F.col(f"_c{side}{k}"), F.lit(0))
             kinds = F.lit(root_kinds) if k == 1 else F.coalesce(F.col(f"_t{side}{k}"), F.lit(0))
-            # Two grams of other contexts may share a slot: a count never exceeds its context's.
+            # Only where slots are shared can a count exceed its context's.
             p = F.when(of + kinds > 0, (F.least(count, of) + kinds * p) / (of + kinds)).otherwise(p)
         return p
 
     ratio = F.log(probability("a", root[0], root[1])) - F.log(probability("r", root[2], root[3]))
-    return rows.groupBy(key).agg(F.avg(ratio).alias("score"))
+    ratios = cut_lineage(rows.select("_gram", ratio.cast("decimal(24,14)").alias("_ratio")), "ratios")
+    summed = characters.join(ratios, "_gram").groupBy(key).agg(F.sum("_ratio").alias("_sum"), F.count("*").alias("_n"))
+    return summed.select(key, (F.col("_sum").cast("double") / F.col("_n")).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -179,7 +185,7 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     order: int = 5,
-    slots: int = 32768,
+    slots: int | None = None,
     calibration: int = 5,
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score.

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -116,3 +117,18 @@ def test_calibration_rows_do_not_train(spark):
     held = [u for u in URLS if u and zlib.crc32(u.encode()) % 5 == 0]
     assert 5 < len(held) < len(URLS) / 2
     assert pages(spark, held).where(F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).count() == len(held)
+
+
+def test_models_grow_with_the_grams(spark):
+    # More distinct grams than any fixed table of 32,768 slots would keep apart.
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    train = [(f"http://{name()}.org/{name()}", i % 2 == 0) for i in range(1500)]
+    urls = [u for u, _ in train[:20]] + [f"http://{name()}.net/{name()}" for _ in range(20)]
+    model = url_filter.fit(spark.createDataFrame(train, "url string, accepted boolean"))
+    good, bad = (Model([u for u, a in train if a == side], 5) for side in (True, False))
+    assert model[0][4].count() == len({g for m in (good, bad) for g in m.count if len(g) == 5}) > 32_768
+    rows = spark.createDataFrame(list(enumerate(urls)), "k int, url string")
+    got = {r.k: r.score for r in url_filter.log_ratios(rows, "k", model, 5).collect()}
+    for k, url in enumerate(urls):
+        assert got[k] == pytest.approx((good.log(url) - bad.log(url)) / (len(url) + 1), abs=1e-9), url
