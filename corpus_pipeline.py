@@ -15,8 +15,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return ngram_join.kept_documents(docs)
+    """Of each group of linked texts the row with the smallest id stays, also where ids are repeated or null."""
+    return ngram_join.kept_rows(docs)
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

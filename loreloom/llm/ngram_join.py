@@ -453,3 +453,20 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
         "doc_id"
     ).agg(F.min("_row").alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
     return single.unionByName(repeated)
+
+
+def kept_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked texts the row with the smallest id.
+
+    Every row is a document of its own, whether its id is repeated or null, so
+    only rows with linked texts are folded.  Null ids come last, then the row's
+    number decides.  Texts without words link with nothing and stay.
+    """
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    component = join_classes(numbered, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "component_id")
+    placed = cut_lineage(component.join(numbered.select("_row", "doc_id"), "_row"), "placed")
+    first = placed.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"), F.count("*").alias("many")
+    ).where("many > 1").select("component_id", F.col("first._row").alias("_first"))
+    copies = cut_lineage(placed.join(first, "component_id").where("_row <> _first").select("_row"), "copies")
+    return numbered.join(copies, "_row", "left_anti").select(*docs.columns)

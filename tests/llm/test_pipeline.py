@@ -46,3 +46,14 @@ def test_pipeline_of_nothing(spark):
 def test_queries_equal_their_sql(spark, name):
     outcome = compare(spark, connect(FOLDER), FOLDER, name, QUERIES[name], ORACLES[name])
     assert outcome.startswith("ok"), outcome
+
+
+def test_only_linked_texts_are_folded(spark):
+    from tests.llm.helpers import documents
+
+    a, b, c = (" ".join(f"{t}{i}" for i in range(40)) for t in "abc")
+    rows = [(7, a), (7, b), (7, None), (7, ""), (7, a), (8, b + " end"), (3, c), (None, c), (None, "d e f g h i"), (None, "d e f g h i"), (None, None)]
+    kept = corpus_pipeline.no_near_copies(spark, documents(spark, rows).repartition(3), FOLDER)
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == Counter([(7, a), (7, b), (7, None), (7, ""), (3, c), (None, "d e f g h i"), (None, None)])
+    assert kept.columns == documents(spark, rows).columns
