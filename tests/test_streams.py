@@ -88,3 +88,23 @@ def test_stream_queries_over_part_files_equal_those_over_one_file(spark, tmp_pat
     for name in ("once_stream", "outbox_stream", "clock_window"):
         one, parts = (QUERIES[name](spark, folder) for folder in (given, str(tmp_path)))
         assert one.count() > 0 and one.exceptAll(parts).count() == 0 and parts.exceptAll(one).count() == 0, name
+
+
+def test_clock_windows_count_files_in_any_order(spark, tmp_path, monkeypatch):
+    from loreloom.plans import QUERIES
+
+    rng = random.Random(5)
+    rows = [(i % 3, i, "x", START + dt.timedelta(minutes=rng.randrange(30 * 24 * 60))) for i in range(300)]
+    rows.sort(key=lambda r: r[3], reverse=True)
+    for n in (1, 0, 3, 2):  # one file each, newer days before older ones
+        part = spark.createDataFrame(rows[n * 75:(n + 1) * 75], "user_id long, event_id long, kind string, ts timestamp")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    whole = state.read_table_stream
+    monkeypatch.setattr(state, "read_table_stream", lambda spark, folder, name: whole(spark, folder, name, 1))
+    expected = {}
+    for user, _, _, at in rows:
+        hour = (user, at.replace(minute=0))
+        expected[hour] = expected.get(hour, 0) + 1
+    found = {r["user_id"]: (r["windows"], r["events"], r["busiest"]) for r in QUERIES["clock_window"](spark, str(tmp_path)).collect()}
+    counts = {u: [n for (user, _), n in expected.items() if user == u] for u in range(3)}
+    assert found == {u: (len(c), sum(c), max(c)) for u, c in counts.items()}
