@@ -143,6 +143,67 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
+#: CRC-32 of the UTF-8 bytes of ``{text}``, with ``crc`` in the FROM clause.
+CRC_TABLE = f"SELECT list_transform(range(256), lambda b: list_reduce([b::BIGINT] || range(8), lambda c, _: {CRC_STEP})) AS entry"
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || [
+    ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen({text}))
+], lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+LEAF = " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END"
+    for c in ("doc_id", "source", "lang", "{n_chars}", "text")
+)
+PAIRED = """list_transform(range((len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"""
+
+OP11 = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+rows AS (
+    SELECT doc_id, lang, sha256({LEAF.format(n_chars="n_chars")}) AS leaf,
+        CASE WHEN {CRC32.format(text="doc_id::VARCHAR")} % 7 = 0 THEN sha256({LEAF.format(n_chars="n_chars::HUGEINT + 1")})
+            ELSE sha256({LEAF.format(n_chars="n_chars")}) END AS claim
+    FROM documents, crc
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows
+),
+tree AS (
+    SELECT lang, 0 AS level, list(leaf ORDER BY place) AS h FROM placed GROUP BY lang
+    UNION ALL
+    SELECT lang, level + 1, {PAIRED} FROM tree WHERE len(h) > 1
+),
+subroots AS (
+    SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place
+    FROM tree WHERE len(h) = 1
+),
+top AS (
+    SELECT 0 AS level, list(subroot ORDER BY place) AS h FROM subroots
+    UNION ALL
+    SELECT level + 1, {PAIRED} FROM top WHERE len(h) > 1
+),
+steps AS (
+    SELECT doc_id, placed.lang, place, level, h, (place >> level) AS spot
+    FROM placed JOIN tree ON placed.lang IS NOT DISTINCT FROM tree.lang WHERE len(h) > 1
+    UNION ALL
+    SELECT doc_id, placed.lang, placed.place, 1000 + level, h, (subroots.place >> level)
+    FROM placed JOIN subroots ON placed.lang IS NOT DISTINCT FROM subroots.lang, top WHERE len(h) > 1
+),
+ways AS (
+    SELECT doc_id, lang, place, list(CASE WHEN spot % 2 = 1 THEN 'L' || h[spot] ELSE 'R' || coalesce(h[spot + 2], '') END ORDER BY level) AS way
+    FROM steps GROUP BY doc_id, lang, place
+),
+folded AS (
+    SELECT placed.doc_id, placed.leaf, subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root,
+        sha256(coalesce(array_to_string([s[2:] FOR s IN way], ''), '')) AS proof_sha256,
+        list_reduce([claim] || coalesce(way, []), lambda d, s: sha256(
+            CASE WHEN s[1] = 'L' THEN s[2:] || d ELSE d || s[2:] END)) AS folded_root
+    FROM placed JOIN subroots ON placed.lang IS NOT DISTINCT FROM subroots.lang
+    LEFT JOIN ways ON placed.doc_id IS NOT DISTINCT FROM ways.doc_id AND placed.lang IS NOT DISTINCT FROM ways.lang
+        AND placed.place = ways.place
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 ORACLES = {
     "op1_ngram_join": OP1, "op3_mixing": OP3, "op6_chat_format": OP6, "op7_embedding_dedup": OP7, "op8_sharding": OP8,
+    "op11_merkle_manifest": OP11,
 }

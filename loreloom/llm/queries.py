@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm import (
-    chat_format, decontamination, embedding_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, sharding,
-    url_filter,
+    chat_format, decontamination, embedding_dedup, html_extract, language_id, merkle, mixing, ngram_join, secret_scan,
+    sharding, url_filter,
 )
 from loreloom.llm.common import table
 from loreloom.llm.oracles import ORACLES
@@ -72,9 +72,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    found = merkle.manifest(
+        table(spark, folder, "documents"), claimed={"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1},
+        claimed_where=tampered,
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_language_id, op3_mixing, op4_url_filter, op5_decontamination, op6_chat_format,
     op7_embedding_dedup, op8_sharding, op9_html_extract, op10_secret_scan,
+    op11_merkle_manifest,
 )}
 
 __all__ = ["QUERIES", "ORACLES"]
