@@ -203,7 +203,49 @@ folded AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
+OP13 = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{ASCII_UPPER}', '{ASCII_LOWER}') AS run
+    FROM documents
+),
+counted AS (SELECT doc_id, run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, {CRC32.format(text="key")} AS h FROM counted, crc),
+written AS (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+        ELSE run END AS word FROM coded
+),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+less AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+),
+near AS (
+    SELECT x.word, y.word AS other FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+    UNION SELECT words.word, less.word FROM words JOIN less ON words.word = rest
+    UNION SELECT less.word, words.word FROM words JOIN less ON words.word = rest
+),
+chosen AS (
+    SELECT near.word, count(*) AS n_near, arg_min(near.other, (-o.n, encode(near.other))) AS other, max(o.n) AS other_n
+    FROM near JOIN words o ON near.other = o.word GROUP BY near.word
+),
+forms AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+        CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN chosen ON words.word = chosen.word
+),
+chain AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL
+    SELECT chain.word, forms.form FROM chain JOIN forms ON chain.at = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT forms.word, forms.form, chain.at AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN chain ON forms.word = chain.word JOIN forms last ON chain.at = last.word WHERE last.form IS NULL
+"""
+
 ORACLES = {
     "op1_ngram_join": OP1, "op3_mixing": OP3, "op6_chat_format": OP6, "op7_embedding_dedup": OP7, "op8_sharding": OP8,
-    "op11_merkle_manifest": OP11,
+    "op11_merkle_manifest": OP11, "op13_spelling_variants": OP13,
 }

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm import (
-    chat_format, decontamination, embedding_dedup, html_extract, language_id, merkle, mixing, ngram_join, secret_scan,
-    sharding, url_filter,
+    chat_format, decontamination, embedding_dedup, html_extract, language_id, merkle, mixing, ngram_join, pii,
+    secret_scan, sharding, spelling, url_filter,
 )
 from loreloom.llm.common import table
 from loreloom.llm.oracles import ORACLES
@@ -84,10 +84,25 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.scan_documents(docs, pii.trained(docs))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id", *[F.size(pii.of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(secret_scan.listing(pii.of_kinds(spans, *pii.BASE)).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listing(spans).alias("spans"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_language_id, op3_mixing, op4_url_filter, op5_decontamination, op6_chat_format,
     op7_embedding_dedup, op8_sharding, op9_html_extract, op10_secret_scan,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op12_pii, op13_spelling_variants,
 )}
 
 __all__ = ["QUERIES", "ORACLES"]
