@@ -7,9 +7,10 @@
 3. The sets of the others are ordered from rare to frequent shingles.  Two sets
    that link share a shingle of their prefixes.  Classes with equal prefix and
    size are one group, and groups stand in the lists of their prefix shingles.
-4. First every group is verified against the leader (the smallest member) that
-   most of its lists agree on, and the members of a group against its first
-   one.  What is linked becomes one component.
+4. First every group is verified against the leader that most of its lists
+   agree on, and the members of a group against its first one.  What no leader
+   links chooses again among itself, until a round links nothing new.  What is
+   linked becomes one component.
 5. Then all pairs of one list that lie in different components and pass the
    bounds by size, position and common leader are expanded to members and
    verified, so no link between components is lost, and links inside a
@@ -40,6 +41,8 @@ WORDS = 5
 LEAST = 75
 #: Shingles in a block, about; a block is what one task holds at a time.
 BLOCK = 1_000_000
+#: Bytes of text whose shingles are counted in one range of hashes, about: ranges grow in number, not in size.
+RANGE_BYTES = 24_000_000
 DIGEST = 16
 #: Runtime filters for joins of any size; the filter itself has at most Spark's maxNumBits.
 BLOOM = {
@@ -314,20 +317,47 @@ def listed(ordered: DataFrame, hundredths: int) -> DataFrame:
     ).select("doc_id", "n", "token", "left")
 
 
-def leader_pairs(groups: DataFrame, postings: DataFrame, hundredths: int) -> DataFrame:
-    """(a, b): each group with the leader that most of its lists name, and members with their group.
+def leader_pairs(reps: DataFrame) -> DataFrame:
+    """(a, b): each of ``reps`` (doc_id, n, token, band) with the leader that most of its lists name.
 
-    Leaders are taken per size band: sizes of a band lie within the factor that
-    links allow.
+    The leader of a list and size band is the member that stands in the longest
+    lists: the text that others of a group are copies of has its common shingles
+    in front, its copies have their own.  Sizes of a band lie within the factor
+    that links allow.
+    """
+    lists = reps.groupBy("token", "band").agg(F.count("*").alias("members")).where("members > 1")
+    placed = reps.join(lists, ["token", "band"])
+    central = placed.groupBy("doc_id").agg(F.sum("members").alias("weight"))
+    weighed = placed.join(central, "doc_id").withColumn("order", F.struct("weight", -F.col("doc_id")))
+    leaders = weighed.groupBy("token", "band").agg(
+        F.max("order").alias("first")).select("token", "band", "first.weight", (-F.col("first.col2")).alias("leader"))
+    votes = placed.join(leaders, ["token", "band"]).where("doc_id <> leader").groupBy("doc_id", "leader").agg(
+        F.count("*").alias("votes"), F.max("weight").alias("weight"))
+    return votes.groupBy("doc_id").agg(
+        F.max_by("leader", F.struct("votes", "weight", -F.col("leader"))).alias("leader")).toDF("a", "b")
+
+
+def leader_rounds(groups: DataFrame, postings: DataFrame, ordered: DataFrame, hundredths: int) -> DataFrame:
+    """Verified pairs (a, b, a_n, b_n, overlap) of sets with their leaders, until a round links nothing new.
+
+    First members are verified with the first one of their group, and groups
+    with leaders.  Sets that no leader has linked yet choose among themselves in
+    the next round.
     """
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / hundredths)))).alias("band")
-    reps = postings.join(groups.where("doc_id = group_id").select("doc_id"), "doc_id", "left_semi").withColumn("band", band)
-    leaders = reps.groupBy("token", "band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"))
-    votes = reps.join(leaders.where("members > 1").drop("members"), ["token", "band"]).where("doc_id <> leader").groupBy(
-        "doc_id", "leader"
-    ).agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    return chosen.toDF("a", "b").union(groups.where("doc_id <> group_id").select("doc_id", "group_id"))
+    firsts = groups.where("doc_id = group_id").select("doc_id")
+    waiting = cut_lineage(postings.join(firsts, "doc_id", "left_semi").select("doc_id", "n", "token", band), "waiting")
+    inside = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("a"), F.col("group_id").alias("b"))
+    tried = cut_lineage(verified(leader_pairs(waiting).union(inside), ordered), "tried")
+    every = tried
+    while True:
+        near = linked(tried, hundredths)
+        if near.isEmpty():
+            return every
+        done = cut_lineage(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "led")
+        waiting = cut_lineage(waiting.join(done, "doc_id", "left_anti"), "waiting")
+        tried = cut_lineage(verified(leader_pairs(waiting), ordered), "tried")
+        every = every.union(tried)
 
 
 def open_pairs(postings: DataFrame, component: DataFrame, led: DataFrame, hundredths: int) -> DataFrame:
@@ -393,8 +423,9 @@ def join_classes(
       gives no rows; other columns are not read.  Ids are integers.
     """
     spark = docs.sparkSession
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     profile = cut_lineage(profiles(rows, k, hundredths, buckets), "profiles")
     classes = cut_lineage(
         profile.where("n > 0").groupBy("digest").agg(
@@ -409,7 +440,7 @@ def join_classes(
         ordered.select("doc_id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).select("doc_id", "group_id"), "groups"
     )
     postings = cut_lineage(listed(ordered, hundredths), "lists")
-    tried = cut_lineage(verified(leader_pairs(groups, postings, hundredths), ordered), "tried")
+    tried = leader_rounds(groups, postings, ordered, hundredths)
     near = linked(tried, hundredths)
     all_shared = (F.length("shared") / 8).cast("long")
     led = ordered.select("doc_id", all_shared.alias("all")).join(
@@ -433,40 +464,21 @@ def join_classes(
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the document whose id names it.
-
-    Texts without words and rows without an id link with nothing and stay.
-    Of rows that repeat an id, one stays: the first by text.
-    """
-    component = join_classes(docs, **options)
-    component = cut_lineage(component, "components")
-    copies = cut_lineage(
-        component.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    )
-    kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    twice = component.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = cut_lineage(twice.select(F.col("doc_id").alias("_id")))
-    single = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
-    others = [F.struct(F.col("text"), *[F.col(c) for c in docs.columns if c != "text"]).alias("_row")]
-    repeated = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").select("doc_id", *others).groupBy(
-        "doc_id"
-    ).agg(F.min("_row").alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
-    return single.unionByName(repeated)
-
-
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group of linked texts the row with the smallest id.
+    """The rows of ``docs`` (doc_id, text and any others) without near copies: of each group of linked texts the row with the smallest id.
 
-    Every row is a document of its own, whether its id is repeated or null, so
-    only rows with linked texts are folded.  Null ids come last, then the row's
-    number decides.  Texts without words link with nothing and stay.
+    * Every row is a document of its own, whether its id is repeated or null, so
+      only rows with linked texts are folded.  Null ids come last, then the
+      row's number decides.  Texts without words link with nothing and stay.
+    * An empty table gives no rows.  Other columns may have any name.
     """
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    component = join_classes(numbered, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "component_id")
-    placed = cut_lineage(component.join(numbered.select("_row", "doc_id"), "_row"), "placed")
+    numbered = cut_lineage(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "rows")
+    texts = numbered.select("number", F.col("row.text").alias("text"))
+    component = join_classes(texts, id_col="number", **options).select(F.col("doc_id").alias("number"), "component_id")
+    placed = cut_lineage(
+        component.join(numbered.select("number", F.col("row.doc_id").alias("doc_id")), "number"), "placed")
     first = placed.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"), F.count("*").alias("many")
-    ).where("many > 1").select("component_id", F.col("first._row").alias("_first"))
-    copies = cut_lineage(placed.join(first, "component_id").where("_row <> _first").select("_row"), "copies")
-    return numbered.join(copies, "_row", "left_anti").select(*docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")).alias("first"), F.count("*").alias("many")
+    ).where("many > 1").select("component_id", F.col("first.number").alias("stays"))
+    copies = cut_lineage(placed.join(first, "component_id").where("number <> stays").select("number"), "copies")
+    return numbered.join(copies, "number", "left_anti").select("row.*")

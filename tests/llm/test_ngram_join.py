@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loreloom.llm import ngram_join
 from loreloom.llm.shingles import PIECE, WordReader, shingle_hashes
@@ -97,14 +98,44 @@ def test_empty_table(spark):
 
 
 def test_one_document_of_each_group_stays(spark, rows):
-    docs = documents(spark, rows)
-    kept = ngram_join.kept_documents(docs)
+    docs = documents(spark, rows).withColumns({"_row": F.lit("mine"), "number": F.lit(-1), "row": F.lit("r")})
+    kept = ngram_join.kept_rows(docs)
     assert kept.columns == docs.columns
-    groups = {c for i, n, c in brute(rows) if n and i is not None}
-    ids = [r.doc_id for r in kept.where("doc_id is not null").select("doc_id", "text").collect() if shingle_set(r.text)]
-    assert sorted(ids) == sorted(groups)
-    loose = [i for i, t in rows if not shingle_set(t) or i is None]
-    assert kept.count() == len(groups) + len(loose)
+    # Each row by itself: the smallest id of its group, null last.
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    component = {i: c for i, n, c in brute(numbered) if n}
+    groups = {}
+    for i, c in component.items():
+        groups.setdefault(c, []).append(rows[i][0])
+    expected = [min(g, key=lambda i: (i is None, i or 0)) for g in groups.values()]
+    expected += [i for i, t in rows if not shingle_set(t)]
+    got = kept.collect()
+    assert sorted([r.doc_id for r in got], key=repr) == sorted(expected, key=repr)
+    assert {(r["_row"], r["number"], r["row"]) for r in got} == {("mine", -1, "r")}
+
+
+def test_pairs_grow_with_the_documents(spark, monkeypatch):
+    """Copies of one text that link with some of the others: pairs for a document stay few, whatever the ids."""
+    per_document = []
+    for n in (150, 600):
+        rng = random.Random(n)
+        base = words(rng, 120, 100_000)
+        rows = [(i, edited(rng, base, rng.choice((1, 2, 2, 3)))) for i in range(n)]
+        ids = rng.sample(range(10 * n), n)
+        rows = [(ids[i], t) for i, t in rows]
+        counted = []
+        original = ngram_join.verified
+
+        def count(pairs, ordered):
+            counted.append(pairs.count())
+            return original(pairs, ordered)
+
+        monkeypatch.setattr(ngram_join, "verified", count)
+        got = rows_of(ngram_join.join_classes(documents(spark, rows)), "doc_id", "n_shingles", "component_id")
+        monkeypatch.setattr(ngram_join, "verified", original)
+        assert got == brute(rows)
+        per_document.append(sum(counted) / n)
+    assert per_document[1] < 2 * per_document[0] + 2
 
 
 def test_long_texts_are_read_in_pieces():
