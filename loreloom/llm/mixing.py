@@ -132,17 +132,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     source_col = options.get("source_col", "source")
     epochs = range(1, options.get("max_epochs", 2) + 1)
     here = F.struct("row_hash", "doc_id", "size")
-    cuts = cut_lineage(mix(docs, **options).groupBy(F.col("source").alias("_source")).agg(
-        *[F.max(F.when(F.col("copies") >= e, here)).alias(f"_cut{e}") for e in epochs]
+    cuts = cut_lineage(mix(docs, **options).groupBy(F.col("source").alias("of")).agg(
+        *[F.max(F.when(F.col("copies") >= e, here)).alias(f"cut{e}") for e in epochs]
     ))
     place_of = F.struct(
         row_hash(id_col, options.get("seed", 17)).alias("row_hash"), F.col(id_col).alias("doc_id"),
         word_count(F.col(text_col)).alias("size"))
-    copies = sum((F.when(F.col("_place") <= F.col(f"_cut{e}"), 1).otherwise(0) for e in epochs), F.lit(0))
+    copies = sum((F.when(F.col("place") <= F.col(f"cut{e}"), 1).otherwise(0) for e in epochs), F.lit(0))
+    # Columns of any name stand inside ``row``.
+    placed = docs.select(F.struct("*").alias("row"), place_of.alias("place"), F.col(source_col).alias("source"))
     return (
-        docs.withColumn("_place", place_of)
-        .join(cuts, docs[source_col].eqNullSafe(cuts["_source"]))
-        .withColumn("_copies", copies).where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        placed.join(cuts, placed["source"].eqNullSafe(cuts["of"]))
+        .withColumn("copies", copies).where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("row.*")
     )

@@ -84,3 +84,11 @@ def test_tables_without_words(spark):
     assert mixing.mixed_documents(documents(spark, [])).count() == 0
     got = mixing.mix(documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert [(r.taken, r.target) for r in got] == [(0, 0.0), (0, 0.0)]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_source", "_place", "_copies", "_copy", "_cut1", "cut1", "place", "row", "of", "copies"]
+    docs = documents(spark, corpus()).withColumns({n: mixing.F.lit(n) for n in names})
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == mixing.mixed_documents(documents(spark, corpus())).count()
+    assert tuple(mixed.select(names).distinct().collect()[0]) == tuple(names)
