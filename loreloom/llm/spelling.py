@@ -36,6 +36,8 @@ RATIO = 2
 #: One run of a document in so many loses a letter (see ``variant``); 0: none.
 NOISE = 97
 LETTERS = "A-Za-zÀ-ÿ"
+#: Letters of a word of usual length, by which the number of symbols follows the vocabulary.
+USUAL = 10
 #: Words from this length on have no neighbourhood generated.
 LONG = 40
 #: Pairs of words of two classes that are verified one by one.
@@ -62,9 +64,8 @@ def runs_of(text: str, least: int) -> Counter:
     return found
 
 
-def variant(word: str, doc_id: str, noise: int) -> str:
-    """The word as this document has it: where ``noise`` divides its checksum, without one letter."""
-    code = zlib.crc32(f"{doc_id}:{word}".encode())
+def variant(word: str, code: int, noise: int) -> str:
+    """The word as a document has it: where ``noise`` divides the checksum of (document, word), without one letter."""
     if not noise or code % noise:
         return word
     at = code % len(word)
@@ -72,21 +73,20 @@ def variant(word: str, doc_id: str, noise: int) -> str:
 
 
 def count_words(batches: Iterator[pd.DataFrame], least: int, noise: int):
-    counts: Counter = Counter()
+    counts: dict[str, int] = {}
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             if not text:
                 continue
-            own: Counter = Counter()
+            start = zlib.crc32(f"{doc_id or ''}:".encode())
             for run, n in runs_of(text, least).items():
-                own[run.translate(_LOWER)] += n
-            for run, n in own.items():
-                word = variant(run, doc_id or "", noise)
+                word = run.lower() if run.isascii() else run.translate(_LOWER)
+                word = variant(word, zlib.crc32(word.encode(), start), noise)
                 if len(word) >= least:
-                    counts[word] += n
+                    counts[word] = counts.get(word, 0) + n
             if len(counts) >= HELD:
                 yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                counts = Counter()
+                counts = {}
     yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": object, "n": "int64"})
 
 
@@ -104,9 +104,13 @@ def vocabulary(
 # The reduced alphabet.
 
 def symbols_for(words: int) -> int:
-    """So many symbols that the shortest words alone have a class each on average."""
+    """So many symbols that words of ``USUAL`` letters have a class each on average.
+
+    With fewer, classes hold more words to verify; with more, neighbourhoods
+    hold more words that do not exist.
+    """
     count = 2
-    while count ** LEAST_LENGTH < words:
+    while count ** USUAL < words:
         count += 1
     return count
 
