@@ -459,6 +459,11 @@ def select_paths(
     return ranked.join(taken.select("query_id", F.col("t.rank").alias("rank"), "truncated"), ["query_id", "rank"])
 
 
+def edges_in_document(edges: DataFrame, doc_id: Column) -> DataFrame:
+    """The edges whose evidence lies in the document: paths over them stay inside it, so others are never built."""
+    return edges.filter(F.col("doc_id") == doc_id)
+
+
 def paths_within_document(paths: DataFrame, doc_id: Column) -> DataFrame:
     return paths.filter(F.forall("path", lambda e: e["doc_id"] == doc_id))
 

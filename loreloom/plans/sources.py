@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import embedding, text
-from loreloom.operators import access, chunks, neardup, retrieval, vectors, versions
+from loreloom.operators import access, chunks, intervals, neardup, retrieval, vectors, versions
 from loreloom.plans.lifecycle import CATALOG, catalog
 from loreloom.plans.registry import Tables, query
 from loreloom.plans.sqltext import CHUNKS
@@ -377,3 +377,32 @@ def valid_pairs(t: Tables):
     order = [F.col("at"), F.col("kind"), F.col("l_orderkey")]
     opened = running_sum(points, ["l_partkey"], order, F.when(F.col("kind") == 1, 1).otherwise(-1), F.date_trunc("month", "at"), "open_now")
     return opened.filter("kind = 1").agg(F.coalesce(F.sum(F.col("open_now") - 1), F.lit(0)).alias("pairs"))
+
+
+@query(
+    "overlapping_pairs",
+    """WITH x AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS id, l_shipdate AS a,
+        CASE WHEN l_quantity >= 50 THEN NULL ELSE l_shipdate + to_days(l_quantity::INT) END AS b FROM lineitem)
+    SELECT p.l_partkey, p.id AS a, q.id AS b FROM x p JOIN x q ON p.l_partkey = q.l_partkey AND p.id < q.id
+      AND greatest(p.a, q.a) < coalesce(least(p.b, q.b), DATE '9999-01-01')""",
+)
+def overlapping_pairs(t: Tables):
+    """Lines of one part whose periods overlap; lines of 50 pieces have no end."""
+    end = F.when(F.col("l_quantity") < 50, F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")))
+    spans = t.lineitem.select(
+        "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("from"), end.alias("to"))
+    return intervals.overlapping_pairs(spans, ["l_partkey"], "id", "from", "to")
+
+
+@query(
+    "names_at_write",
+    """WITH n AS (SELECT user_id, ts, max(event_id) AS named_by FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL)
+    SELECT f.event_id, f.user_id, n.named_by FROM (SELECT * FROM events WHERE event_type NOT IN ('signup', 'purchase')) f
+      ASOF LEFT JOIN n ON f.user_id = n.user_id AND f.ts >= n.ts""",
+)
+def names_at_write(t: Tables):
+    """Every event with the name its user had then: sign-ups and purchases rename."""
+    renames = F.col("event_type").isin("signup", "purchase")
+    changes = t.events.where(renames).select("user_id", "ts", F.col("event_id").alias("named_by"))
+    facts = t.events.where(~renames).select("event_id", "user_id", "ts")
+    return intervals.as_of(facts, changes, ["user_id"], "ts", "ts", ["named_by"], "day").drop("ts")

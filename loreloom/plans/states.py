@@ -203,15 +203,16 @@ def graph_neighbourhood(t: Tables):
     return graph.neighbourhood(every, seeds, 2, types=["station", "asset", "line"])
 
 
-@query(
-    "paths_in_one_document",
-    PATHS + """SELECT query_id, path_id FROM paths WHERE path_id NOT IN (
-      SELECT path_id FROM (SELECT path_id, unnest(rels) AS relation_id FROM paths) JOIN edges USING (relation_id) WHERE doc <> 'assets')""",
-)
+# Only edges of the document are walked.
+PATHS_IN_DOCUMENT = PATHS.replace("doc, block FROM edges UNION ALL", "doc, block FROM edges WHERE doc = 'assets' UNION ALL").replace(
+    "doc, block FROM edges),", "doc, block FROM edges WHERE doc = 'assets'),")
+
+
+@query("paths_in_one_document", PATHS_IN_DOCUMENT + "SELECT query_id, path_id FROM paths")
 def paths_in_one_document(t: Tables):
     every = line_edges(t)
     seeds = graph.match_seeds(graph.entities(every), line_questions(t), unicode_keys=False)
-    return graph.paths_within_document(graph.simple_paths(every, seeds), F.lit("assets")).select("query_id", "path_id")
+    return graph.simple_paths(graph.edges_in_document(every, F.lit("assets")), seeds).select("query_id", "path_id")
 
 
 @query(
