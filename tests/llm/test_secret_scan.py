@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -81,6 +82,24 @@ def test_contexts_add_spans_and_keep_base():
     assert ("assign", "password: Password2024") in kinds and not any(v in ("P@ssw0rd", "Password2024") and k == "guess" for k, v in kinds)
 
 
+@pytest.mark.parametrize("walk", ["1qaz2wsx3edc", "zaq12wsxcde3", "qazwsxedcrfv", "qwertyuiop", "asdfghjkl;'", "1234567890"])
+def test_keyboard_walks_are_guessable(walk):
+    assert s.guess_bits(walk) < s.LEAST_BITS
+
+
+@pytest.mark.parametrize("url", ["redis://:Sup3rS3cretXyz9QQ@host/0", f"db://{'u' * 65}:Sup3rS3cretXyz9QQ@host", "x://a:k7Qz9mXw@h", "pwd=aB3xK9pL"])
+def test_passwords_of_any_user_and_random_ones_are_found(url):
+    assert [s.KINDS[k] for _, k, _, _ in s.scan(url)] == ["guess"]
+
+
+def test_long_values_take_linear_time():
+    start = time.time()
+    for value in ("a" * 300_000, "ab" * 150_000, "qw" * 150_000, "x9" * 150_000):
+        s.scan("password=" + value + "!x")
+    s.scan("://" * 300_000 + ":" * 300_000)
+    assert time.time() - start < 30
+
+
 def test_rows(spark):
     rows = [(i, t) for i, t in enumerate(CASES)] + [(100, None), (None, CASES[5]), (None, CASES[5]), (101, "x " * 500_000 + CASES[9])]
     got = s.scan_documents(documents(spark, rows)).collect()
