@@ -179,6 +179,76 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def formatted_turns(turns: DataFrame) -> DataFrame:
+    """One row per turn: conv_id, turn, formatted, loss_start, loss_end, attachments; conversations of any length.
+
+    A conversation is the concatenation of its rows in the order of
+    ``format_conversations``, null turns first.  The loss span (code points of ``formatted``) is empty for turns
+    that are not the assistant's.
+    """
+    start = F.length("head")
+    return format_turns(turns).select(
+        "conv_id", "turn", F.concat("head", "body", F.lit(STOP + "\n")).alias("formatted"), start.alias("loss_start"),
+        F.when(F.col("learned"), start + F.length("body")).otherwise(start).alias("loss_end"), "attachments",
+    )
+
+
+class Digests:
+    """What is read back from the turns of one conversation, fed one after the other."""
+
+    def __init__(self) -> None:
+        self.turns = self.loss_chars = self.chars = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, formatted: str, loss_start: int, loss_end: int) -> None:
+        for role, text in read_turns(formatted):
+            self.turns += 1
+            self.whole.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        learned = unescape(formatted[loss_start:loss_end])
+        self.loss_chars += len(learned)
+        self.chars += len(formatted)
+        self.loss.update(learned.encode("utf-8", "surrogatepass"))
+
+    def row(self, key: str | None) -> tuple:
+        return key, self.turns, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digest_turns(batches: Iterator[pd.DataFrame]):
+    """Digests of conversations whose turns come in order; a conversation may go on in the next batch."""
+    names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    now, held = None, None
+    for batch in batches:
+        done = []
+        for key, *turn in zip(batch["key"], batch["formatted"], batch["loss_start"], batch["loss_end"]):
+            if held is None or key != now:
+                done += [held.row(now)] if held else []
+                now, held = key, Digests()
+            held.feed(*turn)
+        yield pd.DataFrame(done, columns=names)
+    if held:
+        yield pd.DataFrame([held.row(now)], columns=names)
+
+
+def read_back_turns(turns: DataFrame) -> DataFrame:
+    """Digests of the turns and of the learned text, read back from ``formatted_turns``: a row per conversation.
+
+    The turns of a conversation are sorted (Spark spills) and fed to the digests
+    one by one, so memory does not grow with a conversation.  A digest runs from
+    the first turn to the last: one task reads a conversation, and nothing else
+    is done there.
+    """
+    kind = dict(turns.dtypes)["conv_id"]
+    head, body = F.expr("substring(formatted, 1, loss_start)"), F.expr(
+        f"substring(formatted, loss_start + 1, length(formatted) - loss_start - {len(STOP) + 1})")
+    ordered = text_rows(turns).select(
+        F.col("conv_id").cast("string").alias("key"), "turn", "formatted", "loss_start", "loss_end"
+    ).repartition("key").sortWithinPartitions("key", "turn", head, body)
+    return ordered.drop("turn").mapInPandas(
+        digest_turns, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    ).withColumn("conv_id", F.col("key").cast(kind)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def digest_batches(batches: Iterator[pd.DataFrame]):
     for batch in batches:
         rows = []

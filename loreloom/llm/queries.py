@@ -43,7 +43,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
     )
     turns = rows.unionByName(extra).withColumn("parts", chat_format.text_part(F.col("text")))
-    return chat_format.read_back(chat_format.format_conversations(turns))
+    return chat_format.read_back_turns(chat_format.formatted_turns(turns))
 
 
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
