@@ -70,6 +70,23 @@ def test_change_feed_over_batches_ignores_older_records(spark, tmp_path):
     assert rows == {1: ("v2", "active"), 2: ("w1", "withdrawn")}
 
 
+def test_change_feed_writes_deltas_in_proportion(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(12), i, f"v{rng.randrange(3)}", START + dt.timedelta(seconds=rng.randrange(900))) for i in range(90)]
+    kind = "external_id long, content_hash string, source_updated_at timestamp, access_state string, tombstone boolean, version int"
+    old = [(i, "v0", START, "active", i % 7 == 0, 1) for i in range(400)]
+    results = []
+    for compact in (3, 100):
+        stream = source(spark, tmp_path / str(compact), rows, files=9).select(
+            F.col("user_id").alias("external_id"), F.col("kind").alias("content_hash"), F.col("ts").alias("updated_at"),
+            (F.col("event_id") % 10 == 0).alias("deleted"), F.lit(True).alias("allowed"))
+        folder = f"{tmp_path}/out{compact}"
+        results.append(sorted(map(tuple, state.apply_changes_stream(stream, spark.createDataFrame(old, kind), folder, compact=compact).collect())))
+        for n in range(9):
+            assert spark.read.parquet(f"{folder}/delta/batch={n}").count() <= 12
+    assert results[0] == results[1] and len(results[0]) == 400
+
+
 def test_tables_of_part_files_are_read_whole(spark, tmp_path):
     rows = [(i % 5, i, "x", START + dt.timedelta(seconds=i)) for i in range(200)]
     df = spark.createDataFrame(rows, "user_id long, event_id long, kind string, ts timestamp")
