@@ -224,7 +224,8 @@ def labelled_table(spark: SparkSession, docs: DataFrame | None = None, id_col: s
 
 # Tokens and their features.
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\S\n]+|.", re.DOTALL)
+#: A word, a number or a sign, with the space before it; other blanks are tokens of their own.
+_TOKEN = re.compile(r" ?(?:[^\W\d_]+|\d+|[^\w\s]|_)|\n|[^\S\n]+|.", re.DOTALL)
 #: Code points that are cut into tokens at a time.
 PIECE = 1 << 19
 _SPACE = re.compile(r"\s")
@@ -232,12 +233,8 @@ _SPACE = re.compile(r"\s")
 REACH, BETWEEN = 2, "\0between"
 #: Outside, inside what a pattern matches, inside each kind that the field adds.
 LABELS = ("outside", "pattern", *ADDED)
-#: Marks of a token: it follows the token before it without a blank; it repeats that token.
-MARKS = 2
-
-
 def cut(text: str) -> list[str]:
-    """All tokens of ``text`` with the blanks between them; joined they are the text."""
+    """All tokens of ``text``; joined they are the text."""
     if len(text) <= PIECE:
         return _TOKEN.findall(text)
     tokens, at = [], 0
@@ -265,45 +262,41 @@ def features(token: str) -> list[str]:
     """Names of the features of a token; those of its ``tail`` count for the token alone, others for its neighbours too."""
     if token == BETWEEN:
         return [BETWEEN]
+    spaced, token = token[0] == " ", token.lstrip(" ") or " "
     word = token.lower() if len(token) <= 20 else ""
-    names = [f"shape={shape(token)}", f"word={word}"]
+    names = [f"shape={shape(token)}", f"word={word}", f"spaced={spaced}"]
     return [*names, f"tail={word[-5:]}", f"tail={word[-3:]}"] if token[0].isalpha() else names
 
 
 @dataclass
 class Stream:
-    """The tokens of several texts one after the other, a ``BETWEEN`` token before each text and at the end."""
+    """The tokens of several texts one after the other, with so many ``BETWEEN`` tokens that none reaches the next text.
+
+    Text ``i`` lies between the ``BETWEEN`` tokens ``begins[i]`` and ``ends[i]``.
+    """
 
-    tokens: list[str] = field(default_factory=list)
-    starts: list[np.ndarray] = field(default_factory=list)
-    marks: list[np.ndarray] = field(default_factory=list)
-    firsts: list[int] = field(default_factory=list)
+    tokens: list[str] = field(default_factory=lambda: [BETWEEN] * REACH)
+    begins: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
 
     def add(self, text: str) -> None:
-        every = cut(text)
-        lengths = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
-        kept = np.array([not t[0].isspace() or t == "\n" for t in every], dtype=bool)
-        start = np.cumsum(lengths) - lengths
-        glued = np.concatenate(([False], kept[:-1])) if len(kept) else kept
-        tokens = [BETWEEN, *[t for t, k in zip(every, kept) if k]]
-        repeats = [False, *map(str.__eq__, tokens[1:], tokens)]
-        self.firsts.append(len(self.tokens))
-        self.tokens += tokens
-        self.starts.append(np.concatenate(([0], start[kept])))
-        self.marks.append(np.stack((np.concatenate(([False], glued[kept])), repeats)))
-
-    def end(self) -> tuple[np.ndarray, np.ndarray]:
-        self.firsts.append(len(self.tokens))
-        self.tokens.append(BETWEEN)
-        self.starts.append(np.array([0]))
-        self.marks.append(np.zeros((MARKS, 1), dtype=bool))
-        return np.concatenate(self.starts), np.concatenate(self.marks, axis=1)
+        self.begins.append(len(self.tokens) - 1)
+        self.tokens += cut(text)
+        self.ends.append(len(self.tokens))
+        self.tokens += [BETWEEN] * REACH
+
+    def places(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of text ``i`` start and end in it, without the space before them."""
+        own = self.tokens[self.begins[i] + 1:self.ends[i]]
+        ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        size = np.fromiter((len(t.lstrip(" ")) or len(t) for t in own), dtype=np.int64, count=len(own))
+        return ends - size, ends
 
 
 # The field.
 
-def token_scores(tables: np.ndarray, numbers: np.ndarray, marks: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """A row over ``LABELS`` for every token: what the tokens around it and the marks of it and the next one give.
+def token_scores(tables: np.ndarray, numbers: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """A row over ``LABELS`` for every token: what the tokens around it give, and whether it or the next one repeats the one before.
 
     ``tables[REACH + d]`` is what a token gives the token at distance -d.
     """
@@ -311,26 +304,31 @@ def token_scores(tables: np.ndarray, numbers: np.ndarray, marks: np.ndarray, mar
     for d in range(1, REACH + 1):
         out[d:] += tables[REACH + d][numbers[:-d]]
         out[:-d] += tables[REACH - d][numbers[d:]]
-    for mark, own, ahead in zip(marks, marked[:MARKS], marked[MARKS:]):
-        out[mark] += own
-        out[:-1][mark[1:]] += ahead
+    again = repeats(numbers)
+    out[again] += repeated[0]
+    out[:-1][again[1:]] += repeated[1]
     return out
 
 
+def repeats(numbers: np.ndarray) -> np.ndarray:
+    """Which tokens equal the token before them."""
+    return np.append(False, numbers[1:] == numbers[:-1])
+
+
 @dataclass
 class Model:
-    """Weights: of each feature by distance and label, of neighbouring labels, of the marks of a token and of the next."""
+    """Weights: of each feature by distance and label, of neighbouring labels, of a token that repeats and one that is repeated."""
 
     weights: dict[str, np.ndarray]
     moves: np.ndarray
-    marked: np.ndarray
+    repeated: np.ndarray
 
     def __post_init__(self) -> None:
         self.known: dict[str, int] = {}
         self.tables = np.zeros((2 * REACH + 1, 1024, len(LABELS)), dtype=np.float32)
 
     def __getstate__(self):
-        return {"weights": self.weights, "moves": self.moves, "marked": self.marked}
+        return {"weights": self.weights, "moves": self.moves, "repeated": self.repeated}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -350,9 +348,9 @@ class Model:
             self.tables[:, at] = sum(rows) if rows else 0
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
-    def scores(self, tokens: list[str], marks: np.ndarray) -> np.ndarray:
+    def scores(self, tokens: list[str]) -> np.ndarray:
         numbers = self.number(tokens)
-        out = token_scores(self.tables, numbers, marks, self.marked)
+        out = token_scores(self.tables, numbers, self.repeated)
         out[numbers == self.known[BETWEEN], 1:] = -1e6
         out[:, 0] += CAUTION
         return out
@@ -361,13 +359,25 @@ class Model:
         """The best labels for a stream of tokens whose first and last are certainly outside.
 
         A token is certainly outside if no pair of neighbours can make up for
-        what another label costs it.  Only the runs between such tokens are
-        decoded, all at a time, the longest first.
+        what another label costs it; beside tokens that are certainly outside
+        less can, so this is asked again while it settles many.  Only the runs
+        between such tokens are decoded, all at a time, the longest first.
         """
         t = self.moves
         over_outside = t[:, :, None] + t[None, :, :] - (t[:, 0][:, None, None] + t[0][None, None, :])
         open_ = ((scores[:, 1:] + over_outside[:, 1:].max(axis=(0, 2))).max(axis=1) >= scores[:, 0])
         open_[[0, -1]] = False
+        left, right = over_outside[0].max(axis=1), over_outside[:, :, 0].max(axis=0)
+        # What the best neighbours add to each label, by which of them is open: none, the left, the right one, both.
+        gains = np.stack((over_outside[0, :, 0], right, left, over_outside.max(axis=(0, 2))))
+        waiting = np.flatnonzero(open_)
+        while len(waiting):
+            beside = open_[waiting - 1] + 2 * open_[waiting + 1].astype(int)
+            settled = (scores[waiting, 1:] + gains[beside, 1:]).max(axis=1) < scores[waiting, 0]
+            open_[waiting[settled]] = False
+            if settled.sum() * 20 < len(waiting):
+                break
+            waiting = waiting[~settled]
         labels = np.zeros(len(scores), dtype=np.int8)
         edges = np.flatnonzero(np.diff(open_.astype(np.int8)))
         starts, ends = edges[0::2] + 1, edges[1::2] + 1
@@ -415,17 +425,15 @@ def label_tokens(starts: np.ndarray, ends: np.ndarray, spans: Sequence[tuple[int
 
 def train(rows: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], rounds: int = ROUNDS) -> Model:
     """The field that makes the labels of ``rows`` (text, spans) most likely, by gradient steps over all of them."""
-    stream, gold = Stream(), []
+    stream, texts = Stream(), []
     for text, spans in rows:
         stream.add(text)
-        size = len(stream.starts[-1])
-        starts = stream.starts[-1][1:]
-        ends = starts + np.array([len(t) for t in stream.tokens[-size + 1:]], dtype=np.int64) if size > 1 else starts
-        gold += [[0], label_tokens(starts, ends, spans)]
-    _, marks = stream.end()
-    gold = np.concatenate([*gold, [0]]).astype(np.int64)
+        texts.append(spans)
+    gold = np.zeros(len(stream.tokens), dtype=np.int64)
+    for i, spans in enumerate(texts):
+        gold[stream.begins[i] + 1:stream.ends[i]] = label_tokens(*stream.places(i), spans)
     # Names are not learned by heart: no words that stand in values only, no endings that only names have.
-    outside = Counter(t.lower() for t, label in zip(stream.tokens, gold) if not label)
+    outside = Counter(t.strip(" ").lower() for t, label in zip(stream.tokens, gold) if not label)
     words = {w for w, n in outside.items() if n >= 2} | CUES
     address = LABELS.index("address")
     endings = {
@@ -434,7 +442,7 @@ def train(rows: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], rounds: in
     names: dict[str, int] = {}
     listed = [
         (i, names.setdefault(name, len(names))) for i, token in enumerate(tokens) for name in features(token)
-        if (token.lower() in words if name.startswith("word=") else name in endings or not name.startswith("tail="))
+        if (token.strip(" ").lower() in words if name.startswith("word=") else name in endings or not name.startswith("tail="))
     ]
     token_of, name_of = np.array(listed).T
     number = {t: i for i, t in enumerate(tokens)}
@@ -442,9 +450,9 @@ def train(rows: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], rounds: in
     reaches = np.ones((len(names), 2 * REACH + 1, 1))
     reaches[[n.startswith("tail=") for n in names]] = (np.arange(-REACH, REACH + 1) == 0)[:, None]
     k = len(LABELS)
-    weights = [np.zeros((len(names), 2 * REACH + 1, k)), np.zeros((k, k)), np.zeros((2 * MARKS, k))]
+    weights = [np.zeros((len(names), 2 * REACH + 1, k)), np.zeros((k, k)), np.zeros((2, k))]
     sums = [np.full_like(w, 1e-6) for w in weights]
-    data = FieldData(numbers, marks, gold, np.array(stream.firsts), token_of, name_of, reaches, len(tokens))
+    data = FieldData(numbers, gold, np.array(stream.begins), np.array(stream.ends), number[BETWEEN], token_of, name_of, reaches, len(tokens))
     for _ in range(rounds):
         for w, s, g in zip(weights, sums, field_gradient(weights, data)[1]):
             g -= DECAY * len(rows) * w
@@ -456,12 +464,13 @@ def train(rows: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], rounds: in
 
 @dataclass
 class FieldData:
-    """Labelled tokens: numbers, marks and labels in a row, the ``BETWEEN`` tokens, and which token has which feature."""
+    """Labelled tokens: numbers and labels in a row, where texts lie, the ``BETWEEN`` token, and which token has which feature."""
 
     numbers: np.ndarray
-    marks: np.ndarray
     gold: np.ndarray
-    firsts: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    between: int
     token_of: np.ndarray
     name_of: np.ndarray
     reaches: np.ndarray
@@ -474,25 +483,25 @@ def field_gradient(weights: Sequence[np.ndarray], data: FieldData) -> tuple[floa
     Probabilities run forward and backward through all texts at a time, scaled
     to sum 1 at every token; ``BETWEEN`` tokens are outside.
     """
-    names, moves, marked = weights
-    numbers, gold, firsts = data.numbers, data.gold, data.firsts
+    names, moves, repeated = weights
+    numbers, gold, between = data.numbers, data.gold, data.numbers == data.between
     n, k, width = len(numbers), len(LABELS), 2 * REACH + 1
     tables = np.zeros((width, data.n_tokens, k))
     for d in range(width):
         for label in range(k):
             tables[d, :, label] = np.bincount(data.token_of, names[data.name_of, d, label], data.n_tokens)
-    scores = token_scores(tables, numbers, data.marks, marked)
-    scores[firsts, 1:] = -1e6
+    scores = token_scores(tables, numbers, repeated)
+    scores[between, 1:] = -1e6
     top = scores.max(axis=1)
     potential, step = np.exp(scores - top[:, None]), np.exp(moves)
-    # A text runs from its BETWEEN token to the next one; the longest texts come first.
-    starts, lengths = firsts[:-1], np.diff(firsts)
+    # A text runs from one BETWEEN token to the next; the longest texts come first.
+    starts, lengths = data.begins, data.ends - data.begins
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     live = [int(np.searchsorted(-lengths, -t, side="right")) for t in range(int(lengths[0]) + 1)]
     only_outside = (np.arange(k) == 0).astype(float)
     forward, backward, scale = np.zeros((n, k)), np.zeros((n, k)), np.ones(n)
-    forward[firsts] = only_outside
+    forward[between] = only_outside
     last_scale = np.ones(len(starts))
     for t in range(1, len(live)):
         at, is_end = starts[: live[t]] + t, lengths[: live[t]] == t
@@ -511,20 +520,23 @@ def field_gradient(weights: Sequence[np.ndarray], data: FieldData) -> tuple[floa
         closing = potential[last + 1] * only_outside / last_scale[:m][is_last][:, None]
         backward[here], backward[last] = inner @ step.T, closing @ step.T
         move_gradient -= step * (forward[here].T @ inner + forward[last].T @ closing)
-    np.add.at(move_gradient, (gold[:-1], gold[1:]), 1.0)
+    inside = ~(between[:-1] & between[1:])
+    before, after = gold[:-1][inside], gold[1:][inside]
+    np.add.at(move_gradient, (before, after), 1.0)
     expected = forward * backward
-    expected[firsts] = only_outside
+    expected[between] = only_outside
     difference = -expected
     difference[np.arange(n), gold] += 1.0
-    likelihood = scores[np.arange(n), gold].sum() + moves[gold[:-1], gold[1:]].sum() - total
+    likelihood = scores[np.arange(n), gold].sum() + moves[before, after].sum() - total
     name_gradient = np.zeros_like(names)
     for d in range(-REACH, REACH + 1):
         given, taken = numbers[max(-d, 0): n - max(d, 0)], difference[max(d, 0): n - max(-d, 0)]
         for label in range(k):
             of_tokens = np.bincount(given, taken[:, label], data.n_tokens)
             name_gradient[:, REACH + d, label] = np.bincount(data.name_of, of_tokens[data.token_of], len(names))
-    marks_gradient = [difference[m].sum(axis=0) for m in data.marks] + [difference[:-1][m[1:]].sum(axis=0) for m in data.marks]
-    return likelihood, [name_gradient * data.reaches, move_gradient, np.stack(marks_gradient)]
+    again = repeats(numbers)
+    again_gradient = np.stack((difference[again].sum(axis=0), difference[:-1][again[1:]].sum(axis=0)))
+    return likelihood, [name_gradient * data.reaches, move_gradient, again_gradient]
 
 
 # Scanning.
@@ -551,19 +563,19 @@ def scan_texts(model: Model, texts: Sequence[str | None]) -> list[list[tuple[int
     stream = Stream()
     for text in texts:
         stream.add(text or "")
-    starts, marks = stream.end()
-    lengths = np.fromiter(map(len, stream.tokens), dtype=np.int64, count=len(stream.tokens))
-    labels = model.decode(model.scores(stream.tokens, marks))
+    labels = model.decode(model.scores(stream.tokens))
+    marked = set(np.searchsorted(stream.begins, np.flatnonzero(labels > 1), side="right") - 1)
     out = []
     for i, text in enumerate(texts):
-        here = slice(stream.firsts[i] + 1, stream.firsts[i + 1])
         spans, added = base_spans(text or ""), []
-        opens, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
-        for start, label, end in spans_of(labels[here], starts[here], starts[here] + lengths[here]):
-            before = bisect_left(opens, end)
-            free = not before or reach[before - 1] <= start
-            if label > 1 and free and stands_alone(text, start, end) and plausible(LABELS[label], text[start:end]):
-                added.append((start, KINDS.index(LABELS[label]), end))
+        if i in marked:
+            opens, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+            own = labels[stream.begins[i] + 1:stream.ends[i]]
+            for start, label, end in spans_of(own, *stream.places(i)):
+                before = bisect_left(opens, end)
+                free = not before or reach[before - 1] <= start
+                if label > 1 and free and stands_alone(text, start, end) and plausible(LABELS[label], text[start:end]):
+                    added.append((start, KINDS.index(LABELS[label]), end))
         out.append(sorted(spans + added))
     return out
 

@@ -75,7 +75,7 @@ def test_decoding_is_best(model):
         scores = rng.normal(0, 2, (rng.integers(1, 5) + 2, k))
         scores[[0, -1], 1:] = -1e6
         scores[:, 0] += rng.choice([0, 3])
-        field = pii.Model({}, rng.normal(0, 1.5, (k, k)), model.marked)
+        field = pii.Model({}, rng.normal(0, 1.5, (k, k)), model.repeated)
         assert tuple(field.decode(scores)[1:-1]) == best_path(scores, field.moves)
 
 
@@ -95,7 +95,7 @@ def test_gradient_by_differences():
         pii.field_gradient = original
     data, rng = caught["data"], np.random.default_rng(1)
     k = len(pii.LABELS)
-    weights = [rng.normal(0, 0.3, s) for s in ((data.reaches.shape[0], 5, k), (k, k), (2 * pii.MARKS, k))]
+    weights = [rng.normal(0, 0.3, s) for s in ((data.reaches.shape[0], 5, k), (k, k), (2, k))]
     _, gradients = original(weights, data)
     for w, g in zip(weights, gradients):
         for _ in range(15):
