@@ -31,7 +31,9 @@ def shards(
     * ``grown_shard`` is null: with one more shard all cuts move.
     * Null ids come first.  A null text counts ``overhead`` bytes and has the
       checksum of the empty text (0).  Repeated rows take a slot each and are
-      interchangeable.  With fewer rows than shards some shards stay empty; an
+      interchangeable.  Groups of equal texts are spread by their ids like any
+      other rows: the law is ``bytes``, and a group of a third of all rows would
+      not fit a shard.  With fewer rows than shards some shards stay empty; an
       empty table gives no rows.  Other columns of ``docs`` are not read.
     """
     rows = docs.select(
