@@ -12,6 +12,7 @@ from loreloom.operators.tables import Filter, TableQuery
 from loreloom.plans.graph import EDGES, PATHS, edges, line_edges, line_questions
 from loreloom.plans.lifecycle import CATALOG, catalog
 from loreloom.plans.registry import Tables, query
+from loreloom.session import cut_lineage
 from loreloom.sources import files
 
 
@@ -215,6 +216,27 @@ def paths_in_one_document(t: Tables):
     return graph.simple_paths(graph.edges_in_document(every, F.lit("assets")), seeds).select("query_id", "path_id")
 
 
+@query(
+    "answer_consistency",
+    """SELECT r_regionkey::BIGINT AS query_id, r_name AS first_name, n_name AS last_name, bool_or((s_suppkey // 100) % 2 = 0) AS supported
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1 GROUP BY ALL""",
+)
+def answer_consistency(t: Tables):
+    """Answers name every other station of a line; of the register's blocks only the even ones are cited."""
+    every = line_edges(t)
+    seeds = graph.match_seeds(graph.entities(every), line_questions(t), unicode_keys=False)
+    found = cut_lineage(graph.simple_paths(graph.edges_in_document(every, F.lit("assets")), seeds))
+    lines = t.region.select(F.col("r_regionkey").cast("bigint").alias("query_id"), F.col("r_name").alias("first_name"))
+    ends = found.join(lines, "query_id").withColumn("last_name", F.element_at("names", -1))
+    walked = found.select("query_id", F.explode("path").alias("e")).select("query_id", "e.doc_id", "e.block_id").distinct()
+    complete = graph.fully_cited(found, walked.where(F.col("block_id").cast("long") % 2 == 0))
+    stations = t.nation.where("n_nationkey % 2 = 1").groupBy(F.col("n_regionkey").cast("bigint").alias("query_id")).agg(
+        F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("names"))
+    answers = lines.join(stations, "query_id").select(
+        "query_id", F.concat(F.lit("Stations of "), F.col("first_name")).alias("question"), F.concat(F.lit("These: "), F.col("names")).alias("answer"))
+    return graph.answer_consistency(ends, complete, answers)
+
+
 @query(
     "carried_issues",
     """WITH f AS (SELECT doc_id, 'issue_' || substr(sha256(to_json({'type': lang, 'col2': list_sort([doc_id::VARCHAR, (doc_id + 1)::VARCHAR]), 'col3': [md5(source)]})), 1, 32) AS issue_id FROM documents)
