@@ -85,7 +85,8 @@ def _spans(text: Column, size: int, overlap: int) -> Column:
         spans = F.aggregate(steps, empty, advance)["spans"]
         return F.transform(spans, lambda p: strip(window(blocks, p["s"], p["e"] - p["s"])))
 
-    blocks = F.split(text, rf"(?s)(?<=\G.{{{block}}})")
+    # Whole code points, so that characters outside the basic plane count once.
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0))
     folded = bind(F.length(text), lambda n: bind(blocks, lambda b: fold(n, b)))
     return F.when(F.length(text) > 0, folded).otherwise(F.array().cast("array<string>"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreloom.functions import html, text
+from loreloom.functions import html, tables, text
 from loreloom.operators import chunks
-from loreloom.plans.registry import Tables, query
+from loreloom.plans.registry import ORACLES, Tables, query
 from loreloom.plans.sqltext import CHUNKS, sql_clean, sql_tokens
 
 
@@ -62,6 +62,28 @@ def chunk_fixed(t: Tables):
     )
 
 
+@query("chunk_sql", ORACLES["chunk_fixed"])
+def chunk_sql(t: Tables):
+    """The chunks of ``chunk_fixed`` by a table function."""
+    tables.register(t.spark)
+    return t.spark.sql(
+        "SELECT d.doc_id, c.ordinal, c.heading, length(c.chunk_text) AS chars, md5(c.chunk_text) AS chunk_md5 "
+        "FROM {documents} d, LATERAL chunk_text(d.text) c", documents=t.spread("documents", "doc_id"))
+
+
+@query(
+    "first_rows_sql",
+    """SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 3""",
+)
+def first_rows_sql(t: Tables):
+    """The first three orders of each customer by a table function over a partitioned table."""
+    tables.register(t.spark)
+    return t.spark.sql(
+        "SELECT o_custkey, o_orderkey, rank FROM first_rows(TABLE(SELECT o_custkey, o_orderkey FROM {orders}), 'o_custkey', 'o_orderkey', 3)",
+        orders=t.orders)
+
+
 @query(
     "chunk_stats",
     f"WITH {CHUNKS} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs, "
