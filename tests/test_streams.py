@@ -102,7 +102,7 @@ def test_stream_queries_over_part_files_equal_those_over_one_file(spark, tmp_pat
     given = "/root/testdata/sf0.001"
     for name in ("events", "supplier"):
         spark.read.parquet(f"{given}/{name}.parquet").repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
-    for name in ("once_stream", "outbox_stream", "clock_window"):
+    for name in ("once_stream", "outbox_stream", "clock_window", "rate_window", "interrupted_stream"):
         one, parts = (QUERIES[name](spark, folder) for folder in (given, str(tmp_path)))
         assert one.count() > 0 and one.exceptAll(parts).count() == 0 and parts.exceptAll(one).count() == 0, name
 
