@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +26,7 @@ from loreloom.session import cut_lineage
 #: Chunks in a shard, and queries that are scored against a shard at a time.
 SHARD, QUERIES = 4096, 256
 #: Shards that are scored first for each query.
-FIRST = 2
+FIRST = 8
 #: The term of the row that holds the keys of a shard; no token is empty.
 KEYS = ""
 BLOCKS = "shard bigint, term string, df bigint, top double, places binary, weights binary"
@@ -39,42 +40,46 @@ class Index:
     total: int
 
 
-def pack_shard(shard: int, chunks: list[tuple], average: float, k1: float, b: float) -> pd.DataFrame:
+def pack_shard(shard: int, chunks: pa.Table, average: float, k1: float, b: float) -> pa.RecordBatch:
     """The blocks of one shard: per term the places and saturated weights of its chunks, by place."""
-    lengths = np.array([c[3] for c in chunks], dtype=np.float64)
-    sizes = np.array([len(c[2]) for c in chunks])
-    codes, terms = pd.factorize(np.concatenate([np.asarray(c[2], dtype=object) for c in chunks]) if sizes.sum() else np.array([], dtype=object))
+    chunks = chunks.combine_chunks()
+    tokens = chunks.column("tokens").combine_chunks()
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = chunks.column("n_tokens").to_numpy()
+    encoded = tokens.flatten().dictionary_encode()
+    terms, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     keys, often = np.unique(codes * len(chunks) + np.repeat(np.arange(len(chunks)), sizes), return_counts=True)
     code, place = np.divmod(keys, len(chunks))
     weight = often * (k1 + 1) / (often + k1 * ((1 - b) + b * lengths[place] / average))
     starts = np.searchsorted(code, np.arange(len(terms) + 1))
     cuts = list(zip(starts[:-1], starts[1:]))
     places = place.astype(np.int32)
-    return pd.DataFrame({
-        "shard": shard, "term": [KEYS, *terms], "df": [0, *np.diff(starts)],
-        "top": [0.0, *(np.maximum.reduceat(weight, starts[:-1]) if len(terms) else [])],
-        "places": [np.array([c[0] for c in chunks], dtype=np.int64).tobytes(), *[places[x:y].tobytes() for x, y in cuts]],
-        "weights": [np.array([c[1] for c in chunks], dtype=np.int64).tobytes(), *[weight[x:y].tobytes() for x, y in cuts]],
-    })
+    ids, ordinals = (chunks.column(c).to_numpy().astype(np.int64).tobytes() for c in ("doc_id", "ordinal"))
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(len(terms) + 1, shard)), pa.array([KEYS, *terms], pa.string()), pa.array([0, *np.diff(starts)], pa.int64()),
+        pa.array([0.0, *(np.maximum.reduceat(weight, starts[:-1]) if terms else [])], pa.float64()),
+        pa.array([ids, *[places[x:y].tobytes() for x, y in cuts]], pa.binary()),
+        pa.array([ordinals, *[weight[x:y].tobytes() for x, y in cuts]], pa.binary()),
+    ], names=["shard", "term", "df", "top", "places", "weights"])
 
 
 def build_index(corpus: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B) -> Index:
     """The index of ``corpus`` (doc_id, ordinal, tokens, n_tokens); written once, without a shuffle."""
     total, average = corpus.agg(F.count("*"), F.avg("n_tokens")).first()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = TaskContext.get().partitionId() << 32, []
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                held.append(row)
-                if len(held) == SHARD:
-                    yield pack_shard(shard, held, average or 1.0, k1, b)
-                    shard, held = shard + 1, []
-        if held:
-            yield pack_shard(shard, held, average or 1.0, k1, b)
+            held.append(batch)
+            while sum(map(len, held)) >= SHARD:
+                table = pa.Table.from_batches(held)
+                yield pack_shard(shard, table.slice(0, SHARD), average or 1.0, k1, b)
+                shard, held = shard + 1, table.slice(SHARD).to_batches()
+        if sum(map(len, held)):
+            yield pack_shard(shard, pa.Table.from_batches(held), average or 1.0, k1, b)
 
     rows = corpus.select(F.col("doc_id").cast("long"), F.col("ordinal").cast("long"), "tokens", F.col("n_tokens").cast("double"))
-    return Index(cut_lineage(rows.mapInPandas(pack, BLOCKS), "index"), total)
+    return Index(cut_lineage(rows.mapInArrow(pack, BLOCKS), "index"), total)
 
 
 def score_shard(rows: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
