@@ -1,10 +1,12 @@
 """Streams over split files against plain loops."""
 
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
+from loreloom.operators import usage
 from loreloom.streaming import state
 
 START = dt.datetime(2024, 1, 1)
@@ -55,6 +57,27 @@ def test_outbox_delivers_more_than_a_batch_once(spark, tmp_path):
     assert len(found) == len(expected) and {(r["hook_id"], r["event_id"]) for r in found} == expected
 
 
+def test_outbox_gives_an_event_that_comes_again_once(spark, tmp_path):
+    rows = [(1, i % 300, "a" if i < 300 else "b", START + dt.timedelta(seconds=i)) for i in range(450)]
+    stream = source(spark, tmp_path, rows).select(F.col("event_id").alias("sequence"), "event_id", F.col("kind").alias("action"))
+    hooks = spark.createDataFrame([(1, "a", -1), (1, "b", -1), (2, "b", 20), (2, "b", 100)], "hook_id long, action string, cursor long")
+    found = state.deliver_batches(stream, hooks, f"{tmp_path}/out").collect()
+    expected = {(1, i) for i in range(300)} | {(2, i) for i in range(21, 150)}
+    assert len(found) == len(expected) and {(r["hook_id"], r["event_id"]) for r in found} == expected
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out/rows")
+    assert "delivery_id" not in stored.columns  # the digest is most of a row; it follows from the keys
+
+
+def test_deliveries_are_not_shuffled(spark):
+    audit = spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 2, "a"), (4, 2, "b"), (5, None, "a"), (6, None, "a")], "sequence long, event_id long, action string")
+    hooks = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (1, "b", 0), (None, "a", 0), (2, "b", 4)], "hook_id long, action string, cursor long")
+    sent = usage.deliveries(audit, hooks)
+    wanted = [hashlib.sha256(i.encode()).hexdigest() for i in ("1:1", "1:2", "1", "2", "")]
+    assert sorted(r["delivery_id"] for r in sent.collect()) == sorted(wanted)
+    text = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lstrip().startswith("Union")  # not an aggregate over all deliveries
+
+
 def test_change_feed_over_batches_ignores_older_records(spark, tmp_path):
     rows = [
         (1, 0, "v1", START), (1, 1, "v2", START + dt.timedelta(hours=2)),
