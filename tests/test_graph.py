@@ -85,3 +85,17 @@ def test_visibility_and_short_queries(spark):
     assert graph.visible_edges(edges, docs).count() == 0
     asked = spark.createDataFrame([(1, "水泵"), (2, "北站水泵在哪"), (3, "DEV-011")], "query_id long, query string")
     assert {r["query_id"] for r in graph.match_seeds(graph.entities(edges), asked).collect()} == {1, 2}
+
+
+def test_progress_is_counted_before_documents_are_joined(spark):
+    df = register(spark, "r", ["设备编号", "工单编号"], [("D-1", "W-1"), ("D-1", "W-2")])
+    edges = graph.extract_relations(df, graph.detect_roles(df.columns))
+    edges = edges.unionByName(edges.withColumn("status", F.lit("rejected"))).unionByName(edges.withColumn("fingerprint", F.lit("old")))
+    documents = spark.createDataFrame([("r", "published", "v1", 1), ("s", "queued", "v1", 0)], "doc_id string, status string, fingerprint string, chunk_count int")
+    progress = graph.construction_progress(documents, edges, spark.createDataFrame([("r", 3)], "doc_id string, entity_count long"))
+    assert sorted(map(tuple, progress.collect())) == [("r", "source_changed", 2, 2, 2, 3), ("s", "parsing", 0, 0, 0, 0)]
+    detail = graph.progress_detail(edges, documents.select("doc_id", "fingerprint"))
+    assert [tuple(r) for r in detail.collect()] == [("r", "asset", "has_work_order", "work_order", 2, 2, 2)]
+    for df in (progress, detail):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan[plan.index("LeftOuter, (doc_id"):]
