@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreloom import config
+from loreloom.session import cut_lineage
 
 PAGE = ("doc_id", "page")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def word_starts(lines: pd.Series) -> pd.Series:
+    """Where each word of a line split at single blanks begins; one pass, a line may be a whole document."""
+
+    def starts(line: str | None) -> list[int] | None:
+        if line is None:
+            return None
+        found, at = [], 0
+        for word in line.split(" "):
+            found.append(at)
+            at += len(word) + 1
+        return found
+
+    return lines.map(starts)
+
+
 def page_cells(boxes: DataFrame) -> DataFrame:
     """Cells of every page in reading order; ``table_no`` marks lines that form a table.
 
@@ -21,14 +42,15 @@ def page_cells(boxes: DataFrame) -> DataFrame:
     windows and aggregates over a page; distances are in units of its middle
     word height.
     """
-    words = boxes.filter(F.trim("text") != "").withColumn("center", F.col("top") + F.col("height") / 2)
-    by_height = W.partitionBy(*PAGE).orderBy("height")
-    middle = (
-        words.select(*PAGE, "height", F.row_number().over(by_height).alias("k"), F.count("*").over(W.partitionBy(*PAGE)).alias("n"))
-        .filter(F.col("k") == F.floor(F.col("n") / 2) + 1)
-        .select(*PAGE, F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(config.LAYOUT_WORD_HEIGHT)).alias("unit"))
-    )
-    words = words.join(middle, list(PAGE))
+    # Rows without a page belong to no layout.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in PAGE])
+    words = boxes.filter((F.trim("text") != "") & known).withColumn("center", F.col("top") + F.col("height") / 2)
+    # The middle height reaches its page through windows, so words are made and dealt to pages once.
+    page = W.partitionBy(*PAGE)
+    words = words.withColumn("_k", F.row_number().over(page.orderBy("height"))).withColumn("_n", F.count("*").over(page))
+    unit = F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(config.LAYOUT_WORD_HEIGHT))
+    middle = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, unit)).over(page)
+    words = words.withColumn("unit", middle).drop("_k", "_n")
 
     down = W.partitionBy(*PAGE).orderBy("center", "left", "text")
     opens = F.col("center") - F.lag("center").over(down) > F.col("unit") * config.LAYOUT_LINE_GAP
@@ -45,6 +67,8 @@ def page_cells(boxes: DataFrame) -> DataFrame:
         F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"),
         F.min("center").alias("center"), F.first("unit").alias("unit"),
     )
+    # Read for the tables and for the result.
+    cells = cut_lineage(cells, "cells")
     return cells.join(_tables(cells), [*PAGE, "line"], "left").select(
         *PAGE, "line", "cell", "text", "left", "top", "right", "bottom", "table_no"
     )
