@@ -8,6 +8,7 @@ from loreloom.functions import html, tables, text
 from loreloom.operators import chunks
 from loreloom.plans.registry import ORACLES, Tables, query
 from loreloom.plans.sqltext import CHUNKS, sql_clean, sql_tokens
+from loreloom.session import by_key
 
 
 @query(
@@ -114,8 +115,10 @@ def chunk_stats(t: Tables):
     SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term""",
 )
 def token_df(t: Tables):
+    # Texts travel, not their terms: a document's terms are counted where they arise.
     per_doc = (
-        t.spread("documents", "doc_id").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
+        by_key(t.documents.select("doc_id", "text"), "doc_id")
+        .select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
         .groupBy("term", "doc_id")
         .agg(F.count("*").alias("tf"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.functions.text import clean_text
+from loreloom.session import few_rows
 
 GB18030_WARNING = "decoded as GB18030"
 CORRUPT = "corrupt"
@@ -46,6 +47,7 @@ def decode_bytes(content: pd.Series) -> pd.DataFrame:
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Decoded files: ``path``, ``text``, ``warning``; unreadable ones have no text."""
+    few_rows(spark)
     files = read_binary(spark, folder, glob)
     return files.withColumn("_d", decode_bytes("content")).select("path", "length", "_d.text", "_d.warning")
 
