@@ -99,3 +99,48 @@ def test_progress_is_counted_before_documents_are_joined(spark):
     for df in (progress, detail):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" in plan[plan.index("LeftOuter, (doc_id"):]
+
+
+def test_repeated_relations_are_removed_without_shuffling_edges(spark):
+    rows = [("DEV-1", "pump", "WO-1"), ("DEV-1", "pump", "WO-1"), ("DEV-2", "fan", "WO-2")]
+    df = register(spark, "r", ["设备编号", "设备名称", "工单编号"], rows).withColumn("row_no", F.length("设备编号").cast("long"))
+    edges = graph.extract_relations(df, graph.detect_roles(df.columns))
+    assert edges.count() == 2 and "_home" not in edges.columns
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Aggregate") < plan.index("sha2(") < plan.index("Exchange hashpartitioning")
+
+
+def parallel_edges(spark):
+    """Two parallel edges a-b, three b-c, one c-d and one back c-a."""
+    pairs = [("a", "b")] * 2 + [("b", "c")] * 3 + [("c", "d"), ("c", "a")]
+    rows = [(f"r{i}", s, "t", s.upper(), o, "t", f"{o.upper()}{i}", "d", str(i), 1) for i, (s, o) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "relation_id string, subject_id string, subject_type string, subject_name string, object_id string, "
+                                 "object_type string, object_name string, doc_id string, block_id string, revision int")
+
+
+def listed(paths):
+    return sorted((tuple(r["node_ids"]), tuple(e["relation_id"] for e in r["path"]), tuple(r["names"])) for r in paths.collect())
+
+
+def walked_paths(edges, start, hops):
+    steps = [(e[a], e[b], e["relation_id"], e[f"{b[:-3]}_name"]) for e in edges.collect() for a, b in (("subject_id", "object_id"), ("object_id", "subject_id"))]
+    level, found = [((start,), (), ())], []
+    for _ in range(hops):
+        level = [((*n, to), (*r, rel), (*names, name)) for n, r, names in level for at, to, rel, name in steps if at == n[-1] and to not in n]
+        found += level
+    return sorted(found)
+
+
+def test_paths_run_along_chains_with_every_choice_of_edges(spark):
+    edges = parallel_edges(spark)
+    seeds = spark.createDataFrame([(1, "a")], "query_id long, node_id string")
+    assert listed(graph.simple_paths(edges, seeds, 3)) == walked_paths(edges, "a", 3)
+
+
+def test_paths_to_named_ends_only(spark):
+    edges = parallel_edges(spark)
+    seeds = spark.createDataFrame([(1, "a")], "query_id long, node_id string")
+    answers = spark.createDataFrame([(1, "q", "it is D5 here")], "query_id long, question string, answer string")
+    found = graph.simple_paths(edges, seeds, 3, ends=lambda ends: graph.named_ends(ends, answers))
+    assert listed(found) == [p for p in walked_paths(edges, "a", 3) if p[0][-1] == "d"]
+    assert found.count() == 7
