@@ -61,28 +61,32 @@ def replay(
     """
     states = sorted({s for s, _ in rules} | set(rules.values()) | {start})
     names = F.array(*[F.lit(s) for s in states])
-    table = F.create_map(*[F.lit(x) for (s, a), t in sorted(rules.items()) for x in (f"{s}\u001f{a}", t)])
+    # States and actions are numbers in all steps; an action is looked up once per row.
+    acts = sorted({a for _, a in rules})
+    known = F.create_map(*[F.lit(x) for n, a in enumerate(acts) for x in (a, n)])
+    moves = F.array(*[F.lit(states.index(rules[s, a]) if (s, a) in rules else None).cast("int") for a in acts for s in states])
+    everywhere = F.array(*[F.lit(n) for n in range(len(states))])
 
-    def after(state: Column, act: Column) -> Column:
-        return F.try_element_at(table, F.concat(state, F.lit("\u001f"), act))
+    def after(state: Column, row: Column) -> Column:
+        return F.get(moves, row["_code"] * len(states) + state)
 
     def through(effect: Column, state: Column) -> Column:
-        return F.element_at(effect, F.array_position(names, state).cast("int"))
+        return F.get(effect, state)
 
     marked = events.withColumn("_fine", fine).withColumn("_coarse", coarse)
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("_act"))))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("_act"), F.try_element_at(known, F.col(action)).alias("_code"))))
     buckets = marked.groupBy(key, "_coarse", "_fine").agg(rows.alias("_rows"))
-    fold = lambda s: F.aggregate("_rows", s, lambda acc, r: F.coalesce(after(acc, r["_act"]), acc))
-    effects = buckets.select(key, "_coarse", "_fine", F.transform(names, fold).alias("_effect"))
+    fold = lambda s: F.aggregate("_rows", s, lambda acc, r: F.coalesce(after(acc, r), acc))
+    effects = buckets.select(key, "_coarse", "_fine", F.transform(everywhere, fold).alias("_effect"))
 
     def chained(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
         listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), "_effect"))).alias("_list"))
         whole = lambda s: F.aggregate("_list", s, lambda acc, e: through(e["_effect"], acc))
-        return listed.select(*keys, "_list", F.transform(names, whole).alias("_effect"))
+        return listed.select(*keys, "_list", F.transform(everywhere, whole).alias("_effect"))
 
     def entries(chain: DataFrame, keys: list[str], bucket: str, begin: Column) -> DataFrame:
         kind = dict(marked.dtypes)[bucket]
-        empty = F.struct(begin.alias("state"), F.array().cast(f"array<struct<b:{kind},state:string>>").alias("out"))
+        empty = F.struct(begin.alias("state"), F.array().cast(f"array<struct<b:{kind},state:int>>").alias("out"))
         walked = F.aggregate("_list", empty, lambda acc, e: F.struct(
             through(e["_effect"], acc["state"]).alias("state"),
             F.array_append(acc["out"], F.struct(e["b"].alias("b"), acc["state"].alias("state"))).alias("out"),
@@ -93,15 +97,15 @@ def replay(
 
     per_coarse = chained(effects, [key, "_coarse"], "_fine")
     per_key = chained(per_coarse.drop("_list"), [key], "_coarse")
-    coarse_start = entries(per_key, [key], "_coarse", F.lit(start))
+    coarse_start = entries(per_key, [key], "_coarse", F.lit(states.index(start)))
     fine_start = entries(per_coarse.join(coarse_start, [key, "_coarse"]), [key, "_coarse"], "_fine", F.col("_start"))
 
     fields = ", ".join(f"`{c}`:{dict(events.dtypes)[c]}" for c in order)
-    log = f"array<struct<{fields},_act:string,from_state:string,to_state:string,accepted:boolean>>"
+    log = f"array<struct<{fields},_act:string,from_state:int,to_state:int,accepted:boolean>>"
     begin = F.struct(F.col("_start").alias("state"), F.array().cast(log).alias("log"))
 
     def step(acc: Column, r: Column) -> Column:
-        following = after(acc["state"], r["_act"])
+        following = after(acc["state"], r)
         reached = F.coalesce(following, acc["state"])
         row = F.struct(
             *[r[c].alias(c) for c in order], r["_act"].alias("_act"), acc["state"].alias("from_state"),
@@ -114,5 +118,5 @@ def replay(
     )
     return replayed.select(
         key, *[F.col(f"_l.{c}").alias(c) for c in order], F.col("_l._act").alias(action),
-        "_l.from_state", "_l.to_state", "_l.accepted",
+        F.get(names, F.col("_l.from_state")).alias("from_state"), F.get(names, F.col("_l.to_state")).alias("to_state"), "_l.accepted",
     )

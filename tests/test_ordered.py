@@ -75,3 +75,15 @@ def test_header_change_reopens_sibling_chunks(spark):
     edited = spark.createDataFrame([("a", "t", ["y"])], "chunk_id string, table_id string, headers array<string>")
     rows = {r["chunk_id"]: (r["headers"], r["block_revision"], r["review_state"]) for r in versions.propagate_headers(chunks, edited).collect()}
     assert rows == {"a": (["y"], 2, "confirmed"), "b": (["y"], 2, "unreviewed"), "c": (["x"], 1, "confirmed")}
+
+
+def test_replay_looks_an_action_up_once(spark):
+    rules = {("new", "go"): "run", ("run", "stop"): "new"}
+    rows = [(1, i, a) for i, a in enumerate(["go", None, "odd", "go", "stop", "stop", "go"])] + [(2, 0, "stop")]
+    df = spark.createDataFrame(rows, "k int, at int, act string")
+    done = ordered.replay(df, "k", ["at"], "act", F.floor(F.col("at") / 2), F.floor(F.col("at") / 4), rules, "new")
+    assert "concat(" not in done._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["from_state"], r["to_state"], r["accepted"]) for r in done.filter("k = 1").orderBy("at").collect()]
+    assert got == [("new", "run", True), ("run", "run", False), ("run", "run", False), ("run", "run", False),
+                   ("run", "new", True), ("new", "new", False), ("new", "run", True)]
+    assert [tuple(r)[:4] for r in done.filter("k = 2").select("from_state", "to_state", "accepted", "act").collect()] == [("new", "new", False, "stop")]
