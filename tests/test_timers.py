@@ -54,3 +54,15 @@ def test_work_without_an_end_is_interrupted(spark, tmp_path):
             ends = [r[3] for r in rows if r[0] == user and r[2] == "end" and (at, event) < (r[3], r[1]) and r[3] <= at + dt.timedelta(seconds=30)]
             expected[event] = "succeeded" if ends else "interrupted"
     assert {r["event_id"]: r["status"] for r in done.collect()} == expected
+
+
+def test_kinds_without_a_part_are_not_kept(spark, tmp_path):
+    rows = events(random.Random(4), 60) + [(8, 900, "x", START), (9, 901, None, START)]
+    kind = "event_id bigint, status string, at_us bigint"
+    run = lambda acting, folder: timers.run_to_end(
+        source(spark, tmp_path / folder, rows, 2), lambda s: timers.folded(
+            s, "user_id", "ts", "event_id", "kind", timers.work_fold("start", "end", 30), kind, "20 minutes", acting), "ts")
+    (done, _), (every, _) = run(("start", "end"), "a"), run(None, "b")
+    assert sorted(map(str, done.collect())) == sorted(map(str, every.collect())) and done.count()
+    acting = timers.folded(source(spark, tmp_path / "c", rows, 1), "user_id", "ts", "event_id", "kind", timers.work_fold("start", "end", 30), kind, "20 minutes", ("start", "end"))
+    assert "IN (start,end)" in acting._jdf.queryExecution().analyzed().toString()
