@@ -144,3 +144,52 @@ def test_paths_to_named_ends_only(spark):
     found = graph.simple_paths(edges, seeds, 3, ends=lambda ends: graph.named_ends(ends, answers))
     assert listed(found) == [p for p in walked_paths(edges, "a", 3) if p[0][-1] == "d"]
     assert found.count() == 7
+
+
+def star(spark, branches):
+    """A node, ``branches`` neighbours and three further nodes at each of them; every second edge to a neighbour is doubled."""
+    pairs = [("a", f"b{i}") for i in range(branches) for _ in range(1 + i % 2)] + [(f"b{i}", f"c{i}-{j}") for i in range(branches) for j in range(3)]
+    rows = [(f"r{n}", s, "t", s, o, "work_order" if o[0] == "c" else "t", o, "d", str(n), 1) for n, (s, o) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "relation_id string, subject_id string, subject_type string, subject_name string, object_id string, "
+                                 "object_type string, object_name string, doc_id string, block_id string, revision int")
+
+
+def test_selection_goes_on_after_the_first_portion(spark):
+    edges = star(spark, 9)
+    seeds = spark.createDataFrame([(1, "a"), (2, "b1"), (3, "c0-0")], "query_id long, node_id string")
+    queries = spark.createDataFrame([(q, "哪些工单") for q in (1, 2, 3)], "query_id long, query string")
+    paths = graph.simple_paths(edges, seeds, 2)
+    paths = spark.createDataFrame(paths.collect(), paths.schema).coalesce(2)
+    in_order = {}
+    for r in sorted(paths.collect(), key=lambda r: (r["query_id"], r["end_type"] != "work_order", r["hops"], r["path_id"])):
+        in_order.setdefault(r["query_id"], []).append(r)
+    for limits in ((7, 6, 9), (None, 7, 6), (50, 500, 500)):
+        expected = []
+        for query, ranked in in_order.items():
+            nodes, found, taken = set(), set(), []
+            for rank, r in enumerate(ranked, 1):
+                more, further = nodes | set(r["node_ids"]), found | {e["relation_id"] for e in r["path"]}
+                if all(m is None or n <= m for n, m in zip((len(taken) + 1, len(more), len(further)), limits)):
+                    nodes, found = more, further
+                    taken.append(rank)
+            expected += [(query, rank, ranked[rank - 1]["path_id"], len(taken) < len(ranked)) for rank in taken]
+        for portion in (8, 1000):
+            picked = graph.rank_and_select(paths, queries, *limits, portion=portion)
+            assert sorted((r["query_id"], r["rank"], r["path_id"], r["truncated"]) for r in picked.collect()) == expected, (limits, portion)
+    # The cut it replaces: the first ranked paths only lose what fits later.
+    cut = graph.select_paths(graph.rank_paths(paths, queries, 8), 7, 6, 9)
+    assert cut.count() < graph.rank_and_select(paths, queries, 7, 6, 9, portion=8).count()
+
+
+def test_first_ranked_paths_are_held_not_sorted(spark):
+    edges = star(spark, 9)
+    seeds = spark.createDataFrame([(1, "a"), (2, "b1")], "query_id long, node_id string")
+    queries = spark.createDataFrame([(1, "哪些工单"), (2, "what"), (2, "what")], "query_id long, query string")
+    paths = graph.simple_paths(edges, seeds, 2)
+    paths = spark.createDataFrame(paths.collect(), paths.schema)
+    every = graph.rank_paths(paths, queries)
+    first = graph.rank_paths(paths, queries, 5)
+    assert every.filter("query_id = 2").count() == 2 * paths.filter("query_id = 2").count()
+    key = lambda df: sorted((r["query_id"], r["rank"], r["path_id"], r["end_type"]) for r in df.collect())
+    assert key(first) == key(every.filter("rank <= 5"))
+    assert "Window" not in first._jdf.queryExecution().executedPlan().toString()
