@@ -213,3 +213,23 @@ def test_steps_judged_once_give_the_verdicts_of_stored_paths(spark):
         # The verdict travels with the edge: no path is exploded or dealt by its id.
         counted = found.groupBy("query_id").agg(F.count_if(name))
         assert "path_id" not in "".join(x for x in counted._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_counted_paths_are_the_listed_ones(spark):
+    edges = parallel_edges(spark).withColumn("object_type", F.when(F.col("relation_id").isin("r3", "r5"), "u").otherwise("t"))
+    seeds = spark.createDataFrame([(1, "a"), (1, "d"), (None, "b")], "query_id long, node_id string")
+    listed, expected = graph.simple_paths(edges, seeds, 3).collect(), {}
+    for r in sorted(listed, key=lambda r: (r["node_ids"], [(e["relation_id"], str(e["revision"])) for e in r["path"]])):
+        paths, ends, first = expected.get((r["query_id"], r["hops"], r["end_type"]), (0, set(), r["path_id"]))
+        expected[r["query_id"], r["hops"], r["end_type"]] = (paths + 1, ends | {r["node_ids"][-1]}, first)
+    counted = graph.count_paths(edges, seeds, 3)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in counted.collect()} == {k: (n, len(e), f) for k, (n, e, f) in expected.items()}
+
+
+def test_tables_between_steps_are_packed(spark, tmp_path):
+    from loreloom.session import cut_lineage
+
+    ids = spark.range(20_000).select(graph.digest_id("relation_", F.col("id").cast("string")).alias("relation_id"))
+    size = lambda df: sum(len(open(f.removeprefix("file:"), "rb").read()) for f in df.inputFiles())
+    ids.write.option("compression", "snappy").parquet(str(tmp_path / "plain"))
+    assert size(cut_lineage(ids)) < 0.7 * size(spark.read.parquet(str(tmp_path / "plain")))
