@@ -233,3 +233,20 @@ def test_tables_between_steps_are_packed(spark, tmp_path):
     size = lambda df: sum(len(open(f.removeprefix("file:"), "rb").read()) for f in df.inputFiles())
     ids.write.option("compression", "snappy").parquet(str(tmp_path / "plain"))
     assert size(cut_lineage(ids)) < 0.7 * size(spark.read.parquet(str(tmp_path / "plain")))
+
+
+def test_a_document_filter_reaches_its_register(spark):
+    edges = extract(spark, "a", ["设备编号", "车站"], [("D-1", "North")]).unionByName(extract(spark, "b", ["设备编号", "工单编号"], [("D-1", "W-1")]))
+    inside = graph.edges_in_document(edges, F.lit("a"))
+    assert [r["doc_id"] for r in inside.collect()] == ["a"]
+    assert "Union" not in inside._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbourhood_reads_the_edges_at_its_nodes(spark, monkeypatch):
+    edges = parallel_edges(spark).withColumn("status", F.lit("confirmed"))
+    seeds = spark.createDataFrame([(1, "a"), (2, "d")], "query_id long, node_id string")
+    stored = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label="table": stored.append(df.columns) or df)
+    found = graph.neighbourhood(edges, seeds, 2)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 0), (1, "b", 1), (1, "c", 1), (1, "d", 2), (2, "a", 2), (2, "b", 2), (2, "c", 1), (2, "d", 0)]
+    assert all("at" not in columns for columns in stored)
